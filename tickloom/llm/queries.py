@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, secrets, shards
-from .common import table
+from . import lines, packing, pfor, secrets, shards
+from .common import shared_dir, table
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file; it is never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,16 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
 
+def op9_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/tokens"
+    pfor.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    return pfor.read_tokens(spark.read.schema(pfor.SEGMENTS).parquet(path))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

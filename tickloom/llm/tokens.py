@@ -3,21 +3,20 @@
 The pre-tokenizer of ``word_bpe_49k.json`` never joins what white space parts, so
 a text's ids are those of its chunks between spaces, one after the other. Each
 worker keeps the ids of the chunks that it has met (a bounded table), and asks
-the tokenizers library for new ones only.
+the tokenizers library for new ones only, many in one call.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 
 import numpy as np
 
 END_ID = 1
-#: A chunk of letters with marks behind it that are always a token of their own.
-_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?])")
+#: Marks that make a token of their own behind a word.
+MARKS = frozenset(".,;:!?")
 
 
 class Encoder:
@@ -26,39 +25,62 @@ class Encoder:
     ``cache``: the most chunks kept in each of two generations.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same merges without the normalizer, for lower-case words of letters alone
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache, self.new, self.old = cache, {}, {}
 
-    def _pack(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """A word's last id is one that ends words, and no other is; that parts the ids of a line of words."""
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        out = {}
+        for group, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stops, data = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            out |= {w: data[a:b] for w, a, b in zip(group, [0, *stops], stops, strict=False)}
+        return out
+
+    def _encode_any(self, chunks: list[str]) -> dict[str, bytes]:
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))}
 
     def _learn(self, chunks: set[str]) -> None:
-        missing = []
+        words, marked, other = set(), [], []
         for c in chunks:
             if (ids := self.old.get(c)) is not None:
                 self.new[c] = ids
+            elif c.isalpha() and c.islower() and max(c) < "Ā":
+                words.add(c)
+            elif c[-1:] in MARKS and (w := c[:-1]).isalpha() and w.islower() and max(w) < "Ā":
+                marked.append(c)
+                words.add(w)
+                words.add(c[-1])
             else:
-                missing.append(c)
-        # "word." is "word" and ".", whatever the word: the library sees each word once
-        parts = {c: m.groups() for c in missing if (m := _MARKED.fullmatch(c)) and m[1].isascii()}
-        ask = list({p for c in missing for p in parts.get(c, (c,)) if p not in self.new})
-        got = dict(zip(ask, self._pack(ask)))
-        known = lambda p: got[p] if p in got else self.new[p]
-        learnt = {c: b"".join(map(known, parts.get(c, (c,)))) for c in missing}
-        self.new |= {k: v for k, v in got.items() if len(k) <= 64}
-        self.new |= learnt
+                other.append(c)
+        words -= self.new.keys()
+        self.new |= self._encode_words([w for w in words if w not in self.old])
+        self.new |= {w: self.old[w] for w in words if w in self.old}
+        self.new |= {c: self.new[c[:-1]] + self.new[c[-1]] for c in marked}
+        self.new |= self._encode_any(other)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text without an end id; null counts as empty."""
         split = []
         for t in texts:
             t = t or ""
-            if t.isascii():  # elsewhere lower() and the library may differ by letter
-                t = t.lower() if "<|" not in t else t
+            if "<|" not in t:
+                try:  # elsewhere lower() and the library may differ by letter
+                    t.isascii() or t.encode("latin-1")
+                    t = t.lower()
+                except UnicodeEncodeError:
+                    pass
             split.append(t.replace("\n", " ").replace("\t", " ").split(" "))
         if len(self.new) > self.cache:
             self.old, self.new = self.new, {}
@@ -74,7 +96,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def documents_ids(path: str, texts: list[str | None], end_id: int = END_ID):
+def documents_ids(path: str, texts: list[str | None], end_id: int = END_ID) -> list[np.ndarray]:
     """Arrays of each document's ids with the end id; null counts as empty."""
     end = np.array([end_id], "<u4").tobytes()
     return [np.frombuffer(b + end, "<u4") for b in encoder(path).encode(texts)]
