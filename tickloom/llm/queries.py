@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pfor, secrets, shards
+from . import lines, packing, pfor, rff, secrets, shards
 from .common import shared_dir, table
 
 
@@ -31,6 +31,10 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/tokens"
     pfor.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path)
