@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pfor, rff, secrets, shards
+from . import lines, packing, pfor, rff, secrets, shards, vptree
 from .common import shared_dir, table
 
 
@@ -35,6 +35,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rff.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search_table(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/tokens"
     pfor.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path)
