@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pfor, rff, secrets, shards, tiling, vptree
+from . import lines, ominhash, packing, pfor, rff, secrets, shards, tiling, vptree
 from .common import shared_dir, table
 
 
@@ -31,6 +31,10 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ominhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
