@@ -103,3 +103,11 @@ def dedup_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
         F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"),
     )
+
+
+def without_repeats(docs: DataFrame, least_words: int = 50) -> DataFrame:
+    """``docs`` with ``text`` as ``dedup_lines`` leaves it, ``n_chars`` (where there is one) as long as it, and without documents all of whose words were repeats."""
+    out = dedup_lines(docs, least_words)
+    gone = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    out = out.where(~F.coalesce(gone, F.lit(False)))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
