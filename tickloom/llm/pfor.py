@@ -24,13 +24,17 @@ _HEAD = struct.Struct("<QI")
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """(blocks, BLOCK) values to (blocks, bytes), ``width`` bits each, lowest bit first."""
-    bits = (values[:, :, None] >> np.arange(width, dtype="u4")) & 1
-    return np.packbits(bits.reshape(len(values), -1).astype("u1"), axis=1, bitorder="little")
+    size = 2 if width <= 16 else 4
+    raw = np.ascontiguousarray(values.astype(f"<u{size}")).view("u1").reshape(len(values), BLOCK, size)
+    return np.packbits(np.unpackbits(raw, axis=2, count=width, bitorder="little").reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(data: np.ndarray, width: int) -> np.ndarray:
+    size = 2 if width <= 16 else 4
     bits = np.unpackbits(data, axis=1, bitorder="little", count=BLOCK * width).reshape(len(data), BLOCK, width)
-    return (bits.astype("u4") << np.arange(width, dtype="u4")).sum(2, dtype="u4")
+    raw = np.zeros((len(data), BLOCK, size), "u1")
+    raw[:, :, : -(-width // 8)] = np.packbits(bits, axis=2, bitorder="little")
+    return raw.reshape(len(data), -1).view(f"<u{size}").astype("u4")
 
 
 def encode(values: np.ndarray) -> bytes:

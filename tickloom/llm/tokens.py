@@ -15,8 +15,8 @@ import zlib
 import numpy as np
 
 END_ID = 1
-#: Marks that make a token of their own behind a word.
-MARKS = frozenset(".,;:!?")
+#: Marks of ASCII, of which a run behind a word is a piece of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -51,43 +51,50 @@ class Encoder:
     def _encode_any(self, chunks: list[str]) -> dict[str, bytes]:
         return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))}
 
-    def _learn(self, chunks: set[str]) -> None:
-        words, marked, other = set(), [], []
+    def _learn(self, chunks: list[str], plain: bool) -> None:
+        """``plain``: all chunks are lower case and of Latin-1 letters."""
+        words, parts, other = set(), {}, []
         for c in chunks:
             if (ids := self.old.get(c)) is not None:
                 self.new[c] = ids
-            elif c.isalpha() and c.islower() and max(c) < "Ā":
+            elif not plain:
+                other.append(c)
+            elif c.isalpha():
                 words.add(c)
-            elif c[-1:] in MARKS and (w := c[:-1]).isalpha() and w.islower() and max(w) < "Ā":
-                marked.append(c)
+            elif (w := c.rstrip(MARKS)).isalpha():  # letters, then marks without a letter between: two tokens before merges
+                parts[c] = w, c[len(w) :]
                 words.add(w)
-                words.add(c[-1])
             else:
                 other.append(c)
-        words -= self.new.keys()
+        marks = {m for _, m in parts.values()} - self.new.keys()
+        words = [w for w in words if w not in self.new]
         self.new |= self._encode_words([w for w in words if w not in self.old])
         self.new |= {w: self.old[w] for w in words if w in self.old}
-        self.new |= {c: self.new[c[:-1]] + self.new[c[-1]] for c in marked}
-        self.new |= self._encode_any(other)
+        self.new |= self._encode_any([*other, *marks.difference(other)])
+        self.new |= {c: self.new[w] + self.new[m] for c, (w, m) in parts.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text without an end id; null counts as empty."""
-        split = []
-        for t in texts:
-            t = t or ""
-            if "<|" not in t:
-                try:  # elsewhere lower() and the library may differ by letter
-                    t.isascii() or t.encode("latin-1")
-                    t = t.lower()
-                except UnicodeEncodeError:
-                    pass
-            split.append(t.replace("\n", " ").replace("\t", " ").split(" "))
+        split: tuple[list, list] = [], []
+        out: list[bytes] = [b""] * len(texts)
+        for k, t in enumerate(texts):
+            t, plain = t or "", True
+            try:  # elsewhere lower() and the library may differ by letter
+                t.isascii() or t.encode("latin-1")
+                plain = "<|" not in t
+            except UnicodeEncodeError:
+                plain = False
+            t = t.lower() if plain else t
+            split[plain].append((k, t.replace("\n", " ").replace("\t", " ").split(" ")))
         if len(self.new) > self.cache:
             self.old, self.new = self.new, {}
-        if new := set().union(*split).difference(self.new):
-            self._learn(new)
-        known = self.new
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        for plain, rows in enumerate(split):
+            kinds = set().union(*(s for _, s in rows))
+            self._learn([c for c in kinds if c not in self.new], bool(plain))
+            own = {c: self.new[c] for c in kinds}  # small, so the many look-ups stay in the processor's cache
+            for k, s in rows:
+                out[k] = b"".join(map(own.__getitem__, s))
+        return out
 
 
 @functools.cache
