@@ -223,7 +223,7 @@ def _meet(t: pa.Table) -> tuple[int, Block, np.ndarray, np.ndarray, np.ndarray,
     return t.column("block")[0].as_py(), block, words, np.r_[words, words[np.searchsorted(block.words, END)]], pairs >> 1, pairs & 1 > 0
 
 
-def score_texts(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents.
 
     Learns from documents whose crc32(doc_id as text) mod 7 is not 2. ``score``

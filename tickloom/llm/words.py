@@ -22,11 +22,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hashed(texts: list[bytes], inside: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: list[bytes], inside: np.ndarray = WORD_BYTES, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words in order, and the index of each text's first word (and the end).
 
-    Words are runs of the bytes that ``inside`` marks.
+    Words are runs of the bytes that ``inside`` marks. Texts are hashed about ``chunk`` bytes at a time.
     """
+    parts, firsts, own, held, n = [], [np.zeros(1, "i8")], [], 0, 0
+    for k, t in enumerate(texts):
+        own.append(t)
+        held += len(t)
+        if held >= chunk or k == len(texts) - 1:
+            h, at = _hashed(own, inside)
+            parts.append(h)
+            firsts.append(at[1:] + n)
+            n, own, held = n + len(h), [], 0
+    return np.concatenate(parts) if parts else np.zeros(0, "u8"), np.concatenate(firsts)
+
+
+def _hashed(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join([b"", *texts, b""]), "u1")
     word = inside[data]
     first = np.flatnonzero(word[1:] & ~word[:-1]) + 1
