@@ -1,11 +1,13 @@
-"""Registered queries of the time-series engine, each with its SQL oracle."""
+"""Registered queries of the time-series engine, each with its SQL oracle where SQL can express it."""
 
 from __future__ import annotations
 
+from .plans import bars, decisions, registry, streams  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
