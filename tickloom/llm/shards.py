@@ -20,7 +20,7 @@ def _by_interval(rank: str, room: dict[int, int]):
     return out
 
 
-def balanced_labels(nodes: DataFrame, shards: int = 24, rounds: int = 3, groups: str = "grp", node: str = "doc_id") -> DataFrame:
+def balanced_labels(nodes: DataFrame, shards: int = 24, rounds: int = 6, groups: str = "grp", node: str = "doc_id") -> DataFrame:
     """Adds ``shard`` to ``nodes`` (a unique ``node``, a ``groups`` key that linked nodes share).
 
     Shards' row counts differ by one at most. Each round counts a group's
@@ -75,7 +75,7 @@ def _of(values: dict[int, int], key: str):
     return F.create_map(*[F.lit(x) for s, n in values.items() for x in (s, n)])[F.col(key)]
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     """All documents in shards of equal row counts, equal texts together where a shard has room.
 
     Columns: doc_id, size, text_crc32, law (``rows``), shard, slot, grown_shard

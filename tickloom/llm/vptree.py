@@ -146,7 +146,7 @@ def nearest(trees: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), "queries": pa.array([_bytes({"ids": ids, "x": x})], pa.binary())})
 
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(block, "block long, queries binary")
-    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(staged(asked, "queries"), "block")
+    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(staged(asked, "queries"), "block")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
