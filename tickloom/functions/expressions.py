@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
@@ -63,3 +63,10 @@ def uuid5(namespace: str, name: Column) -> Column:
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp, read as UTC."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def pinned(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions read instead of copying: long chains of conditions stay linear in plan size."""
+    for name, c in columns.items():
+        rows = rows.select(*[F.col(x) for x in rows.columns if x != name], F.explode(F.array(c)).alias(name))
+    return rows

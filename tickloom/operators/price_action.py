@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import codes, ratio
+from ..functions.expressions import codes, pinned, ratio
 
 #: Weights of evidence, score limits of grades and bias, and limits of a plan in ranges.
 WEIGHTS = {"trend": 20, "structure": 18, "break": 22, "sweep": 14, "opening_range": 12, "previous_session": 12, "expansion": 8, "pattern": 8}
@@ -52,24 +52,25 @@ def evidence(rows: DataFrame, by: list[str], order: str = "opens_at") -> DataFra
         item(c < F.col("previous_low"), "BELOW_PREVIOUS_SESSION", -k["previous_session"], False), item(wide & (c > F.col("open")), "EXPANSION_UP", k["expansion"], False),
         item(wide & (c < F.col("open")), "EXPANSION_DOWN", -k["expansion"], False), item(bull, "BULLISH_PATTERN", k["pattern"], True), item(bear, "BEARISH_PATTERN", -k["pattern"], True),
     ))
-    rows = rows.withColumn("evidence", found)
+    rows = pinned(rows, evidence=found)
     total = F.aggregate("evidence", F.lit(0), lambda s, x: s + x["score"])
-    rows = rows.withColumn("score", F.greatest(F.least(total, F.lit(100)), F.lit(-100)))
+    rows = pinned(rows, score=F.greatest(F.least(total, F.lit(100)), F.lit(-100)))
     size = F.abs("score")
     grade = F.lit("NONE")
     for limit, name in reversed(GRADES):
         grade = F.when(size >= limit, F.lit(name)).otherwise(grade)
     fires = F.exists("evidence", lambda x: x["trigger"] & (F.signum(x["score"]) == F.signum(F.col("score"))))
     rows = rows.withColumn("bias", F.when(F.col("score") >= BIAS, F.lit("BULLISH")).when(F.col("score") <= -BIAS, F.lit("BEARISH")).otherwise(F.lit("NEUTRAL"))).withColumn("grade", grade)
-    return rows.withColumn("setup", F.when((size >= TRIGGER) & fires, F.lit("TRIGGERED")).when(size >= WATCH, F.lit("WATCH")).otherwise(F.lit("NONE"))).drop("_before")
+    return pinned(rows, setup=F.when((size >= TRIGGER) & fires, F.lit("TRIGGERED")).when(size >= WATCH, F.lit("WATCH")).otherwise(F.lit("NONE"))).drop("_before")
 
 
 def plan(rows: DataFrame) -> DataFrame:
     """Adds trigger, stop, risk, three targets and plan_blockers in the direction of the bias."""
     side, a = _sign("bias"), F.col("atr_14")
-    rows = rows.withColumn("side", side).withColumn("trigger", F.when(side > 0, F.col("high") + BUFFER * a).when(side < 0, F.col("low") - BUFFER * a))
+    rows, side = pinned(rows, side=side), F.col("side")
+    rows = pinned(rows, trigger=F.when(side > 0, F.col("high") + BUFFER * a).when(side < 0, F.col("low") - BUFFER * a))
     level = F.when(side > 0, F.coalesce("pivot_low_1", "low")).when(side < 0, F.coalesce("pivot_high_1", "high"))
-    rows = rows.withColumn("risk", F.greatest(F.abs(F.col("trigger") - level), LEAST_RISK * a)).withColumn("stop", F.col("trigger") - side * F.col("risk"))
+    rows = pinned(rows, risk=F.greatest(F.abs(F.col("trigger") - level), LEAST_RISK * a)).withColumn("stop", F.col("trigger") - side * F.col("risk"))
     rows = rows.withColumns({f"target_{k}": F.col("trigger") + side * F.col("risk") * r for k, r in enumerate(TARGETS, 1)})
     return rows.withColumn("plan_blockers", codes((side == 0, "NO_BIAS"), (a.isNull(), "ATR_UNAVAILABLE"), (F.col("setup") == "NONE", "NO_SETUP"), (F.col("risk") > MOST_RISK * a, "RISK_TOO_WIDE")))
 
@@ -83,7 +84,7 @@ def levels(rows: DataFrame, by: list[str], order: str = "opens_at", lookback: in
         when size(s) > 0 and abs(element_at(s, -1).price - x) <= _d
         then concat(slice(s, 1, size(s) - 1), array(named_struct('price', (element_at(s, -1).price * element_at(s, -1).strength + x) / (element_at(s, -1).strength + 1), 'strength', element_at(s, -1).strength + 1)))
         else concat(s, array(named_struct('price', cast(x as double), 'strength', 1))) end)""")
-    rows = rows.withColumn("_l", F.transform(joined, lambda x: F.struct(x["price"].alias("price"), F.least(x["strength"], F.lit(5)).alias("strength"))))
+    rows = pinned(rows, _l=F.transform(joined, lambda x: F.struct(x["price"].alias("price"), F.least(x["strength"], F.lit(5)).alias("strength"))))
     below, above = F.filter("_l", lambda x: x["price"] <= F.col("close")), F.filter("_l", lambda x: x["price"] > F.col("close"))
     return rows.withColumn("supports", F.slice(F.reverse(below), 1, most)).withColumn("resistances", F.slice(above, 1, most)).drop("_p", "_d", "_l")
 

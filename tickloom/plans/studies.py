@@ -34,7 +34,7 @@ def walk_forward_study(spark, d):
     rows = rows.select(*BY, AT, "label_end", "label", "r_multiple", *names, F.unix_micros(F.col(AT).cast("timestamp")).alias("start_us"))
     rows = rows.withColumn("end_us", F.col("start_us") + 12 * 3600000000)
     study = models.Study((models.Candidate("prior", "prior"), models.Candidate("logistic", "logistic")), (0, 1), 2, 3, (4,), (0.3, 0.4, 0.5))
-    out = folds.walk_forward(rows, BY, AT, "label_end", 5, 60, 3600.0)
+    out = folds.walk_forward(rows, BY, AT, "label_end", 5, 60, 3600.0).cache()  # read by every fit
     return models.run_study(out, study, names, "start_us", "end_us")
 
 
