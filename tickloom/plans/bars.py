@@ -11,7 +11,10 @@ from ..operators import recurrence as R
 from .registry import BARS, ORDERED, floored, hourly, query, rounded, table
 
 BY, AT = ["event_type"], "opens_at"
-SERIES = W.partitionBy("event_type").orderBy("opens_at")
+
+
+def series():
+    return W.partitionBy("event_type").orderBy("opens_at")
 
 
 @query(f"WITH {BARS} SELECT event_type, opens_at, open, high, low, close, n_ticks FROM bars")
@@ -120,7 +123,7 @@ def worst_sessions(spark, d):
 @query(f"""WITH {BARS} SELECT event_type, opens_at, coalesce(lag(session_date) OVER w = session_date AND lag(opens_at) OVER w + INTERVAL 1 hour <> opens_at, false) AS gap FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)""")
 def gap_flags(spark, d):
     rows = hourly(spark, d).withColumn("closes_at", F.col("opens_at") + F.expr("interval 1 hour"))
-    flag = (F.lag("session_date").over(SERIES) == F.col("session_date")) & (F.lag("closes_at").over(SERIES) != F.col("opens_at"))
+    flag = (F.lag("session_date").over(series()) == F.col("session_date")) & (F.lag("closes_at").over(series()) != F.col("opens_at"))
     return rows.select(*BY, "opens_at", F.coalesce(flag, F.lit(False)).alias("gap"))
 
 
@@ -225,15 +228,15 @@ def macd(spark, d):
 
 @query(f"""WITH {ORDERED} SELECT event_type, opens_at, round(CASE WHEN n >= 10 THEN regr_slope(close, n::DOUBLE) OVER (PARTITION BY event_type ORDER BY opens_at ROWS 9 PRECEDING) END, 5) AS slope_10 FROM s""")
 def slope_10(spark, d):
-    rows = hourly(spark, d).withColumn("n", F.row_number().over(SERIES).cast("double"))
-    slope = F.when(F.col("n") >= 10, F.regr_slope("close", "n").over(SERIES.rowsBetween(-9, 0)))
+    rows = hourly(spark, d).withColumn("n", F.row_number().over(series()).cast("double"))
+    slope = F.when(F.col("n") >= 10, F.regr_slope("close", "n").over(series().rowsBetween(-9, 0)))
     return rows.select(*BY, AT, F.round(slope, 5).alias("slope_10"))
 
 
 @query(f"""WITH {BARS} SELECT event_type, opens_at, round(close - coalesce(min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), low), 6) AS support_20, round(coalesce(max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), high) - close, 6) AS resistance_20
     FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)""")
 def support_resistance(spark, d):
-    f = SERIES.rowsBetween(-20, -1)
+    f = series().rowsBetween(-20, -1)
     out = hourly(spark, d).select(*BY, AT, (F.col("close") - F.coalesce(F.min("low").over(f), "low")).alias("support_20"), (F.coalesce(F.max("high").over(f), "high") - F.col("close")).alias("resistance_20"))
     return rounded(out, ["support_20", "resistance_20"])
 

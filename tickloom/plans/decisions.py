@@ -11,7 +11,10 @@ from ..operators import recurrence as R
 from .registry import BARS, ORDERED, floored, hourly, query, rounded, table
 
 BY, AT = ["event_type"], "opens_at"
-SERIES = W.partitionBy("event_type").orderBy("opens_at")
+
+
+def series():
+    return W.partitionBy("event_type").orderBy("opens_at")
 BARS4 = BARS + """, b4 AS (SELECT event_type, time_bucket(INTERVAL 4 hours, opens_at)::TIMESTAMP + INTERVAL 4 hours AS closes_at, arg_max(close, opens_at) AS close_4h, max(high) AS high_4h FROM bars GROUP BY 1, 2)"""
 
 
@@ -388,7 +391,7 @@ def audit_verify(spark, d):
 @query()
 def event_setups(spark, d):
     """Setups that begin at a bar, with conflicting directions waiting."""
-    w = SERIES
+    w = series()
     rows = hourly(spark, d).withColumn("high_20", F.max("high").over(w.rowsBetween(-20, -1))).withColumn("low_20", F.min("low").over(w.rowsBetween(-20, -1)))
     c = F.col("close")
     setups = {"breakout_up": (c > F.col("high_20"), 1), "breakout_down": (c < F.col("low_20"), -1), "rising": ((c > F.col("open")) & (F.lag("close").over(w) > F.lag("open").over(w)), 1)}
