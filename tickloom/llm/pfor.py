@@ -51,7 +51,8 @@ def encode(values: np.ndarray) -> bytes:
     full = np.concatenate([values, np.full(blocks * BLOCK - n, values[-1], "<u4")]).reshape(blocks, BLOCK).astype("u4")
     least = full.min(1)
     rest = full - least[:, None]
-    at = np.sort(rest, 1)[:, min(BLOCK - 1, int(np.ceil(BLOCK * COVERED)) - 1)]
+    k = min(BLOCK - 1, int(np.ceil(BLOCK * COVERED)) - 1)
+    at = np.partition(rest, k, axis=1)[:, k]
     widths = np.where(at > 0, np.floor(np.log2(np.maximum(at, 1).astype("f8"))) + 1, 0).astype("u1")
     high = rest >> widths[:, None].astype("u4") if widths.max() < 32 else np.where(widths[:, None] < 32, rest >> np.minimum(widths, 31)[:, None].astype("u4"), 0)
     wrong = high > 0
