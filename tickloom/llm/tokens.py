@@ -66,7 +66,7 @@ class Encoder:
                 words.add(w)
             else:
                 other.append(c)
-        marks = {m for _, m in parts.values()} - self.new.keys()
+        marks = {m for _, m in parts.values() if m not in self.new}
         words = [w for w in words if w not in self.new]
         self.new |= self._encode_words([w for w in words if w not in self.old])
         self.new |= {w: self.old[w] for w in words if w in self.old}
