@@ -161,6 +161,41 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert out[900] == out[901] == out[902] and out[903] == out[904] == 903
 
 
+def linked_classes(h, sketches, similarity):
+    """Classes by all pairs that share a sample and are similar."""
+    root = {d: d for d in h}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in h:
+        for b in h:
+            if a < b and ((sketches[a] == sketches[b]).any()) and find(a) != find(b) and ominhash.similar(h[a], h[b], similarity):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in h}
+
+
+def test_near_texts_under_unlike_heads_are_linked(spark, monkeypatch):
+    """Texts of one hot passage share samples with all others, near ones few more: each candidate pair must be met."""
+    r, docs = random.Random(8), {}
+    hot = [f"hot2i{i}" for i in range(150)]  # a name whose least gram most texts share
+    for k in range(30):
+        own = [f"own{k}x{i}" for i in range(60)]
+        for copy in range(r.choice((1, 2, 3))):
+            w = hot + own
+            for i in r.sample(range(len(w)), 20 if copy else 0):
+                w = [*w[:i], f"new{k}c{copy}i{i}", *w[i + 1 :]]
+            docs[len(docs)] = " ".join(w)
+    h = {d: hashed([t.encode()])[0] for d, t in docs.items()}
+    sketches = {d: ominhash.sketch(x, 5, 1, 1) for d, x in h.items()}
+    monkeypatch.setattr(ominhash, "BLOCK", 7, raising=False)
+    found = ominhash.near_duplicates(frame(spark, list(docs.items())), gram=5, least=1, samples=1).collect()
+    assert {x["doc_id"]: x["class_id"] for x in found} == linked_classes(h, sketches, 0.8)
+
+
 def test_edit_distance_equals_dynamic_programming():
     r = np.random.default_rng(0)
     for _ in range(400):
