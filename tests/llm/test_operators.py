@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import inspect
 import math
 import random
 import re
@@ -196,6 +197,36 @@ def test_near_texts_under_unlike_heads_are_linked(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in found} == linked_classes(h, sketches, 0.8)
 
 
+def sample_recall(n: int, even: bool, pairs: int = 100) -> float:
+    """Share of pairs of ``n`` words at just the edit similarity 0.8 (words changed anywhere, or at even steps) that share a sample."""
+    r = np.random.default_rng(n)
+    o = {k: p.default for k, p in inspect.signature(ominhash.near_duplicates).parameters.items() if k != "docs"}
+    met = 0
+    for _ in range(pairs):
+        a = r.integers(1, 2**63, n).astype("u8")
+        at = np.arange(n // 5) * 5 + 2 if even else r.choice(n, n // 5, replace=False)
+        b = a.copy()
+        b[at] = r.integers(1, 2**63, len(at)).astype("u8")
+        assert ominhash.similar(a, b, o["similarity"])
+        x, y = (ominhash.all_samples(h, o["gram"], o["least"], o["samples"], o["similarity"]) for h in (a, b))
+        met += bool(set(x) & set(y))
+    return met / pairs
+
+
+def test_samples_find_pairs_at_the_stated_similarity():
+    for n in (5, 10, 20, 25, 49, 50, 200, 1000):
+        assert sample_recall(n, False) >= 0.97 and sample_recall(n, True) >= 0.9, n
+    # partners on both sides of the bound for short texts
+    r = np.random.default_rng(9)
+    met = 0
+    for _ in range(100):
+        a = r.integers(1, 2**63, ominhash.SHORT * 3 + 1).astype("u8")
+        b = np.delete(a, r.choice(len(a), len(a) // 5, replace=False))
+        x, y = (ominhash.all_samples(h, 3, 2, 64, 0.8) for h in (a, b))
+        met += bool(set(x) & set(y))
+    assert met >= 97
+
+
 def test_edit_distance_equals_dynamic_programming():
     r = np.random.default_rng(0)
     for _ in range(400):
