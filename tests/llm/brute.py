@@ -17,12 +17,13 @@ def secrets(text: str | None) -> tuple[int, int, int, str]:
     return *(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(said.encode()).hexdigest()
 
 
-def line_repeats(docs: dict[int, str | None], least: int) -> dict[int, set[int]]:
-    """Lines of every run of at least ``least`` words that equals an earlier run of lines."""
-    rows = {d: [(i, " ".join(s.split())) for i, s in enumerate((t or "").split("\n")) if s.split()] for d, t in docs.items()}
-    out: dict[int, set[int]] = {d: set() for d in docs}
+def line_repeats(docs: list[tuple[int | None, str | None]], least: int, order) -> list[set[int]]:
+    """Lines of every run of at least ``least`` words that equals an earlier run of lines, by row; rows go by id (null first), then by ``order`` of the text, then as given."""
+    rows = [[(i, " ".join(s.split())) for i, s in enumerate((t or "").split("\n")) if s.split()] for _, t in docs]
+    by = sorted(range(len(docs)), key=lambda r: (docs[r][0] is not None, docs[r][0] or 0, order(docs[r][1])))
+    out: list[set[int]] = [set() for _ in docs]
     seen: dict[str, list[tuple[int, int]]] = {}
-    for d in sorted(rows):
+    for d in by:
         for p, (_, s) in enumerate(rows[d]):
             for e, q in seen.get(s, []):
                 if p and q and rows[d][p - 1][1] == rows[e][q - 1][1]:

@@ -65,18 +65,55 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert out[0]["spans"] == "" or re.fullmatch(r"random:4:52", out[0]["spans"])
 
 
+def text_hashes(spark, docs):
+    texts = spark.createDataFrame([(t,) for t in {t or "" for _, t in docs}], "text string")
+    return {r["text"]: r["h"] for r in texts.select("text", F.xxhash64("text").alias("h")).collect()}
+
+
+def assert_lines(spark, docs, least=50):
+    """Equal to the brute-force version; rows of one id and text may change places."""
+    h = text_hashes(spark, docs)
+    want = brute.line_repeats(docs, least, lambda t: h[t or ""])
+    got = lines.dedup_lines(frame(spark, docs), least).select("doc_id", "text", "removed", "n_lines").collect()
+    said = lambda d, t, gone: (str(d), "\n".join(s for i, s in enumerate((t or "").split("\n")) if i not in gone), sorted(gone))
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["removed"]) for r in got) == sorted(said(d, t, g) for (d, t), g in zip(docs, want))
+    return want
+
+
 def test_lines_equal_brute_force(spark, small):
     lots = {**small, 9001: None, 9002: "", 9003: "\n".join([prose(5, 30), prose(6, 30), prose(7, 10)]), 9004: "\n".join(["x", prose(5, 30), prose(6, 30), "y"]), 9005: prose(8, 60), 9006: "a\n" + prose(8, 60) + "\nb"}
-    out = {r["doc_id"]: set(r["removed"]) for r in lines.dedup_lines(frame(spark, list(lots.items()))).collect()}
-    assert out == brute.line_repeats(lots, 50)
+    assert_lines(spark, list(lots.items()))
 
 
 def test_lines_where_the_first_place_shares_too_little(spark):
     """The first place of a fingerprint shares 30 words, a later one the whole run."""
     shared, rest = prose(11, 30), prose(12, 30)
-    docs = {1: shared + "\n" + prose(13, 40), 2: shared + "\n" + rest, 3: "z\n" + shared + "\n" + rest}
-    out = {r["doc_id"]: set(r["removed"]) for r in lines.dedup_lines(frame(spark, list(docs.items()))).collect()}
-    assert out == brute.line_repeats(docs, 50) == {1: set(), 2: set(), 3: {1, 2}}
+    docs = [(1, shared + "\n" + prose(13, 40)), (2, shared + "\n" + rest), (3, "z\n" + shared + "\n" + rest)]
+    assert assert_lines(spark, docs) == [set(), set(), {1, 2}]
+
+
+def test_lines_where_a_later_place_shares_more(spark):
+    """The first place explains X alone; Y behind it repeats the second document."""
+    for k in range(8):
+        x, y = [prose(100 * k + i, 12) for i in range(5)], [prose(100 * k + 50 + i, 9) for i in range(3)]
+        docs = [(1, "\n".join(x)), (2, "\n".join(x + y)), (3, "\n".join([*x, *y, prose(100 * k + 99, 40)]))]
+        assert assert_lines(spark, docs)[2] == set(range(8))
+
+
+def test_lines_of_documents_made_of_parts(spark):
+    """1,200 documents of a few shared parts in any order, some ids and rows twice, some null."""
+    r, parts = random.Random(6), []
+    for k in range(40):
+        parts.append("\n".join(prose(3000 + 50 * k + i, r.choice((1, 3, 8, 20))) for i in range(r.randint(1, 12))))
+    docs = [(r.choice((k, k, k, k // 2, None)), "\n".join(r.choice(parts) for _ in range(r.randint(1, 4)))) for k in range(1200)]
+    docs += [(1, docs[5][1])] * 3 + [(1300, "\n".join([prose(9, 5)] * 400))]
+    assert sum(map(len, assert_lines(spark, docs))) > 1200
+
+
+def test_repeated_rows_lose_their_later_copies(spark):
+    text = "\n".join([prose(8, 30), prose(9, 50)])
+    got = [r["n_removed"] for r in lines.dedup_lines(frame(spark, [(1, text), (1, text), (2, text), (None, None)])).orderBy("doc_id", "n_removed").collect()]
+    assert got == [0, 0, 2, 2]
 
 
 def test_katz_equals_plain_recursion(spark, small):

@@ -36,7 +36,25 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column | None = None, buckets: int = 1024) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str], share: int = 2048) -> DataFrame:
+    """Inner equi-join of ``many``, in which a few keys may hold a large part of all rows, with ``one`` (few rows a key).
+
+    A key with more than one in ``share`` of ``many``'s rows is dealt to parts by a hash of ``salt``, and
+    ``one``'s rows of that key are repeated for each part. There are fewer than ``share`` such keys whatever the
+    size, so their list is broadcast. ``many`` is read twice: give a staged table.
+    """
+    each = max(1, many.count() // share)
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(each, 64))
+    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / each).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), parts).cast("int")).drop("_parts")
+    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column | None = None, buckets: int = 1024
+) -> DataFrame:
     """Gapless rank from 0 within ``keys``, in a fixed order: by bucket, then ``order``.
 
     Counts of (keys, bucket) give each bucket's start, so no task holds a whole
@@ -47,4 +65,5 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: C
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = W.partitionBy(*keys, "_b").orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(within)).join(starts, [*keys, "_b"]).withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
+    rows = df.withColumn("_r", F.row_number().over(within)).join(starts, [*keys, "_b"])
+    return rows.withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
