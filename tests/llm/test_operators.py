@@ -372,18 +372,44 @@ def test_isotonic_is_the_least_squares_fit():
     assert np.allclose(y[:2], [0, 0.5]) and np.allclose(y[2:], 1) and np.allclose(x[:2], [0, 1.5])
 
 
+def exact_search(ids, x, queries, k=20):
+    """By sums of products, one way for every pair; ties to the smaller id."""
+    out = {}
+    for q in queries:
+        s = (x * x[q]).sum(1)
+        out[ids[q]] = [int(ids[i]) for i in sorted((i for i in range(len(ids)) if ids[i] != ids[q]), key=lambda i: (-s[i], ids[i]))[:k]]
+    return out
+
+
+def found_by(out):
+    return {q: list(g.sort_values("rank").vec_id) for q, g in out.groupby("query_id")}
+
+
 def test_search_with_factor_one_is_exact(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(900, 12)) * r.uniform(0.2, 3, (900, 1))
     x[100:400] = x[100]  # a hot vector
-    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 12), (2040, [float("nan")] * 12), (2060, [None] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = vptree.nearest(vptree.index(vptree.usable(df, "vec_id", "embedding"), shard_rows=300), vptree.usable(df, "vec_id", "embedding").where("vec_id % 20 = 0"), 20, 1.0).toPandas()
-    assert set(out.query_id) == set(range(0, 900, 20))
-    for q, g in out.groupby("query_id"):
-        s = x @ x[q]
-        best = sorted((i for i in range(900) if i != q), key=lambda i: (-round(s[i], 9), i))[:20]
-        assert list(g.sort_values("rank").vec_id) == best, q
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 12), (2040, [float("nan")] * 12), (2060, [None] * 12), (None, [1.0] * 12), (2080, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("leaf", F.lit("x"))
+    out = vptree.search_table(df, factor=1.0, shard_rows=100).toPandas()
+    assert found_by(out) == exact_search(np.arange(900), x, range(0, 900, 20))
+    for r in out.itertuples():
+        assert r.score == (x[r.query_id] * x[r.vec_id]).sum()
+
+
+@pytest.mark.parametrize("kind", ["normal", "lengths", "clusters"])
+def test_recall_of_the_calibrated_search(spark, kind):
+    """Over several shards; the README states these figures."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(12000, 16))
+    if kind == "lengths":
+        x *= np.exp(r.normal(size=(12000, 1)))
+    if kind == "clusters":
+        x = r.normal(size=(60, 16))[r.integers(0, 60, 12000)] * 4 + x * 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = found_by(vptree.search_table(df, shard_rows=1500).toPandas())
+    want = exact_search(np.arange(12000), x, range(0, 12000, 200))
+    assert len(out) == 600 and sum(len(set(out[q]) & set(w)) for q, w in want.items()) >= 0.93 * 20 * len(want)
 
 
 def test_search_of_few_rows(spark):
@@ -391,6 +417,9 @@ def test_search_of_few_rows(spark):
     out = vptree.search_table(df).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in out] == [(0, 1, 7), (0, 2, 9)]
     assert vptree.search_table(df.limit(0)).count() == 0
+    assert vptree.search_table(df.where("vec_id = 7")).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [0.5, 0.5]), (7, [0.4, 0.5])], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"]) for r in vptree.search_table(twice).collect()] == [(0, 7), (0, 7)]
 
 
 @pytest.mark.parametrize("values", [np.zeros(0), np.zeros(5), np.arange(1000) ** 2, np.r_[np.full(300, 2**32 - 1), 0], np.random.default_rng(0).zipf(1.3, 5000).clip(0, 2**32 - 1)])
