@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import sliced, staged
 from .words import SPACED_BYTES, hashed, mixed
 
 #: Counts above this are not discounted.
@@ -64,7 +64,6 @@ def lowered(text: str | None) -> bytes:
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Rows of kind TEXTS: document ids, their token counts, sorted word hashes, and tokens as places among these."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -234,7 +233,6 @@ def score_texts(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """
     texts = staged(blocks(docs, block_bytes), "blocks")
     bits = max(0, int(2 * max(1, texts.count()) - 1).bit_length())
-    small_batches(docs.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

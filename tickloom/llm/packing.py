@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, staged
+from .common import ranked, sliced, staged
 from .tokens import END_ID, crc, documents_ids
 
 
@@ -73,11 +73,9 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): whole documents, longer ones cut every ``size`` tokens."""
-    small_batches(docs.sparkSession)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for b in batches:
+        for b in sliced(batches):
             rows = [
                 (doc, at // size, at, len(part), crc(part))
                 for doc, ids in zip(b.column(0).to_pylist(), documents_ids(tokenizer, b.column(1).to_pylist(), end_id))

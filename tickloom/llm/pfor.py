@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sliced
 from .tokens import END_ID, crc, documents_ids
 
 BLOCK = 256
@@ -106,8 +106,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     whole documents) as blocks, and the documents' ids and lengths. (part, seq)
     orders segments. Null texts count as empty: they have the end id alone.
     """
-    small_batches(docs.sparkSession)
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, own, held = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -115,7 +113,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             x = [[part], [seq], [np.array(own, "<i8").tobytes()], [encode(np.array([len(i) for i in ids], "<u4"))], [encode(np.concatenate(ids))], [held]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], ["part", "seq", "docs", "lengths", "ids", "n_tokens"])
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, i in zip(b.column(0).to_pylist(), documents_ids(tokenizer, b.column(1).to_pylist(), end_id)):
                 own.append(doc)
                 ids.append(i)
@@ -138,14 +136,13 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for part, seq, docs, lengths, data in zip(*(c.to_pylist() for c in b.columns)):
                 ids, n = decode(data), decode(lengths).astype("i8")
                 ends = np.cumsum(n)
                 crcs = [crc(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "i4")), pa.array(np.full(len(n), seq, "i8")), pa.array(np.frombuffer(docs, "<i8")), pa.array(ends - n), pa.array(n), pa.array(crcs, pa.int64())], ["part", "seq", "doc_id", "_at", "n_tokens", "ids_crc32"])
 
-    small_batches(segments.sparkSession, 8)
     rows = segments.select("part", "seq", "docs", "lengths", "ids").mapInArrow(documents, "part int, seq long, doc_id long, _at long, n_tokens long, ids_crc32 long")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(W.orderBy("part")).alias("_part"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import sliced, staged
 
 _WORD = re.compile(r"\w+")
 STATISTICS = (
@@ -48,10 +48,8 @@ def statistics(text: str | None) -> list[float]:
 
 def features(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, x) with ``statistics`` of the text; no other column is read."""
-    small_batches(docs.sparkSession)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, x array<double>")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import sliced, staged
 from .words import grams, hashed, lowered
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,11 +79,9 @@ def _seed_rows(rows: DataFrame, key: str, k: int, filter_bits: bytes | None = No
 
     With ``filter_bits`` only rows that hold a seed marked there, with those seeds alone.
     """
-    small_batches(rows.sparkSession)
-
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filter_bits, "u1") if filter_bits else None
-        for b in batches:
+        for b in sliced(batches):
             h, at = hashed(lowered(b.column(1).to_pylist()))
             g = grams(h, k)
             if bits is None:
@@ -131,7 +129,7 @@ def overlaps(docs: DataFrame, items: DataFrame, seed_words: int = 5, coverage: f
     both = pairs.distinct().join(hits.select(F.col("key").alias("doc_id"), F.col("words").alias("doc_words")), "doc_id").join(marked.select(F.col("key").alias("item_id"), "words"), "item_id")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for doc, item, text, words in zip(*(c.to_pylist() for c in b.columns)):
                 item_words = np.frombuffer(words, "u8")
