@@ -54,12 +54,13 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str], share: int = 2048) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str], share: int = 2048, merge: bool = False) -> DataFrame:
     """Inner equi-join of ``many``, in which a few keys may hold a large part of all rows, with ``one`` (few rows a key).
 
     A key with more than one in ``share`` of ``many``'s rows is dealt to parts by a hash of ``salt``, and
     ``one``'s rows of that key are repeated for each part. There are fewer than ``share`` such keys whatever the
-    size, so their list is broadcast. ``many`` is read twice: give a staged table.
+    size, so their list is broadcast. ``many`` is read twice: give a staged table. ``merge``: ``one`` grows with the
+    corpus, so it is not to be broadcast.
     """
     each = max(1, many.count() // share)
     counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(each, 64))
@@ -67,6 +68,7 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str
     parts = F.coalesce("_parts", F.lit(1))
     left = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), parts).cast("int")).drop("_parts")
     right = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    right = right.hint("merge") if merge else right
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
