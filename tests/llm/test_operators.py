@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import inspect
 import math
 import random
@@ -116,46 +117,68 @@ def test_repeated_rows_lose_their_later_copies(spark):
     assert got == [0, 0, 2, 2]
 
 
-def test_katz_equals_plain_recursion(spark, small):
-    docs = {**small, 9001: None, 9002: "", 9003: "New unseenword the"}
-    rows = katz.score_texts(frame(spark, list(docs.items())), block_bytes=20000).collect()
-    assert len(rows) == len(docs)
-    end, start = "\0end", "\0start"
-    tokens = {d: [w.decode("latin-1") for w in (t or "").encode().lower().split()] + [end] for d, t in docs.items()}
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
-    one, two = collections.Counter(), collections.Counter()
-    for d, w in tokens.items():
-        if not held[d]:
-            one.update(w)
-            two.update(zip([start, *w], w))
-    n = sum(one.values())
-    counts = lambda c: [collections.Counter(c.values())[r] for r in range(1, 7)]
-    d1, d2 = katz.discounts(counts(one)), katz.discounts(counts(two))
-    kept = lambda f, c: c * (f[c] if c <= 5 else 1)
-    p1 = {w: kept(d1, c) / n for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    total, mass, seen = collections.Counter(), collections.Counter(), collections.Counter()
-    for (h, w), c in two.items():
-        total[h] += c
-        mass[h] += kept(d2, c)
-        seen[h] += p1[w]
-
-    def p(h, w):
-        u, c = p1.get(w, unknown), two[h, w]
-        if h not in total:
-            return u
-        free = 1 - mass[h] / total[h]
-        if free < 1e-12:
-            return c / (total[h] + 1) if c else u / (total[h] + 1) / (1 - seen[h])
-        return kept(d2, c) / total[h] if c else u * free / (1 - seen[h])
-
-    for h in list(total)[:50]:  # probabilities of all words and the unknown one sum to 1
-        assert abs(sum(p(h, w) for w in one) + p(h, "\0new") - 1) < 1e-9
-    for r in rows:
-        w = tokens[r["doc_id"]]
-        assert r["held_out"] == held[r["doc_id"]] and r["n_tokens"] == len(w) and r["train_tokens"] == n and r["n_known"] == sum(one[x] > 0 for x in w)
-        assert math.isclose(r["score"], sum(math.log10(p(h, x)) for h, x in zip([start, *w], w)), rel_tol=1e-8)
-        assert math.isclose(r["base_score"], sum(math.log10((one[x] + 1) / (n + len(one) + 1)) for x in w), rel_tol=1e-8)
+class PlainKatz:
+    """Backoff by dictionaries of tuples, one call an order down."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {n: collections.Counter() for n in range(1, order + 1)}
+        for w in texts:
+            for n in self.counts:
+                full = ["\0start", *w] if n > 1 else w
+                self.counts[n].update(tuple(full[i : i + n]) for i in range(len(full) - n + 1))
+        self.total = sum(self.counts[1].values())
+        self.factors = {n: katz.discounts([collections.Counter(c.values())[r] for r in range(1, 7)]) for n, c in self.counts.items()}
+        self.after = {n: collections.defaultdict(list) for n in range(2, order + 1)}
+        for n, after in self.after.items():
+            for g in self.counts[n]:
+                after[g[:-1]].append(g[-1])
+        self.unknown = 1 - sum(self.kept(g) for g in self.counts[1]) / self.total
+
+    def kept(self, g):
+        c = self.counts[len(g)][g]
+        return c * (self.factors[len(g)][c] if c <= 5 else 1)
+
+    @functools.cache
+    def history(self, h):
+        """The history's words, count, whether nothing is discounted, and weight of the order below."""
+        if not (words := self.after[len(h) + 1].get(h)):
+            return None
+        total = sum(self.counts[len(h) + 1][(*h, w)] for w in words)
+        free = 1 - sum(self.kept((*h, w)) for w in words) / total
+        if bare := free < 1e-12:
+            total, free = total + 1, 1 / (total + 1)
+        return total, bare, free / (1 - sum(self.p((*h[1:], w)) for w in words))
+
+    def p(self, g):
+        if len(g) == 1:
+            return self.kept(g) / self.total if g in self.counts[1] else self.unknown
+        if not (known := self.history(g[:-1])):
+            return self.p(g[1:])
+        total, bare, weight = known
+        if g in self.counts[len(g)]:
+            return (self.counts[len(g)][g] if bare else self.kept(g)) / total
+        return weight * self.p(g[1:])
+
+    def score(self, w):
+        full = ["\0start", *w]
+        return sum(math.log10(self.p(tuple(full[max(0, i - self.order + 1) : i + 1]))) for i in range(1, len(full)))
+
+
+@pytest.mark.parametrize("order, fan", [(2, 1024), (3, 1024), (3, 3), (4, 2)])
+def test_katz_equals_plain_recursion(spark, small, order, fan):
+    docs = [*list(small.items())[:60], (9001, None), (9002, ""), (9003, "New unseenword the"), (None, "a null id teaches"), (5, "of a repeated id")]
+    rows = katz.score_texts(frame(spark, docs), order, block_bytes=20000, fan=fan).collect()
+    end = "\0end"
+    tokens = [[w.decode("latin-1") for w in (t or "").encode().lower().split()] + [end] for _, t in docs]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs]
+    plain = PlainKatz([w for w, h in zip(tokens, held) if not h], order)
+    one, n = plain.counts[1], plain.total
+    for h in list(plain.after[order])[:10]:  # probabilities of all words and the unknown one sum to 1
+        assert abs(sum(plain.p((*h, *w)) for w in one) + plain.p((*h, "\0new")) - 1) < 1e-9
+    want = [(str(d), h, len(w), sum((x,) in one for x in w), n, sum(math.log10((one[(x,)] + 1) / (n + len(one) + 1)) for x in w), plain.score(w)) for (d, _), h, w in zip(docs, held, tokens)]
+    got = sorted((str(r[0]), *r[1:]) for r in rows)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-8) and math.isclose(a[6], b[6], rel_tol=1e-7), (a, b)
 
 
 def test_shards_are_even_and_keep_groups(spark, small):

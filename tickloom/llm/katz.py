@@ -1,12 +1,10 @@
-"""Katz backoff scores: Good-Turing discounted counts of words and word pairs, exactly normalised.
-
-Texts are cut into blocks of a few megabytes. Each block asks for the corpus
-counts of its distinct words and pairs: requests meet by hash bucket, where
-counts are summed, and the answers go back to the block. Pairs that a bucket
-assigns to one block alone ("owned") give each history's discounted mass and the
-unigram mass of its seen words, which meet by bucket again and come back as the
-history's backoff weight. So tables are split by bucket, blocks and buckets have
-a bounded size, and frequent words are summed before any shuffle.
+"""Katz backoff scores: Good-Turing discounted n-gram counts, exactly normalised, evaluated recursively for each token.
+
+Texts are cut into blocks of a few megabytes. Each block asks for the corpus counts of its distinct n-grams of every
+order: requests meet by hash bucket, where counts are summed, and the answers go back to the block. N-grams
+that a bucket assigns to one block alone ("owned") give each history's discounted mass and what the lower order gives to the
+words seen after it; these meet by bucket again and come back as sums. So all tables are split by bucket; blocks and
+buckets have a bounded size, and where very many blocks ask a bucket, they are summed in two steps (``summed``).
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,9 @@ from .words import SPACED_BYTES, hashed, mixed
 #: Counts above this are not discounted.
 RELIABLE = 5
 END, START = np.uint64(0x1D8AF066A5C2E3B7), np.uint64(0xC3A5C85C97CB3127)
-WORDS, PAIRS, HISTORIES, TEXTS = range(4)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of rows: texts; counts of n-grams have their order as kind, masses of histories their order above this.
+TEXTS, MASSES = 0, 100
 ROW = "block long, kind int, bucket long, data binary"
 
 
@@ -63,7 +64,7 @@ def lowered(text: str | None) -> bytes:
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of kind TEXTS: document ids, their token counts, sorted word hashes, and tokens as places among these."""
+    """Rows of kind TEXTS: document ids, which of them are null, token counts, sorted word hashes, and tokens as places among these."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -73,10 +74,11 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             counts = np.diff(at)
             tokens = np.insert(words, at[1:], END)
             kinds, places = np.unique(tokens, return_inverse=True)
-            data = _packed(np.array(ids, "<i8"), (counts + 1).astype("<i4"), _deltas(kinds), places.astype("<i4"))
+            none = np.array([d is None for d in ids])
+            data = _packed(np.array([d or 0 for d in ids], "<i8"), none.astype("u1"), (counts + 1).astype("<i4"), _deltas(kinds), places.astype("<i4"))
             return _row(part << 32 | seq, TEXTS, 0, data)
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(doc)
                 texts.append(lowered(text))
@@ -95,31 +97,41 @@ def _row(block: int, kind: int, bucket: int, data: bytes) -> pa.RecordBatch:
 
 
 class Block:
-    """A block's tokens, distinct words and distinct pairs; pairs are in the order of their hashes."""
-
-    def __init__(self, data: bytes):
-        self.ids, counts, deltas, self.tokens = _unpacked(data, "<i8", "<i4", "<u8", "<i4")
-        self.words = np.cumsum(deltas, dtype="u8")
-        self.starts = np.cumsum(counts) - counts
-        self.counts = counts
-        self.held = np.array([is_held_out(d) for d in self.ids.tolist()], bool)
+    """A block's tokens and its distinct n-grams of orders 1 to ``order``, in the order of their hashes.
+
+    By order: ``keys``; ``valid``, the tokens that end such an n-gram (the first one of a text has a word pair with the
+    start, but no longer n-gram); ``which``, each of these tokens' n-gram; ``history``, for each n-gram the place of its history among
+    the n-grams of the order below, or for pairs the word, with the start behind all words.
+    """
+
+    def __init__(self, data: bytes, order: int):
+        ids, none, counts, deltas, tokens = _unpacked(data, "<i8", "u1", "<i4", "<u8", "<i4")
+        self.ids = [None if n else d for d, n in zip(ids.tolist(), none.tolist())]
+        words = np.cumsum(deltas, dtype="u8")
+        self.starts, self.counts = np.cumsum(counts) - counts, counts
+        self.held = np.array([d is not None and is_held_out(d) for d in self.ids], bool)
         self.teach = np.repeat(~self.held, counts)
-        n = len(self.words)
-        before = np.r_[0, self.tokens[:-1]].astype("i8")
-        before[self.starts] = n  # the start of a text
-        pair, self.which = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        self.history, self.word = pair // (n + 1), pair % (n + 1)
-        self.histories = np.r_[self.words, START]
-        keys = mixed(self.histories[self.history] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word])
-        by = np.argsort(keys)
-        back = np.empty(len(by), "i8")
-        back[by] = np.arange(len(by))
-        self.pairs, self.history, self.word, self.which = keys[by], self.history[by], self.word[by], back[self.which]
+        place = np.arange(len(tokens)) - np.repeat(self.starts, counts)
+        self.keys, self.valid, self.which, self.history = {1: words}, {1: np.arange(len(tokens))}, {1: tokens.astype("i8")}, {}
+        full = words[tokens]  # hash of the n-gram that ends at each token
+        below = self.which[1]
+        for n in range(2, order + 1):
+            at = np.flatnonzero(place >= n - 2)
+            first = place[at] == 0
+            before = np.where(first, len(words), below[at - 1])
+            key = mixed(np.where(first, START, full[at - 1]) * _STEP + words[tokens[at]])
+            self.keys[n], one, which = np.unique(key, return_index=True, return_inverse=True)
+            self.valid[n], self.which[n], self.history[n] = at, which, before[one]
+            full, below = np.zeros(len(tokens), "u8"), np.zeros(len(tokens), "i8")
+            full[at], below[at] = key, which
+
+    def history_keys(self, n: int) -> np.ndarray:
+        return np.r_[self.keys[1], START] if n == 2 else self.keys[n - 1]
 
     def requests(self, bits: int) -> Iterator[tuple[int, int, bytes]]:
-        for kind, keys, which in ((WORDS, self.words, self.tokens), (PAIRS, self.pairs, self.which)):
-            own = np.bincount(which[self.teach], minlength=len(keys)).astype("<u4")
-            yield from _dealt(kind, keys, bits, own)
+        for n, keys in self.keys.items():
+            own = np.bincount(self.which[n][self.teach[self.valid[n]]], minlength=len(keys)).astype("<u8")
+            yield from _dealt(n, keys, bits, own)
 
 
 def _dealt(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -136,41 +148,77 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int64()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def _counted(t: pa.Table) -> pa.Table:
-    """For each request of a bucket the corpus counts of its keys, twice, plus one where the block owns the key; and the bucket's counts of counts (block -1)."""
-    t = t.sort_by("block")
-    asked = [_unpacked(d, "<u8", "<u4") for d in t.column("data").to_pylist()]
-    keys, own = np.concatenate([np.cumsum(a[0], dtype="u8") for a in asked]), np.concatenate([a[1] for a in asked])
-    by = np.lexsort((own == 0, keys))  # stable: the owner is the first block that has taught the key
-    new = np.r_[True, keys[by][1:] != keys[by][:-1]]
-    totals = np.add.reduceat(own[by].astype("i8"), np.flatnonzero(new))
-    answer = np.empty(len(keys), "<u4")
-    answer[by] = (totals[np.cumsum(new) - 1] * 2 + (new & (own[by] > 0))).astype("u4")
-    kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
-    rows, at = [], 0
-    for block, a in zip(t.column("block").to_pylist(), asked):
-        rows.append((block, kind, bucket, _packed(answer[at : at + len(a[0])])))
-        at += len(a[0])
-    seen = np.r_[(totals > 0).sum(), totals.sum(), np.bincount(totals[totals <= RELIABLE + 1], minlength=RELIABLE + 2)[1:]]
-    return _table([*rows, (-1, kind, bucket, seen.astype("<i8").tobytes())])
-
-
-def _backed_off(t: pa.Table) -> pa.Table:
-    """For each request the backoff weight of its histories; below 0 where a history has no discounted mass, then for a mass of 1."""
-    t = t.sort_by("block")
-    asked = [_unpacked(d, "<u8", "<f8", "<f8") for d in t.column("data").to_pylist()]
-    keys = np.concatenate([np.cumsum(a[0], dtype="u8") for a in asked])
-    _, which = np.unique(keys, return_inverse=True)
-    free, seen = (np.bincount(which, np.concatenate([a[k] for a in asked])) for k in (1, 2))
-    rest = np.maximum(1 - seen, 1e-12)
-    alpha = np.where(free > 1e-12, free / rest, -1 / rest)[which]
-    bucket, rows, at = t.column("bucket")[0].as_py(), [], 0
-    for block, a in zip(t.column("block").to_pylist(), asked):
-        rows.append((block, HISTORIES, bucket, _packed(alpha[at : at + len(a[0])].astype("<f8"))))
-        at += len(a[0])
+class Requests:
+    """The requests of one kind and bucket: keys of all blocks together, their values' sums, and who asked what."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by("block")
+        self.kind, self.bucket, self.blocks = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py(), t.column("block").to_pylist()
+        self.counts = self.kind < MASSES
+        asked = [_unpacked(d, "<u8", *(["<u8"] if self.counts else ["<f8", "<f8"])) for d in t.column("data").to_pylist()]
+        self.sizes = [len(a[0]) for a in asked]
+        self.values = [np.concatenate(v) for v in list(zip(*asked))[1:]]
+        self.keys, self.which = np.unique(np.concatenate([np.cumsum(a[0], dtype="u8") for a in asked]), return_inverse=True)
+        if self.counts:
+            self.sums = [np.bincount(self.which, self.values[0], len(self.keys)).astype("<u8")]
+        else:
+            self.sums = [np.bincount(self.which, v, len(self.keys)) for v in self.values]
+
+    def one(self, block: int) -> pa.Table:
+        """All as one request of a block."""
+        return _table([(block, self.kind, self.bucket, _packed(_deltas(self.keys), *self.sums))])
+
+    def answers(self, totals: list[np.ndarray], owned: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        """Each block's totals; counts are doubled, plus one where the block is the first that has taught a key that is ``owned`` here."""
+        out = [x[self.which] for x in totals]
+        if self.counts:
+            taught = np.flatnonzero(self.values[0] > 0)
+            _, first = np.unique(self.which[taught], return_index=True)
+            own = np.zeros(len(self.which), bool)
+            own[taught[first]] = True
+            out[0] = (out[0] << np.uint64(1)) + (own & owned[self.which]).astype("<u8")
+        ends = np.cumsum(self.sizes)
+        return [(b, self.kind, self.bucket, _packed(*(x[e - n : e] for x in out))) for b, n, e in zip(self.blocks, self.sizes, ends)]
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """Answers to all blocks, and for counts the bucket's counts of counts (block -1)."""
+    asked = Requests(t)
+    rows = asked.answers(asked.sums, np.ones(len(asked.keys), bool))
+    if asked.counts:
+        c = asked.sums[0].astype("i8")
+        seen = np.r_[(c > 0).sum(), c.sum(), np.bincount(c[c <= RELIABLE + 1], minlength=RELIABLE + 2)[1:]]
+        rows.append((-1, asked.kind, asked.bucket, seen.astype("<i8").tobytes()))
     return _table(rows)
 
 
+def _passed_on(t: pa.Table) -> pa.Table:
+    """Answers to the blocks of one part, from the answer to the part."""
+    asked = Requests(t.filter(pc.invert(t.column("answer"))))
+    kinds = ["<u8"] if asked.counts else ["<f8", "<f8"]
+    totals, owned = _unpacked(t.filter(t.column("answer")).column("data")[0].as_py(), *kinds), np.ones(len(asked.keys), bool)
+    if asked.counts:
+        owned, totals[0] = totals[0] & np.uint64(1) > 0, totals[0] >> np.uint64(1)
+    return _table(asked.answers(totals, owned))
+
+
+def summed(requests: DataFrame, blocks: int, fan: int) -> DataFrame:
+    """Answers to ``requests`` by bucket. Frequent n-grams are asked for by every block: above ``fan`` blocks, parts of these meet first."""
+    if blocks <= fan:
+        return requests.groupBy("kind", "bucket").applyInArrow(_total, ROW)
+    part = F.pmod(F.xxhash64("block"), F.lit(-(-blocks // fan)))
+    requests = requests.withColumn("part", -2 - part)
+
+    def one(t: pa.Table) -> pa.Table:
+        return Requests(t).one(t.column("part")[0].as_py())
+
+    totals = staged(summed(requests.groupBy("kind", "bucket", "part").applyInArrow(one, ROW), -(-blocks // fan), fan), "totals")
+    back = totals.where("block < -1").withColumn("part", F.col("block")).withColumn("answer", F.lit(True))
+    back = requests.withColumn("answer", F.lit(False)).unionByName(back)
+    answers = back.groupBy("kind", "bucket", "part").applyInArrow(_passed_on, ROW)
+    return answers.unionByName(totals.where("block = -1"))
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Katz's factors for counts from 0 to RELIABLE, by Good-Turing estimates from ``n``[r-1] keys of count r.
 
@@ -213,73 +261,103 @@ def _answers(t: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(types)]
 
 
-def _meet(t: pa.Table) -> tuple[int, Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block with its answers: counts of words, of histories, of pairs, and which pairs it owns."""
-    data = next(d for k, d in zip(t.column("kind").to_pylist(), t.column("data").to_pylist()) if k == TEXTS)
-    block = Block(data)
-    words = _answers(t, WORDS, "<u4")[0].astype("i8") >> 1
-    pairs = _answers(t, PAIRS, "<u4")[0].astype("i8")
-    return t.column("block")[0].as_py(), block, words, np.r_[words, words[np.searchsorted(block.words, END)]], pairs >> 1, pairs & 1 > 0
+class Met(Block):
+    """A block with its answers: by order the n-grams' corpus counts and whether the block owns them, and the counts of histories."""
+
+    def __init__(self, t: pa.Table, order: int):
+        kinds = t.column("kind").to_pylist()
+        super().__init__(t.column("data")[kinds.index(TEXTS)].as_py(), order)
+        self.block, self.count, self.owned, self.before = t.column("block")[0].as_py(), {}, {}, {}
+        for n in self.keys:
+            (a,) = _answers(t, n, "<u8")
+            self.count[n], self.owned[n] = (a >> np.uint64(1)).astype("i8"), a & np.uint64(1) > 0
+        for n in self.history:  # a text's start is as frequent as its end
+            self.before[n] = np.r_[self.count[1], self.count[1][np.searchsorted(self.keys[1], END)]] if n == 2 else self.count[n - 1]
 
+    def asking(self, n: int) -> np.ndarray:
+        """The histories of order ``n`` that training has, in the order of their keys."""
+        own = np.unique(self.history[n])
+        own = own[self.before[n][own] > 0]
+        return own[np.argsort(self.history_keys(n)[own])]
 
-def score_texts(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+
+def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 8 << 20, fan: int = 1024) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents.
 
-    Learns from documents whose crc32(doc_id as text) mod 7 is not 2. ``score``
-    is the text's log10 probability with backoff from pairs to words: a pair seen
-    in training has its discounted share of its history; any other the history's weight times the word's
-    probability; a history never seen backs off with weight 1. Null texts count as
-    empty: one end token. Rows of one doc_id are texts of their own.
+    Learns from documents whose crc32(doc_id as text) mod 7 is not 2. ``score`` is the text's log10 probability: an
+    n-gram of ``order`` tokens seen in training has its discounted share of its history; any other the history's weight times the
+    probability that the order below gives; a history never seen backs off with weight 1. The lowest order has one
+    class for all unknown words. A history of which no mass is discounted gets one count more, for what was not
+    seen. Null texts count as empty: one end token. Rows of one doc_id are texts of their own; null ids teach.
     """
     texts = staged(blocks(docs, block_bytes), "blocks")
-    bits = max(0, int(2 * max(1, texts.count()) - 1).bit_length())
+    n_blocks = texts.count()
+    bits = max(0, int(2 * max(1, n_blocks) - 1).bit_length())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
-                for kind, bucket, request in Block(data).requests(bits):
+                for kind, bucket, request in Block(data, order).requests(bits):
                     yield _row(block, kind, bucket, request)
 
-    counted = staged(texts.mapInArrow(ask, ROW).groupBy("kind", "bucket").applyInArrow(_counted, ROW), "counts")
-    stats = {k: np.zeros(RELIABLE + 3, "i8") for k in (WORDS, PAIRS)}
-    for r in counted.where("block = -1").select("kind", "data").toLocalIterator():
-        stats[r["kind"]] += np.frombuffer(r["data"], "<i8")
-    unigram = Unigrams(int(stats[WORDS][0]), int(stats[WORDS][1]), stats[WORDS][2:].tolist())
-    factors = discounts(stats[PAIRS][2:].tolist())
+    counted = staged(summed(texts.mapInArrow(ask, ROW), n_blocks, fan), "counts")
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.frombuffer(data, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, "i4")), pa.array(np.arange(len(v), dtype="i4")), pa.array(v)], ["kind", "i", "n"])
+
+    stats = {n: [0] * (RELIABLE + 3) for n in range(1, order + 1)}
+    sums = counted.where("block = -1").select("kind", "data").mapInArrow(numbers, "kind int, i int, n long").groupBy("kind", "i").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # some numbers an order
+        stats[r["kind"]][r["i"]] = r["n"]
+    unigram = Unigrams(stats[1][0], stats[1][1], stats[1][2:])
+    factors = {n: discounts(stats[n][2:]) for n in range(2, order + 1)}
 
-    def kept(c: np.ndarray) -> np.ndarray:
-        return np.where(c > RELIABLE, 1.0, factors[np.minimum(c, RELIABLE)])
+    def kept(n: int, c: np.ndarray) -> np.ndarray:
+        return c * np.where(c > RELIABLE, 1.0, factors[n][np.minimum(c, RELIABLE)])
 
     def masses(t: pa.Table) -> pa.Table:
-        name, block, words, histories, pairs, owned = _meet(t)
-        use = owned & (pairs > 0)
-        h, n = block.history[use], len(histories)
-        free = np.bincount(h, pairs[use] * (1 - kept(pairs[use])), n) / np.maximum(histories, 1)
-        seen = np.bincount(h, unigram(words[block.word[use]]), n)
-        by = np.argsort(block.histories)
-        by = by[histories[by] > 0]
-        return _table([(name, k, b, d) for k, b, d in _dealt(HISTORIES, block.histories[by], bits, free[by], seen[by])])
+        block, rows = Met(t, order), []
+        for n in range(2, order + 1):
+            use = block.owned[n] & (block.count[n] > 0)
+            h, c, size = block.history[n][use], block.count[n][use], len(block.before[n])
+            # the order below gives a word its kept count over a divisor that only the scoring block knows; words have theirs
+            below = np.zeros(len(block.keys[n]), "i8")
+            below[block.which[n]] = block.which[n - 1][np.searchsorted(block.valid[n - 1], block.valid[n])]
+            lower = block.count[n - 1][below[use]]
+            free = np.bincount(h, c - kept(n, c), size) / np.maximum(block.before[n], 1)
+            seen = np.bincount(h, unigram(lower) if n == 2 else kept(n - 1, lower), size)
+            own = block.asking(n)
+            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, free[own], seen[own])]
+        return _table(rows)
 
     def scored(t: pa.Table) -> pa.Table:
-        _, block, words, histories, pairs, _ = _meet(t)
-        by = np.argsort(block.histories)
-        by = by[histories[by] > 0]
-        alpha = np.ones(len(histories))
-        alpha[by] = _answers(t, HISTORIES, "<f8")[0]
-        bare = alpha < 0
-        alpha[bare] = -alpha[bare] / (histories[bare] + 1)
-        share = np.where(bare[block.history], 1 / (histories[block.history] + 1), kept(pairs) / np.maximum(histories[block.history], 1))
-        single = unigram(words)
-        logs = np.log10(np.where(pairs > 0, pairs * share, alpha[block.history] * single[block.word]))
+        block = Met(t, order)
+        tokens, words = block.which[1], block.count[1]
+        p, divisor = unigram(words)[tokens], np.ones(len(tokens))
+        for n in range(2, order + 1):
+            own, size = block.asking(n), len(block.before[n])
+            free, seen = np.zeros(size), np.zeros(size)
+            free[own], seen[own] = _answers(t, MASSES + n, "<f8", "<f8")
+            at, h = block.valid[n], block.history[n][block.which[n]]
+            c, before = block.count[n][block.which[n]], block.before[n][h]
+            bare = free[h] < 1e-12
+            whole = before + bare.astype("f8")
+            weight = np.where(bare, 1 / np.maximum(whole, 1), free[h]) / np.maximum(1 - seen[h] / divisor[at], 1e-12)
+            p[at] = np.where(before == 0, p[at], np.where(c > 0, np.where(bare, c, kept(n, c)) / np.maximum(whole, 1), weight * p[at]))
+            divisor = np.ones(len(tokens))
+            divisor[at] = np.maximum(whole, 1)
         base = np.log10((words + 1) / (unigram.total + unigram.kinds + 1))
         add = lambda x: np.add.reduceat(x, block.starts)
         return pa.table({
-            "doc_id": pa.array(block.ids), "held_out": pa.array(block.held), "n_tokens": pa.array(block.counts.astype("i8")), "n_known": pa.array(add((words > 0)[block.tokens].astype("i8"))),
-            "train_tokens": pa.array(np.full(len(block.ids), unigram.total, "i8")), "base_score": pa.array(add(base[block.tokens])), "score": pa.array(add(logs[block.which])),
+            "doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.counts.astype("i8")), "n_known": pa.array(add((words > 0)[tokens].astype("i8"))),
+            "train_tokens": pa.array(np.full(len(block.ids), unigram.total, "i8")), "base_score": pa.array(add(base[tokens])), "score": pa.array(add(np.log10(p))),
         })
 
     answers = counted.where("block >= 0")
     met = texts.unionByName(answers).groupBy("block").applyInArrow(masses, ROW)
-    weights = staged(met.groupBy("bucket").applyInArrow(_backed_off, ROW), "weights")
+    weights = staged(summed(met, n_blocks, fan), "weights")
     out = texts.unionByName(answers).unionByName(weights).groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
