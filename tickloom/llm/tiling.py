@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, staged
+from .common import sliced, spread_join, staged
 from .words import grams, hashed, lowered
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,28 +74,43 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
         s = max(least, s // 2)
 
 
-def _seed_rows(rows: DataFrame, key: str, k: int, filter_bits: bytes | None = None) -> DataFrame:
-    """Rows (key, seeds, n_words, words): distinct hashes of k words, and all words' hashes as bytes.
+def _item_rows(items: DataFrame, seed_words: int) -> DataFrame:
+    """Rows (key, seeds, n_words, words, size) of test items: distinct hashes of ``size`` words, which are ``seed_words`` or all words of a shorter item."""
 
-    With ``filter_bits`` only rows that hold a seed marked there, with those seeds alone.
-    """
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(filter_bits, "u1") if filter_bits else None
         for b in sliced(batches):
             h, at = hashed(lowered(b.column(1).to_pylist()))
-            g = grams(h, k)
-            if bits is None:
-                good = np.ones(len(g), bool)
-            else:
+            own = [(i, h[x:z], min(seed_words, int(z - x))) for i, x, z in zip(b.column(0).to_pylist(), at[:-1], at[1:]) if z > x]
+            out = [(i, np.unique(grams(w, k)).view("i8"), len(w), w.tobytes(), k) for i, w, k in own]
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int32()))], ["key", "seeds", "n_words", "words", "size"])
+
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(seeds, "key long, seeds array<long>, n_words long, words binary, size int")
+
+
+def _text_rows(docs: DataFrame, sizes: list[int], filter_bits: bytes) -> DataFrame:
+    """Rows (key, seeds, n_words, words) of documents that hold runs of ``sizes`` words which ``filter_bits`` marks: those, and all words' hashes as bytes."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(filter_bits, "u1")
+        for b in sliced(batches):
+            h, at = hashed(lowered(b.column(1).to_pylist()))
+            found = []
+            for k in sizes:
+                g = grams(h, k)
                 slot = g % np.uint64(len(bits) * 8)
-                good = bits[(slot >> np.uint64(3)).astype("i8")] >> (slot & np.uint64(7)).astype("u1") & 1 > 0
-            places = np.flatnonzero(good)
-            lo, hi = np.searchsorted(places, at[:-1]), np.searchsorted(places, np.maximum(at[1:] - k + 1, at[:-1]))
-            out = [(i, np.unique(g[places[x:y]]).view("i8"), z - w, h[w:z].tobytes()) for i, x, y, w, z in zip(b.column(0).to_pylist(), lo, hi, at[:-1].tolist(), at[1:].tolist()) if y > x]
+                places = np.flatnonzero(bits[(slot >> np.uint64(3)).astype("i8")] >> (slot & np.uint64(7)).astype("u1") & 1)
+                # a run ends in its own text
+                found.append((g, places, np.searchsorted(places, at[:-1]), np.searchsorted(places, np.maximum(at[1:] - k + 1, at[:-1]))))
+            out = []
+            for d, (i, w, z) in enumerate(zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())):
+                own = [g[places[lo[d] : hi[d]]] for g, places, lo, hi in found]
+                if any(map(len, own)):
+                    out.append((i, np.unique(np.concatenate(own)).view("i8"), z - w, h[w:z].tobytes()))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()))], ["key", "seeds", "n_words", "words"])
 
-    return rows.select(F.col(key).cast("long"), "text").mapInArrow(seeds, "key long, seeds array<long>, n_words long, words binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(seeds, "key long, seeds array<long>, n_words long, words binary")
 
 
 def _filter(seeds: DataFrame, bits: int) -> bytes:
@@ -112,28 +127,33 @@ def overlaps(docs: DataFrame, items: DataFrame, seed_words: int = 5, coverage: f
     """Rows (doc_id, item_id, coverage, n_tiles, matched_words, item_words) of documents that hold test items.
 
     Words are runs of letters and digits (all of ASCII's other characters part them), lower case. A
-    document and an item that share a run of ``seed_words`` words are tiled with
+    document and an item that share a run of ``seed_words`` words (an item of fewer words: all of them) are tiled with
     tiles of at least that length, in any order; coverage is the tiles' share of the item's
-    words. Items and documents without such a run have no rows, nor have
-    nulls. A bit table of fixed size spares documents without seeds the join; as
+    words. Items and documents without such a run have no rows, nor have nulls; rows that repeat an
+    id are judged by text. A bit table of fixed size spares documents without seeds the join; as
     it fills, more rows take part in the join and none is lost.
     """
-    marked = staged(_seed_rows(items.where("text is not null"), "item_id", seed_words), "items")
+    marked = staged(_item_rows(items.where("text is not null"), seed_words), "items")
+    sizes = sorted({seed_words} | {r["size"] for r in marked.select("size").distinct().collect()})  # seed_words sizes at most
     seeds = marked.select(F.col("key").alias("item_id"), F.col("n_words").alias("item_words"), F.explode("seeds").alias("seed"))
-    hits = staged(_seed_rows(docs.where("text is not null"), "doc_id", seed_words, _filter(seeds, filter_bits)), "hits")
-    shared = hits.select(F.col("key").alias("doc_id"), F.explode("seeds").alias("seed")).join(seeds, "seed")
-    pairs = shared.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.first("item_words").alias("item_words"))
+    hits = staged(_text_rows(docs.where("text is not null"), sizes, _filter(seeds, filter_bits)), "hits")
+    # rows of one id with other texts are texts of their own
+    hits, marked = hits.withColumn("text", F.xxhash64("words")), marked.withColumn("item", F.xxhash64("words"))
+    seeds = marked.select("item", F.explode("seeds").alias("seed")).distinct()
+    shared = hits.select("text", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
+    pairs = shared.groupBy("text", "item").agg(F.count(F.lit(1)).alias("n"))
     # a seed may stand at several places of the item, which its length bounds
-    repeats = marked.select(F.col("key").alias("item_id"), (F.col("n_words") - seed_words + 1 - F.size("seeds")).alias("repeats"))
-    pairs = pairs.join(repeats, "item_id").where((F.col("n") + F.col("repeats")) * seed_words >= coverage * F.col("item_words")).select("doc_id", "item_id")
-    both = pairs.distinct().join(hits.select(F.col("key").alias("doc_id"), F.col("words").alias("doc_words")), "doc_id").join(marked.select(F.col("key").alias("item_id"), "words"), "item_id")
+    needs = marked.select("item", "n_words", "size", (F.col("n_words") - F.col("size") + 1 - F.size("seeds")).alias("repeats")).distinct()
+    pairs = pairs.join(needs, "item").where((F.col("n") + F.col("repeats")) * F.col("size") >= coverage * F.col("n_words")).select("text", "item")
+    holders = hits.select("text", F.col("key").alias("doc_id"), F.col("words").alias("doc_words"))
+    both = spread_join(holders, pairs, ["text"], ["doc_id"]).join(marked.select("item", F.col("key").alias("item_id"), "words"), "item")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             out = []
             for doc, item, text, words in zip(*(c.to_pylist() for c in b.columns)):
                 item_words = np.frombuffer(words, "u8")
-                found = tiles(item_words, np.frombuffer(text, "u8"), seed_words)
+                found = tiles(item_words, np.frombuffer(text, "u8"), min(seed_words, len(item_words)))
                 n = sum(x[2] for x in found)
                 if n >= coverage * len(item_words):
                     out.append((doc, item, n / len(item_words), len(found), n, len(item_words)))
