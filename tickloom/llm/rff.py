@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def statistics(text: str | None) -> list[float]:
     upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
     digits = len(raw) - len(raw.translate(None, bytes(range(48, 58))))
     repeats = sum(a == b for a, b in zip(folded, folded[1:]))
-    common = max((folded.count(w) for w in {folded[0], folded[-1]}), default=0) if folded else 0
+    common = max(Counter(folded).values(), default=0)
     return [
         np.log1p(len(text)), np.log1p(len(tokens)), np.log1p(sum(lengths) / m), 1 - letters / n, upper / n, digits / n, (text.count(" ") + text.count("\n")) / n,
         marks / n, (marks - text.count(".") - text.count(",")) / n, (len(text) - len(raw)) / n, len(kinds) / m,
@@ -165,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
     Learns from labelled documents whose crc32(doc_id as text) is not divisible
     by ``folds``; one of the other residues calibrates. Null labels teach
-    nothing; null and empty texts are scored like any other.
+    nothing; null and empty texts are scored like any other. Without documents there are no rows.
     """
     x = staged(features(docs), "statistics")
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
