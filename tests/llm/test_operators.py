@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import katz, lines, ominhash, packing, pfor, queries, rff, secrets, shards, tiling, vptree
+from tickloom.llm import katz, lines, ominhash, packing, pfor, queries, rff, secrets, shards, tiling, tokens, vptree
 from tickloom.llm.words import SPACED_BYTES, hashed
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -402,6 +402,27 @@ def test_decontamination_finds_reordered_items_alone(spark):
     assert {r["doc_id"] for r in tiling.decontaminate(frame(spark, docs), items).collect()} == {2, 4, 5, 6, 7}
 
 
+def test_items_of_few_words_are_found(spark):
+    items = spark.createDataFrame([(1, "four words of it"), (2, "Alone"), (3, "one two three four five six"), (3, "other words under the third id")], "item_id long, text string")
+    docs = [(1, "here are four words of it."), (2, "four words of her"), (3, "not alone"), (4, "one two three four five"), (5, "one two three four 5 six"), (None, "four words of it"), (6, "a"), (6, "these are the other words under the third id")]
+    out = collections.Counter((r["doc_id"], r["item_id"]) for r in tiling.overlaps(frame(spark, docs), items).collect())
+    assert out == collections.Counter([(1, 1), (3, 2), (4, 3), (None, 1), (6, 3)])
+
+
+def test_sums_of_partitions_solve_the_ridge_regression(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, len(rff.STATISTICS)))
+    y = (x[:, 0] + np.sin(x[:, 1]) > 0).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), float(b), bool(k % 4 == 0)) for k, (a, b) in enumerate(zip(x, y))], "x array<double>, y double, calibrate boolean").repartition(7)
+    model = rff.fit(rows, waves=40, ridge=0.01)
+    own = np.arange(500) % 4 != 0
+    z = model.lift(x[own])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    assert np.allclose(model.ridge, np.linalg.solve(z.T @ z + 0.01 * own.sum() * np.eye(41), z.T @ y[own]))
+    score = model.score(x)
+    assert all(np.diff(score[np.argsort(model.raw(x))]) >= 0)
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     out = rff.classify(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).toPandas()
@@ -416,6 +437,11 @@ def test_classifier_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = rff.classify(frame(spark, odd_rows()), none).collect()
     assert len(out) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in out)
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    assert rff.classify(frame(spark, []), labels).count() == 0
+    docs = [*odd_rows(), (3, "another text of the id"), (None, "no id")]
+    out = rff.classify(frame(spark, docs), labels).collect()
+    assert len(out) == len(docs) and all(0 <= r["score"] <= 1 for r in out)
 
 
 def test_isotonic_is_the_least_squares_fit():
@@ -506,6 +532,29 @@ def test_token_files_and_packing_equal_the_library(spark, small, tmp_path):
         assert g.length.sum() <= 512 and list(g.offset) == [0, *g.length.cumsum()[:-1]]
 
 
+def test_token_files_of_missing_and_repeated_ids(spark, tmp_path):
+    for k, rows in enumerate(([], [(None, "no id"), (2, "b"), (2, "b"), (1, None), (None, "no id")])):
+        pfor.write_tokens(frame(spark, rows), queries.tokenizer_path(), str(tmp_path / str(k)))
+        out = pfor.read_tokens(spark.read.schema(pfor.SEGMENTS).parquet(str(tmp_path / str(k)))).orderBy("start").collect()
+        assert [r["doc_id"] for r in out] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+        assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:]))
+        packed = packing.pack(frame(spark, rows), queries.tokenizer_path(), 8).collect()
+        assert collections.Counter(r["doc_id"] for r in packed) == collections.Counter(d for d, _ in rows)
+
+
+def test_tokenizers_of_other_layouts_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    data = open(queries.tokenizer_path()).read()
+    path = tmp_path / "other.json"
+    path.write_text(data.replace('"Lowercase"', '"NFC"'))
+    texts = ["Some Words, as they are.", None, "don't  STOP"]
+    for p in (queries.tokenizer_path(), str(path)):
+        encoder, plain = tokens.Encoder(p), Tokenizer.from_file(p)
+        assert encoder.by_words == (p != str(path))
+        assert encoder.encode(texts) == [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_plans_fill_exactly():
     out = packing.plan({7: 3, 3: 2, 2: 1, 1: 1, 10: 1, 5: 3, 4: 2}, 10)
     used = collections.Counter()

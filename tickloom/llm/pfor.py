@@ -96,7 +96,7 @@ def decode(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return out.reshape(-1)[: n - first * BLOCK if last is None else min(len(blocks) * BLOCK, n - first * BLOCK)].astype("<u4")
 
 
-SEGMENTS = "part int, seq long, docs binary, lengths binary, ids binary, n_tokens long"
+SEGMENTS = "part int, seq long, docs array<long>, lengths binary, ids binary, n_tokens long"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
@@ -104,14 +104,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
     A segment holds the ids of neighbouring documents (about a million; always
     whole documents) as blocks, and the documents' ids and lengths. (part, seq)
-    orders segments. Null texts count as empty: they have the end id alone.
+    orders segments. Null texts count as empty: they have the end id alone. Null ids come
+    first; rows of one id are in the order of a hash of their texts.
     """
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, own, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            x = [[part], [seq], [np.array(own, "<i8").tobytes()], [encode(np.array([len(i) for i in ids], "<u4"))], [encode(np.concatenate(ids))], [held]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], ["part", "seq", "docs", "lengths", "ids", "n_tokens"])
+            x = [[part], [seq], [own], [encode(np.array([len(i) for i in ids], "<u4"))], [encode(np.concatenate(ids))], [held]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()))], ["part", "seq", "docs", "lengths", "ids", "n_tokens"])
 
         for b in sliced(batches):
             for doc, i in zip(b.column(0).to_pylist(), documents_ids(tokenizer, b.column(1).to_pylist(), end_id)):
@@ -124,7 +125,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if own:
             yield row()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")]
+    ordered = docs.select(*order, "text").repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENTS).write.parquet(path)
 
 
@@ -141,7 +143,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 ids, n = decode(data), decode(lengths).astype("i8")
                 ends = np.cumsum(n)
                 crcs = [crc(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "i4")), pa.array(np.full(len(n), seq, "i8")), pa.array(np.frombuffer(docs, "<i8")), pa.array(ends - n), pa.array(n), pa.array(crcs, pa.int64())], ["part", "seq", "doc_id", "_at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "i4")), pa.array(np.full(len(n), seq, "i8")), pa.array(docs, pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crcs, pa.int64())], ["part", "seq", "doc_id", "_at", "n_tokens", "ids_crc32"])
 
     rows = segments.select("part", "seq", "docs", "lengths", "ids").mapInArrow(documents, "part int, seq long, doc_id long, _at long, n_tokens long, ids_crc32 long")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

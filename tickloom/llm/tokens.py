@@ -1,14 +1,14 @@
 """Token ids of whole texts, by a public tokenizer and a bounded cache of words.
 
-The pre-tokenizer of ``word_bpe_49k.json`` never joins what white space parts, so
-a text's ids are those of its chunks between spaces, one after the other. Each
-worker keeps the ids of the chunks that it has met (a bounded table), and asks
-the tokenizers library for new ones only, many in one call.
+The pre-tokenizer of ``word_bpe_49k.json`` never joins what white space parts, so a text's ids are those of its chunks between
+spaces, one after the other. Each worker keeps the ids of the chunks that it has met (a bounded table), and asks the
+tokenizers library for new ones only, many in one call. A tokenizer of another layout (``by_words``) encodes whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 
@@ -19,6 +19,25 @@ END_ID = 1
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: The layout for which words can be encoded one by one.
+NORMALIZERS, REPLACED, ENDING = ["NFC", "Replace", "Lowercase"], "\\s+", "</w>"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(tokenizer) -> bool:
+    """Whether white space always parts tokens, lower case is the only change of letters, and words end in ids of their own."""
+    said = json.loads(tokenizer.to_str())
+    normal, pieces, model = said["normalizer"] or {}, said["pre_tokenizer"] or {}, said["model"]
+    steps, parts = normal.get("normalizers", []), pieces.get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == NORMALIZERS and steps[1]["pattern"] == {"Regex": REPLACED} and steps[1]["content"] == " "
+        and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": PIECES} and parts[0]["invert"] and parts[0]["behavior"] == "Removed"
+        and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == ENDING and not model["continuing_subword_prefix"] and not model["dropout"]
+        and all(x["special"] and x["content"].startswith("<|") for x in said["added_tokens"]) and not said["post_processor"]
+    )
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -30,13 +49,16 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache, self.new, self.old = cache, {}, {}
+        self.by_words = by_words(self.tokenizer)
+        if not self.by_words:
+            return
         # the same merges without the normalizer, for lower-case words of letters alone
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache, self.new, self.old = cache, {}, {}
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(ENDING)]] = True
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """A word's last id is one that ends words, and no other is; that parts the ids of a line of words."""
@@ -75,6 +97,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text without an end id; null counts as empty."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split: tuple[list, list] = [], []
         out: list[bytes] = [b""] * len(texts)
         for k, t in enumerate(texts):
