@@ -29,24 +29,32 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: texts; counts of n-grams have their order as kind, masses of histories their order above this.
 TEXTS, MASSES = 0, 100
 ROW = "block long, kind int, bucket long, data binary"
+#: Bits of a hash that are sent. Equal hashes of other n-grams would count together: below one in 10,000 for 10**13 n-grams.
+KEY_BITS = 56
+#: What is summed for a key: of an n-gram its count; of a history how many n-grams after it have each count up to RELIABLE, how many
+#: of the same words have each count in the order below, and the larger ones of those counts in all. Whole numbers, so sums are exact.
+COUNT, MASS = ("<u8",), (f"{2 * RELIABLE}<u4", "<u8")
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays with their bytes in planes, compressed."""
+    """Arrays (rows of some numbers) with their bytes in planes, compressed."""
     out = []
     for a in arrays:
-        planes = np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).tobytes()
+        width = a.itemsize * (a.shape[1] if a.ndim > 1 else 1)
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view("u1").reshape(len(a), width).T).tobytes()
         body = pa.compress(planes, codec="zstd", asbytes=True)
-        out += [np.array([len(a), a.itemsize, len(body)], "<i8").tobytes(), body]
+        out += [np.array([len(a), width, len(body)], "<i8").tobytes(), body]
     return b"".join(out)
 
 
 def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """Arrays of these types; a type with several numbers, such as 10<u4, gives rows."""
     at, out = 0, []
     for kind in kinds:
         n, size, k = np.frombuffer(data, "<i8", 3, at).tolist()
         planes = np.frombuffer(pa.decompress(data[at + 24 : at + 24 + k], n * size, codec="zstd", asbytes=True), "u1")
-        out.append(np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind))
+        flat, many = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1), kind.split("<")
+        out.append(flat.view("<" + many[1]).reshape(n, int(many[0])) if many[0] else flat.view(kind))
         at += 24 + k
     return out
 
@@ -105,7 +113,7 @@ class Block:
     """
 
     def __init__(self, data: bytes, order: int):
-        ids, none, counts, deltas, tokens = _unpacked(data, "<i8", "u1", "<i4", "<u8", "<i4")
+        ids, none, counts, deltas, tokens = _unpacked(data, "<i8", "<u1", "<i4", "<u8", "<i4")
         self.ids = [None if n else d for d, n in zip(ids.tolist(), none.tolist())]
         words = np.cumsum(deltas, dtype="u8")
         self.starts, self.counts = np.cumsum(counts) - counts, counts
@@ -135,8 +143,9 @@ class Block:
 
 
 def _dealt(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Sorted keys cut by their first ``bits`` bits."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype="u8") << np.uint64(64 - bits)) if bits else []
+    """Sorted keys, of ``KEY_BITS``, cut by their first ``bits`` bits."""
+    keys = keys >> np.uint64(64 - KEY_BITS)
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype="u8") << np.uint64(KEY_BITS - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         if b > a:
@@ -155,14 +164,13 @@ class Requests:
         t = t.sort_by("block")
         self.kind, self.bucket, self.blocks = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py(), t.column("block").to_pylist()
         self.counts = self.kind < MASSES
-        asked = [_unpacked(d, "<u8", *(["<u8"] if self.counts else ["<f8", "<f8"])) for d in t.column("data").to_pylist()]
+        self.types = COUNT if self.counts else MASS
+        asked = [_unpacked(d, "<u8", *self.types) for d in t.column("data").to_pylist()]
         self.sizes = [len(a[0]) for a in asked]
         self.values = [np.concatenate(v) for v in list(zip(*asked))[1:]]
         self.keys, self.which = np.unique(np.concatenate([np.cumsum(a[0], dtype="u8") for a in asked]), return_inverse=True)
-        if self.counts:
-            self.sums = [np.bincount(self.which, self.values[0], len(self.keys)).astype("<u8")]
-        else:
-            self.sums = [np.bincount(self.which, v, len(self.keys)) for v in self.values]
+        add = lambda v: np.bincount(self.which, v, len(self.keys)).astype(v.dtype)
+        self.sums = [np.column_stack([add(c) for c in v.T]) if v.ndim > 1 else add(v) for v in self.values]
 
     def one(self, block: int) -> pa.Table:
         """All as one request of a block."""
@@ -195,8 +203,7 @@ def _total(t: pa.Table) -> pa.Table:
 def _passed_on(t: pa.Table) -> pa.Table:
     """Answers to the blocks of one part, from the answer to the part."""
     asked = Requests(t.filter(pc.invert(t.column("answer"))))
-    kinds = ["<u8"] if asked.counts else ["<f8", "<f8"]
-    totals, owned = _unpacked(t.filter(t.column("answer")).column("data")[0].as_py(), *kinds), np.ones(len(asked.keys), bool)
+    totals, owned = _unpacked(t.filter(t.column("answer")).column("data")[0].as_py(), *asked.types), np.ones(len(asked.keys), bool)
     if asked.counts:
         owned, totals[0] = totals[0] & np.uint64(1) > 0, totals[0] >> np.uint64(1)
     return _table(asked.answers(totals, owned))
@@ -258,7 +265,9 @@ class Unigrams:
 def _answers(t: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
     own = sorted((b, d) for k, b, d in zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist(), t.column("data").to_pylist()) if k == kind)
     parts = [_unpacked(d, *types) for _, d in own]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(types)]
+    if not parts:
+        return [np.zeros((0, int(x.split("<")[0])) if x[0] != "<" else 0, "<" + x.split("<")[1]) for x in types]
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(types))]
 
 
 class Met(Block):
@@ -281,7 +290,7 @@ class Met(Block):
         return own[np.argsort(self.history_keys(n)[own])]
 
 
-def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 8 << 20, fan: int = 1024) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan: int = 1024) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents.
 
     Learns from documents whose crc32(doc_id as text) mod 7 is not 2. ``score`` is the text's log10 probability: an
@@ -323,24 +332,29 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 8 << 20, fan
         for n in range(2, order + 1):
             use = block.owned[n] & (block.count[n] > 0)
             h, c, size = block.history[n][use], block.count[n][use], len(block.before[n])
-            # the order below gives a word its kept count over a divisor that only the scoring block knows; words have theirs
             below = np.zeros(len(block.keys[n]), "i8")
             below[block.which[n]] = block.which[n - 1][np.searchsorted(block.valid[n - 1], block.valid[n])]
             lower = block.count[n - 1][below[use]]
-            free = np.bincount(h, c - kept(n, c), size) / np.maximum(block.before[n], 1)
-            seen = np.bincount(h, unigram(lower) if n == 2 else kept(n - 1, lower), size)
+            small = [np.bincount(h[x == r], minlength=size) for x in (c, lower) for r in range(1, RELIABLE + 1)]
+            large = np.bincount(h, np.where(lower > RELIABLE, lower, 0), size).astype("<u8")
+            small = np.column_stack(small).astype("<u4")
             own = block.asking(n)
-            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, free[own], seen[own])]
+            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, small[own], large[own])]
         return _table(rows)
 
     def scored(t: pa.Table) -> pa.Table:
         block = Met(t, order)
         tokens, words = block.which[1], block.count[1]
-        p, divisor = unigram(words)[tokens], np.ones(len(tokens))
+        p, divisor = unigram(words)[tokens], np.full(len(tokens), max(unigram.divisor, 1), "f8")
+        r = np.arange(1, RELIABLE + 1)
         for n in range(2, order + 1):
             own, size = block.asking(n), len(block.before[n])
+            small, large = _answers(t, MASSES + n, *MASS)
             free, seen = np.zeros(size), np.zeros(size)
-            free[own], seen[own] = _answers(t, MASSES + n, "<f8", "<f8")
+            # the order below gives a word its kept count over the divisor of the shorter history
+            below = unigram.factors if n == 2 else factors[n - 1]
+            free[own] = small[:, :RELIABLE] @ (r * (1 - factors[n][1:])) / block.before[n][own]
+            seen[own] = small[:, RELIABLE:] @ (r * below[1:]) + large
             at, h = block.valid[n], block.history[n][block.which[n]]
             c, before = block.count[n][block.which[n]], block.before[n][h]
             bare = free[h] < 1e-12
