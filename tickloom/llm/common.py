@@ -34,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tickloom/{spark.sparkContext.applicationId}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that have ended, which it does once the driver's garbage collection finds them unused.
+
+    Between stages that are written and read again nothing else needs them, and they may be larger than the tables.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes what this session has staged; DataFrames that read from it can no longer be used."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, staged
+from .common import free_shuffles, sliced, staged
 from .words import SPACED_BYTES, hashed, mixed
 
 #: Counts above this are not discounted.
@@ -29,8 +29,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: texts; counts of n-grams have their order as kind, masses of histories their order above this.
 TEXTS, MASSES = 0, 100
 ROW = "block long, kind int, bucket long, data binary"
-#: Bits of a hash that are sent. Equal hashes of other n-grams would count together: below one in 10,000 for 10**13 n-grams.
-KEY_BITS = 56
+#: Bits of a hash that are sent for a word, and how many more than the tokens' number has for longer n-grams: so few of
+#: them (one in 100,000) share their bits with another that counts stay right, and no more bytes than that are moved.
+WORD_BITS, SPARE_BITS = 56, 17
 #: What is summed for a key: of an n-gram its count; of a history how many n-grams after it have each count up to RELIABLE, how many
 #: of the same words have each count in the order below, and the larger ones of those counts in all. Whole numbers, so sums are exact.
 COUNT, MASS = ("<u8",), (f"{2 * RELIABLE}<u4", "<u8")
@@ -72,7 +73,7 @@ def lowered(text: str | None) -> bytes:
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of kind TEXTS: document ids, which of them are null, token counts, sorted word hashes, and tokens as places among these."""
+    """Rows of kind TEXTS: document ids, which of them are null, token counts, sorted word hashes, their ranks by frequency, and the tokens' ranks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -82,8 +83,12 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             counts = np.diff(at)
             tokens = np.insert(words, at[1:], END)
             kinds, places = np.unique(tokens, return_inverse=True)
+            # places by frequency, so that most are small numbers
+            by = np.argsort(-np.bincount(places), kind="stable")
+            rank = np.empty(len(by), "<i4")
+            rank[by] = np.arange(len(by))
             none = np.array([d is None for d in ids])
-            data = _packed(np.array([d or 0 for d in ids], "<i8"), none.astype("u1"), (counts + 1).astype("<i4"), _deltas(kinds), places.astype("<i4"))
+            data = _packed(np.array([d or 0 for d in ids], "<i8"), none.astype("u1"), (counts + 1).astype("<i4"), _deltas(kinds), rank, rank[places])
             return _row(part << 32 | seq, TEXTS, 0, data)
 
         for b in sliced(batches):
@@ -113,14 +118,17 @@ class Block:
     """
 
     def __init__(self, data: bytes, order: int):
-        ids, none, counts, deltas, tokens = _unpacked(data, "<i8", "<u1", "<i4", "<u8", "<i4")
+        ids, none, counts, deltas, rank, tokens = _unpacked(data, "<i8", "<u1", "<i4", "<u8", "<i4", "<i4")
+        by = np.empty(len(rank), "i8")
+        by[rank] = np.arange(len(rank))
+        tokens = by[tokens]
         self.ids = [None if n else d for d, n in zip(ids.tolist(), none.tolist())]
         words = np.cumsum(deltas, dtype="u8")
         self.starts, self.counts = np.cumsum(counts) - counts, counts
         self.held = np.array([d is not None and is_held_out(d) for d in self.ids], bool)
         self.teach = np.repeat(~self.held, counts)
         place = np.arange(len(tokens)) - np.repeat(self.starts, counts)
-        self.keys, self.valid, self.which, self.history = {1: words}, {1: np.arange(len(tokens))}, {1: tokens.astype("i8")}, {}
+        self.keys, self.valid, self.which, self.history = {1: words}, {1: np.arange(len(tokens))}, {1: tokens}, {}
         full = words[tokens]  # hash of the n-gram that ends at each token
         below = self.which[1]
         for n in range(2, order + 1):
@@ -128,24 +136,29 @@ class Block:
             first = place[at] == 0
             before = np.where(first, len(words), below[at - 1])
             key = mixed(np.where(first, START, full[at - 1]) * _STEP + words[tokens[at]])
-            self.keys[n], one, which = np.unique(key, return_index=True, return_inverse=True)
-            self.valid[n], self.which[n], self.history[n] = at, which, before[one]
+            self.keys[n], which = np.unique(key, return_inverse=True)
+            history = np.empty(len(self.keys[n]), "i8")
+            history[which] = before
+            self.valid[n], self.which[n], self.history[n] = at, which, history
             full, below = np.zeros(len(tokens), "u8"), np.zeros(len(tokens), "i8")
             full[at], below[at] = key, which
 
     def history_keys(self, n: int) -> np.ndarray:
         return np.r_[self.keys[1], START] if n == 2 else self.keys[n - 1]
 
-    def requests(self, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    def taught(self, n: int) -> np.ndarray:
+        """How often this block's training texts have each n-gram."""
+        return np.bincount(self.which[n][self.teach[self.valid[n]]], minlength=len(self.keys[n]))
+
+    def requests(self, bits: int, size: int) -> Iterator[tuple[int, int, bytes]]:
         for n, keys in self.keys.items():
-            own = np.bincount(self.which[n][self.teach[self.valid[n]]], minlength=len(keys)).astype("<u8")
-            yield from _dealt(n, keys, bits, own)
+            yield from _dealt(n, keys, bits, size if n > 1 else WORD_BITS, self.taught(n).astype("<u8"))
 
 
-def _dealt(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Sorted keys, of ``KEY_BITS``, cut by their first ``bits`` bits."""
-    keys = keys >> np.uint64(64 - KEY_BITS)
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype="u8") << np.uint64(KEY_BITS - bits)) if bits else []
+def _dealt(kind: int, keys: np.ndarray, bits: int, size: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Sorted keys, of which ``size`` bits are kept, cut by their first ``bits`` bits."""
+    keys = keys >> np.uint64(64 - size)
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype="u8") << np.uint64(size - bits)) if bits else []
     edges = [0, *edges, len(keys)]
     for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         if b > a:
@@ -176,15 +189,17 @@ class Requests:
         """All as one request of a block."""
         return _table([(block, self.kind, self.bucket, _packed(_deltas(self.keys), *self.sums))])
 
-    def answers(self, totals: list[np.ndarray], owned: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-        """Each block's totals; counts are doubled, plus one where the block is the first that has taught a key that is ``owned`` here."""
+    def answers(self, totals: list[np.ndarray], owned: np.ndarray, alone: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        """Each block's totals. Counts come four times, plus two where no other block has asked for a key that is ``alone``
+        here, plus one where the block is the first that has taught a key that is ``owned`` here."""
         out = [x[self.which] for x in totals]
         if self.counts:
             taught = np.flatnonzero(self.values[0] > 0)
             _, first = np.unique(self.which[taught], return_index=True)
             own = np.zeros(len(self.which), bool)
             own[taught[first]] = True
-            out[0] = (out[0] << np.uint64(1)) + (own & owned[self.which]).astype("<u8")
+            only = (np.bincount(self.which, minlength=len(self.keys)) == 1) & alone
+            out[0] = (out[0] << np.uint64(2)) + (only[self.which] * 2 + (own & owned[self.which])).astype("<u8")
         ends = np.cumsum(self.sizes)
         return [(b, self.kind, self.bucket, _packed(*(x[e - n : e] for x in out))) for b, n, e in zip(self.blocks, self.sizes, ends)]
 
@@ -192,7 +207,7 @@ class Requests:
 def _total(t: pa.Table) -> pa.Table:
     """Answers to all blocks, and for counts the bucket's counts of counts (block -1)."""
     asked = Requests(t)
-    rows = asked.answers(asked.sums, np.ones(len(asked.keys), bool))
+    rows = asked.answers(asked.sums, *np.ones((2, len(asked.keys)), bool))
     if asked.counts:
         c = asked.sums[0].astype("i8")
         seen = np.r_[(c > 0).sum(), c.sum(), np.bincount(c[c <= RELIABLE + 1], minlength=RELIABLE + 2)[1:]]
@@ -204,9 +219,10 @@ def _passed_on(t: pa.Table) -> pa.Table:
     """Answers to the blocks of one part, from the answer to the part."""
     asked = Requests(t.filter(pc.invert(t.column("answer"))))
     totals, owned = _unpacked(t.filter(t.column("answer")).column("data")[0].as_py(), *asked.types), np.ones(len(asked.keys), bool)
+    alone = owned
     if asked.counts:
-        owned, totals[0] = totals[0] & np.uint64(1) > 0, totals[0] >> np.uint64(1)
-    return _table(asked.answers(totals, owned))
+        owned, alone, totals[0] = totals[0] & np.uint64(1) > 0, totals[0] & np.uint64(2) > 0, totals[0] >> np.uint64(2)
+    return _table(asked.answers(totals, owned, alone))
 
 
 def summed(requests: DataFrame, blocks: int, fan: int) -> DataFrame:
@@ -271,22 +287,32 @@ def _answers(t: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
 
 
 class Met(Block):
-    """A block with its answers: by order the n-grams' corpus counts and whether the block owns them, and the counts of histories."""
+    """A block with its answers: by order the n-grams' corpus counts, whether the block owns them and has them alone, and the counts of histories."""
 
     def __init__(self, t: pa.Table, order: int):
         kinds = t.column("kind").to_pylist()
         super().__init__(t.column("data")[kinds.index(TEXTS)].as_py(), order)
-        self.block, self.count, self.owned, self.before = t.column("block")[0].as_py(), {}, {}, {}
+        self.block, self.count, self.owned, self.alone, self.before = t.column("block")[0].as_py(), {}, {}, {}, {}
         for n in self.keys:
             (a,) = _answers(t, n, "<u8")
-            self.count[n], self.owned[n] = (a >> np.uint64(1)).astype("i8"), a & np.uint64(1) > 0
+            self.count[n], self.owned[n], self.alone[n] = (a >> np.uint64(2)).astype("i8"), a & np.uint64(1) > 0, a & np.uint64(2) > 0
         for n in self.history:  # a text's start is as frequent as its end
             self.before[n] = np.r_[self.count[1], self.count[1][np.searchsorted(self.keys[1], END)]] if n == 2 else self.count[n - 1]
 
+    def masses(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the n-grams that this block owns add to their histories (``MASS``)."""
+        use = self.owned[n] & (self.count[n] > 0)
+        below = np.zeros(len(self.keys[n]), "i8")
+        below[self.which[n]] = self.which[n - 1][np.searchsorted(self.valid[n - 1], self.valid[n])]
+        h, c, lower, size = self.history[n][use], self.count[n][use], self.count[n - 1][below[use]], len(self.before[n])
+        small = [np.bincount(h[x == r], minlength=size) for x in (c, lower) for r in range(1, RELIABLE + 1)]
+        return np.column_stack(small).astype("<u4"), np.bincount(h, np.where(lower > RELIABLE, lower, 0), size).astype("<u8")
+
     def asking(self, n: int) -> np.ndarray:
-        """The histories of order ``n`` that training has, in the order of their keys."""
+        """The histories of order ``n`` that training and other blocks have, in the order of their keys; of all others the block knows all that follows."""
+        alone = np.r_[self.alone[1], False] if n == 2 else self.alone[n - 1]
         own = np.unique(self.history[n])
-        own = own[self.before[n][own] > 0]
+        own = own[(self.before[n][own] > 0) & ~alone[own]]
         return own[np.argsort(self.history_keys(n)[own])]
 
 
@@ -302,14 +328,16 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     texts = staged(blocks(docs, block_bytes), "blocks")
     n_blocks = texts.count()
     bits = max(0, int(2 * max(1, n_blocks) - 1).bit_length())
+    key_bits = min(64, SPARE_BITS + (max(1, n_blocks) * block_bytes // 4).bit_length())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
-                for kind, bucket, request in Block(data, order).requests(bits):
+                for kind, bucket, request in Block(data, order).requests(bits, key_bits):
                     yield _row(block, kind, bucket, request)
 
     counted = staged(summed(texts.mapInArrow(ask, ROW), n_blocks, fan), "counts")
+    free_shuffles(docs.sparkSession)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,16 +358,8 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     def masses(t: pa.Table) -> pa.Table:
         block, rows = Met(t, order), []
         for n in range(2, order + 1):
-            use = block.owned[n] & (block.count[n] > 0)
-            h, c, size = block.history[n][use], block.count[n][use], len(block.before[n])
-            below = np.zeros(len(block.keys[n]), "i8")
-            below[block.which[n]] = block.which[n - 1][np.searchsorted(block.valid[n - 1], block.valid[n])]
-            lower = block.count[n - 1][below[use]]
-            small = [np.bincount(h[x == r], minlength=size) for x in (c, lower) for r in range(1, RELIABLE + 1)]
-            large = np.bincount(h, np.where(lower > RELIABLE, lower, 0), size).astype("<u8")
-            small = np.column_stack(small).astype("<u4")
-            own = block.asking(n)
-            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, small[own], large[own])]
+            own, (small, large) = block.asking(n), block.masses(n)
+            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, key_bits if n > 2 else WORD_BITS, small[own], large[own])]
         return _table(rows)
 
     def scored(t: pa.Table) -> pa.Table:
@@ -348,13 +368,12 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
         p, divisor = unigram(words)[tokens], np.full(len(tokens), max(unigram.divisor, 1), "f8")
         r = np.arange(1, RELIABLE + 1)
         for n in range(2, order + 1):
-            own, size = block.asking(n), len(block.before[n])
-            small, large = _answers(t, MASSES + n, *MASS)
-            free, seen = np.zeros(size), np.zeros(size)
+            own, (small, large) = block.asking(n), block.masses(n)
+            small[own], large[own] = _answers(t, MASSES + n, *MASS)
             # the order below gives a word its kept count over the divisor of the shorter history
             below = unigram.factors if n == 2 else factors[n - 1]
-            free[own] = small[:, :RELIABLE] @ (r * (1 - factors[n][1:])) / block.before[n][own]
-            seen[own] = small[:, RELIABLE:] @ (r * below[1:]) + large
+            free = small[:, :RELIABLE] @ (r * (1 - factors[n][1:])) / np.maximum(block.before[n], 1)
+            seen = small[:, RELIABLE:] @ (r * below[1:]) + large
             at, h = block.valid[n], block.history[n][block.which[n]]
             c, before = block.count[n][block.which[n]], block.before[n][h]
             bare = free[h] < 1e-12
@@ -373,5 +392,6 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     answers = counted.where("block >= 0")
     met = texts.unionByName(answers).groupBy("block").applyInArrow(masses, ROW)
     weights = staged(summed(met, n_blocks, fan), "weights")
+    free_shuffles(docs.sparkSession)
     out = texts.unionByName(answers).unionByName(weights).groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
