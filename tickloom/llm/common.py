@@ -34,12 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tickloom/{spark.sparkContext.applicationId}"
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that have ended, which it does once the driver's garbage collection finds them unused.
+def free_shuffles(table: DataFrame) -> None:
+    """Lets Spark delete the shuffle files behind a staged table, which it does once the driver's garbage collection finds them unused.
 
-    Between stages that are written and read again nothing else needs them, and they may be larger than the tables.
+    They may be larger than the tables, and nothing reads them again. The session holds its last query until another one has run.
     """
-    spark.sparkContext._jvm.System.gc()
+    table.isEmpty()
+    table.sparkSession.sparkContext._jvm.System.gc()
 
 
 def clear_staged(spark: SparkSession) -> None:

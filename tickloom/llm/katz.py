@@ -327,7 +327,7 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     """
     texts = staged(blocks(docs, block_bytes), "blocks")
     n_blocks = texts.count()
-    bits = max(0, int(2 * max(1, n_blocks) - 1).bit_length())
+    bits = max(0, n_blocks - 1).bit_length()
     key_bits = min(64, SPARE_BITS + (max(1, n_blocks) * block_bytes // 4).bit_length())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +337,7 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
                     yield _row(block, kind, bucket, request)
 
     counted = staged(summed(texts.mapInArrow(ask, ROW), n_blocks, fan), "counts")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(counted)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,6 +392,6 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     answers = counted.where("block >= 0")
     met = texts.unionByName(answers).groupBy("block").applyInArrow(masses, ROW)
     weights = staged(summed(met, n_blocks, fan), "weights")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(weights)
     out = texts.unionByName(answers).unionByName(weights).groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
