@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,21 +18,28 @@ def event_hash(previous: Column, *fields: str) -> Column:
 
 
 def chained(rows: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
-    """Adds previous_hash and event_hash in order. Each hash holds the one before, so a chain is
-    sequential; chains (``by``) are independent and run side by side."""
-    import hashlib
-
+    """Adds previous_hash and event_hash in order. Each hash holds the one before, so a chain is sequential;
+    chains (``by``) are independent and run side by side. A task streams its chains' sorted rows and keeps the last hash only."""
+    text = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_f{k}") for k, f in enumerate(fields)]
+    key = F.to_json(F.struct(*by)).alias("_key")
+    ordered = rows.select("*", *text, key).repartition("_key").sortWithinPartitions("_key", order)
     schema = rows.withColumn("previous_hash", F.lit("")).withColumn("event_hash", F.lit("")).schema
-
-    def chain(pdf):
-        pdf, last, a, b = pdf.sort_values(order), GENESIS, [], []
-        for values in pdf[fields].itertuples(index=False):
-            a.append(last)
-            last = hashlib.sha256("|".join([last, *("" if v is None else str(v) for v in values)]).encode()).hexdigest()
-            b.append(last)
-        return pdf.assign(previous_hash=a, event_hash=b)[[f.name for f in schema]]
-
-    return rows.groupBy(*by).applyInPandas(chain, schema)
+    n = len(rows.columns)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, GENESIS
+        for batch in batches:
+            before, own = [], []
+            columns = [c.to_pylist() for c in batch.columns[n:]]
+            for *values, k in zip(*columns):
+                last = last if k == key else GENESIS
+                key = k
+                before.append(last)
+                last = hashlib.sha256("|".join([last, *values]).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(before, pa.string()), pa.array(own, pa.string())], [f.name for f in schema])
+
+    return ordered.mapInArrow(chain, schema)
 
 
 def broken(rows: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:

@@ -57,21 +57,25 @@ def tails(rows: DataFrame, keys: list[str], order: Column, limits: Column | int)
 def propagate(minutes: DataFrame, bucket: Column, expected: int, keys: list[str], arrival: str = "arrived_at") -> DataFrame:
     """All revisions of coarser bars: one for each arrival that completes or changes the bucket's parts.
 
-    ``minutes`` has a row for each version of each part. At an arrival, the bar
-    holds the newest version of every part so far; it is new where all ``expected``
-    parts are there and their ids differ from the bar's before.
+    ``minutes`` has a row for each version of each part. At an arrival, the bar holds the newest version of every part so far; it is
+    new where all ``expected`` parts are there and one of their versions differs from the bar's before. Running maxima keep the newest
+    version of each part, so a bucket's work grows with its versions alone.
     """
     rows = minutes.withColumn("bucket", bucket)
-    at = rows.select(*keys, "bucket", F.col(arrival).alias("as_of")).distinct()
-    known = at.join(rows, [*keys, "bucket"]).where(F.col(arrival) <= F.col("as_of"))
-    known = latest(known, [*keys, "bucket", "as_of", "opens_at"], [F.desc("revision")])
-    bars = known.groupBy(*keys, "bucket", "as_of").agg(
-        F.min_by("open", "opens_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "opens_at").alias("close"),
-        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("opens_at", "revision"))).alias("_parts"),
-    ).where(F.col("_n") == expected)
+    rows = rows.withColumn("_part", F.dense_rank().over(W.partitionBy(*keys, "bucket").orderBy("opens_at")))
+    so_far = W.partitionBy(*keys, "bucket").orderBy(arrival).rangeBetween(W.unboundedPreceding, 0)
+    newest = [F.max(F.when(F.col("_part") == k, F.struct("revision", "opens_at", "open", "high", "low", "close"))).over(so_far) for k in range(1, expected + 1)]
+    rows = rows.withColumn("_v", F.array(*newest)).withColumn("_known", F.max("_part").over(so_far))
+    rows = rows.where((F.col("_known") <= expected) & F.forall("_v", lambda x: x.isNotNull()))
+    part = lambda c: F.transform("_v", lambda x: x[c])
+    bars = rows.select(*keys, "bucket", F.col(arrival).alias("as_of"), "_v").dropDuplicates([*keys, "bucket", "as_of"])
     w = W.partitionBy(*keys, "bucket").orderBy("as_of")
-    bars = bars.withColumn("_new", F.lag("_parts").over(w).isNull() | (F.lag("_parts").over(w) != F.col("_parts"))).where("_new")
-    return bars.withColumn("revision", F.row_number().over(w)).drop("_n", "_parts", "_new").withColumnRenamed("bucket", "opens_at")
+    bars = bars.withColumn("_new", ~F.col("_v").eqNullSafe(F.lag("_v").over(w))).where("_new")
+    ends = lambda k, c: F.element_at("_v", k)[c]
+    return bars.select(
+        *keys, F.col("bucket").alias("opens_at"), "as_of", ends(1, "open").alias("open"), F.array_max(part("high")).alias("high"), F.array_min(part("low")).alias("low"),
+        ends(-1, "close").alias("close"), F.row_number().over(w).alias("revision"),
+    )
 
 
 def invalid(prefix: str = "") -> Column:

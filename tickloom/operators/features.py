@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clip, copysign, log_ratio, ratio, ratio_or_zero
+from ..functions.expressions import clip, log_ratio, ratio, ratio_or_zero
 from . import recurrence as R
 
 BASE = (
@@ -78,31 +78,129 @@ def prefixed(rows: DataFrame, columns: list[str], prefix: str, keep: list[str])
     return rows.select(*keep, *[F.col(c).alias(f"{prefix}__{c}") for c in columns])
 
 
-def trend_strength(prefix: str) -> Column:
-    return ratio_or_zero(F.col(f"{prefix}__ema_20") - F.col(f"{prefix}__ema_50"), F.col(f"{prefix}__atr_14"))
+FRAMES = ("primary_5m", "context_15m", "context_1h")
 
 
-def enhanced(rows: DataFrame, session_minutes: float = 375.0) -> DataFrame:
-    """Adds 22 combinations of three frames' base features (``prefixed`` as primary_5m, context_15m, context_1h)."""
-    p, q, r = "primary_5m", "context_15m", "context_1h"
-    c = lambda prefix, name: F.col(f"{prefix}__{name}").cast("double")
-    trend = {x: trend_strength(x) for x in (p, q, r)}
-    mean_sign = lambda cols: sum((F.signum(x) for x in cols[1:]), F.signum(cols[0])) / len(cols)
-    vote = c(p, "breakout_up_20") - c(p, "breakout_down_20") + c(q, "breakout_up_20") - c(q, "breakout_down_20") + c(r, "breakout_up_20") - c(r, "breakout_down_20")
-    centred = {x: (c(x, "rsi_14") - 50) / 50 for x in (p, q, r)}
-    progress = clip(c(p, "minute_of_session") / session_minutes, 0.0, 1.0)
-    share = lambda a, b: clip(ratio_or_zero(a, b), 0.0, 10.0)
-    align = mean_sign(list(trend.values()))
-    moved = mean_sign([c(x, "return_5") for x in (p, q, r)])
-    return rows.select(
-        "*", trend[p].alias("trend_strength_5m"), trend[q].alias("trend_strength_15m"), trend[r].alias("trend_strength_1h"), align.alias("trend_alignment"),
-        moved.alias("momentum_alignment"), (vote / 3).alias("breakout_vote"), centred[p].alias("rsi_centred_5m"), centred[q].alias("rsi_centred_15m"), centred[r].alias("rsi_centred_1h"),
-        share(c(p, "atr_pct"), c(r, "atr_pct")).alias("atr_ratio_5m_1h"), share(c(p, "rolling_vol_20"), c(q, "rolling_vol_20")).alias("vol_ratio_5m_15m"),
-        share(c(p, "range_atr"), c(q, "range_atr")).alias("range_ratio_5m_15m"), (F.signum(trend[p]) * F.signum(trend[q])).alias("concordance_5m_15m"),
-        (F.signum(trend[q]) * F.signum(trend[r])).alias("concordance_15m_1h"), (centred[p] * trend[r]).alias("rsi_trend_interaction"), progress.alias("session_progress"),
-        F.sin(progress * math.pi).alias("session_sin"), F.cos(progress * math.pi).alias("session_cos"), (align * c(p, "return_1")).alias("alignment_return"),
-        (vote / 3 * align).alias("breakout_alignment"), (c(p, "bollinger_z_20") * align).alias("stretch_alignment"), (progress * trend[p]).alias("progress_trend"),
+def _sign(x: Column, dead: float = 0.0) -> Column:
+    return F.when(x > dead, F.lit(1.0)).when(x < -dead, F.lit(-1.0)).otherwise(F.lit(0.0))
+
+
+def _mean(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0]) / len(columns)
+
+
+def enhanced(rows: DataFrame) -> DataFrame:
+    """Adds 22 combinations (enhanced__*) of three frames' base features (``prefixed`` by ``FRAMES``).
+
+    Flags of trend count as 1 or -1, signs as 1, -1 or 0; ratios are 0 where the divisor is next to 0 and clipped to [0, 10];
+    session progress is the minute's share of the minutes gone and left.
+    """
+    p, q, r = FRAMES
+    c = lambda frame, name: F.col(f"{frame}__{name}").cast("double")
+    share = lambda name, a, b: clip(ratio_or_zero(c(a, name), c(b, name)), 0.0, 10.0)
+    trend = {x: ratio_or_zero(c(x, "ema_20") - c(x, "ema_50"), c(x, "atr_14")) for x in FRAMES}
+    rsi = {x: (c(x, "rsi_14") - 50) / 50 for x in FRAMES}
+    minute, left = F.greatest(c(p, "minute_of_session"), F.lit(0.0)), F.greatest(c(p, "minutes_to_session_close"), F.lit(0.0))
+    rows = rows.withColumns({
+        "enhanced__trend_alignment": _mean([F.when(c(x, "trend_ema20_above_ema50") >= 0.5, 1.0).otherwise(-1.0) for x in FRAMES]),
+        "enhanced__momentum_alignment": _mean([_sign(c(x, "roc_5")) for x in FRAMES]),
+        "enhanced__session_progress": F.when(minute + left > 0, minute / (minute + left)).otherwise(F.lit(0.0)),
+    })
+    progress, align = F.col("enhanced__session_progress"), F.col("enhanced__trend_alignment")
+    return rows.withColumns({f"enhanced__{name}": value for name, value in {
+        "trend_strength_5m": trend[p], "trend_strength_15m": trend[q], "trend_strength_1h": trend[r],
+        "breakout_vote": _mean([c(x, "breakout_up_20") - c(x, "breakout_down_20") for x in FRAMES]),
+        "rsi_centered_5m": rsi[p], "rsi_centered_15m": rsi[q], "rsi_centered_1h": rsi[r], "rsi_5m_minus_1h": (rsi[p] - rsi[r]) / 2,
+        "atr_pct_5m_to_15m": share("atr_pct", p, q), "atr_pct_15m_to_1h": share("atr_pct", q, r),
+        "volatility_5m_to_15m": share("rolling_vol_20", p, q), "range_expansion_5m_vs_15m": share("range_atr", p, q),
+        "ema_distance_concordance": _mean([_sign(c(x, "distance_ema20_atr")) for x in FRAMES]),
+        "wick_imbalance_5m": c(p, "lower_wick_pct") - c(p, "upper_wick_pct"),
+        "body_momentum_concordance_5m": _mean([_sign(c(p, x)) for x in ("body_pct", "return_1", "roc_5")]),
+        "session_progress_sin": F.sin(progress * math.pi), "session_progress_cos": F.cos(progress * math.pi),
+        "trend_momentum_interaction": align * F.col("enhanced__momentum_alignment"), "volatility_trend_interaction": c(p, "atr_pct") * trend[p],
+    }.items()})
+
+
+#: The 27 features of ``research``.
+RESEARCH = (
+    "macd_line_atr", "macd_signal_atr", "macd_histogram_atr", "adx_14", "di_spread", "slope_10_atr", "slope_20_atr",
+    "support_distance_20_atr", "resistance_distance_20_atr", "support_distance_50_atr", "resistance_distance_50_atr",
+    "session_return_atr", "opening_gap_atr", "opening_range_ready", "opening_range_position",
+    "previous_high_distance_atr", "previous_low_distance_atr", "previous_close_distance_atr",
+    "doji", "hammer", "shooting_star", "bullish_engulfing", "bearish_engulfing", "inside_bar", "outside_bar",
+    "three_bar_return_atr", "consecutive_direction",
+)
+
+
+def research(bars: DataFrame, by: list[str], order: str = "opens_at", session: str = "session_date") -> DataFrame:
+    """Adds the features of ``RESEARCH`` (research_v3__*) to bars with atr_14; distances are in ranges (atr_14), flags 0 or 1.
+
+    The first session of a series takes its own open for the session before it.
+    """
+    w = W.partitionBy(*by).orderBy(order)
+    rows = R.adx(R.macd_parts(daily_state(bars, by, session, order), by, order), 14, by, order, "_adx", "_spread")
+    o, h, low, c, a = (F.col(x) for x in ("open", "high", "low", "close", "atr_14"))
+    rows = rows.withColumn("_n", F.row_number().over(w).cast("double"))
+    for x in ("open", "high", "low", "close"):
+        rows = rows.withColumn(f"_{x}", F.lag(x).over(w))
+    first = F.first(F.struct("open", session)).over(w.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_f", first)
+    start = F.when(F.col("_f")[session] == F.col(session), F.col("_f")["open"])
+    unit = F.greatest(a, F.lit(1e-12))
+    span, body, before = F.greatest(h - low, F.lit(1e-12)), c - o, F.col("_close") - F.col("_open")
+    upper, lower, small = h - F.greatest(o, c), F.least(o, c) - low, F.greatest(F.abs(body), F.greatest(h - low, F.lit(1e-12)) * 0.05)
+    past = lambda n: w.rowsBetween(-n, -1)
+    slope = lambda n: F.when(F.col("_n") >= n, F.regr_slope("close", "_n").over(w.rowsBetween(1 - n, 0))).otherwise(F.lit(0.0))
+    same = [F.lag(_sign(body), k).over(w) == _sign(body) for k in range(1, 6)]
+    run = F.lit(1)
+    for equal in reversed(same):
+        run = F.when(equal, run + 1).otherwise(F.lit(1))
+    position = F.when(F.col("opening_ready"), (c - F.col("opening_low")) / F.greatest(F.col("opening_high") - F.col("opening_low"), F.lit(1e-12))).otherwise(F.lit(0.5))
+    flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    values = {
+        "macd_line_atr": F.col("macd_line") / unit, "macd_signal_atr": F.col("macd_signal") / unit, "macd_histogram_atr": (F.col("macd_line") - F.col("macd_signal")) / unit,
+        "adx_14": F.col("_adx"), "di_spread": F.col("_spread"), "slope_10_atr": slope(10) / unit, "slope_20_atr": slope(20) / unit,
+        **{f"support_distance_{n}_atr": (c - F.coalesce(F.min("low").over(past(n)), low)) / unit for n in (20, 50)},
+        **{f"resistance_distance_{n}_atr": (F.coalesce(F.max("high").over(past(n)), h) - c) / unit for n in (20, 50)},
+        "session_return_atr": (c - F.col("session_open")) / unit, "opening_gap_atr": (F.col("session_open") - F.coalesce(start, "previous_close")) / unit,
+        "opening_range_ready": flag(F.col("opening_ready")), "opening_range_position": clip(position, -2.0, 3.0),
+        "previous_high_distance_atr": (F.coalesce(start, "previous_high") - c) / unit, "previous_low_distance_atr": (c - F.coalesce(start, "previous_low")) / unit,
+        "previous_close_distance_atr": (c - F.coalesce(start, "previous_close")) / unit,
+        "doji": flag(F.abs(body) / span <= 0.10), "hammer": flag((lower >= 2 * small) & (upper <= F.abs(body))), "shooting_star": flag((upper >= 2 * small) & (lower <= F.abs(body))),
+        "bullish_engulfing": flag((before < 0) & (body > 0) & (o <= F.col("_close")) & (c >= F.col("_open"))),
+        "bearish_engulfing": flag((before > 0) & (body < 0) & (o >= F.col("_close")) & (c <= F.col("_open"))),
+        "inside_bar": flag((h <= F.col("_high")) & (low >= F.col("_low"))), "outside_bar": flag((h >= F.col("_high")) & (low <= F.col("_low"))),
+        "three_bar_return_atr": F.coalesce((c - F.lag("close", 3).over(w)) / unit, F.lit(0.0)), "consecutive_direction": _sign(body) * run,
+    }
+    own = [x for x in bars.columns]
+    return rows.select(*own, *[values[n].cast("double").alias(f"research_v3__{n}") for n in RESEARCH])
+
+
+#: The 12 features of ``structural``.
+STRUCTURAL = (
+    "confirmed_swing_high_distance_atr", "confirmed_swing_low_distance_atr", "swing_high_progression_atr", "swing_low_progression_atr", "structure_score",
+    "break_of_structure_up", "break_of_structure_down", "swing_low_liquidity_sweep", "swing_high_liquidity_sweep",
+    "range_compression_3_to_12", "close_location", "body_efficiency",
+)
+
+
+def structural(bars: DataFrame, by: list[str], order: str = "opens_at") -> DataFrame:
+    """Adds the features of ``STRUCTURAL`` (price_action__*): confirmed swings in simple means of 14 true ranges, 0 where there is no swing yet."""
+    w = W.partitionBy(*by).orderBy(order)
+    rows = pivots(bars.withColumn("_tr", R.true_range(by, order)), by, order)
+    rows = rows.withColumn("_atr", F.greatest(F.avg("_tr").over(w.rowsBetween(-13, 0)), F.lit(1e-12))).withColumn("_span", F.col("high") - F.col("low"))
+    a, h, low, c = F.col("_atr"), F.col("high"), F.col("low"), F.col("close")
+    h1, h2, l1, l2 = (F.col(f"pivot_{x}") for x in ("high_1", "high_2", "low_1", "low_2"))
+    up, down = F.coalesce((h1 - h2) / a, F.lit(0.0)), F.coalesce((l1 - l2) / a, F.lit(0.0))
+    span = F.greatest(F.col("_span"), F.lit(1e-12))
+    flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    mean = lambda n: F.avg("_span").over(w.rowsBetween(1 - n, 0))
+    values = (
+        F.coalesce((c - h1) / a, F.lit(0.0)), F.coalesce((c - l1) / a, F.lit(0.0)), up, down,
+        F.when((up > 0) & (down > 0), 1.0).when((up < 0) & (down < 0), -1.0).otherwise(0.0), flag(c > h1 + 0.05 * a), flag(c < l1 - 0.05 * a),
+        flag((low < l1) & (l1 < c)), flag((h > h1) & (h1 > c)), mean(3) / F.greatest(mean(12), F.lit(1e-12)), (c - low) / span, (c - F.col("open")) / span,
     )
+    return rows.select(*bars.columns, *[v.alias(f"price_action__{n}") for n, v in zip(STRUCTURAL, values)])
 
 
 def structure(bars: DataFrame, by: list[str], order: str = "opens_at") -> DataFrame:
@@ -181,36 +279,69 @@ def context(bars: DataFrame, by: list[str], order: str = "opens_at") -> DataFram
     atr = F.avg("_tr").over(w.rowsBetween(-13, 0))
     gain, loss = (F.sum(F.greatest(s * F.col("_d"), F.lit(0.0))).over(w.rowsBetween(-13, 0)) for s in (1, -1))
     vol = lambda n: F.stddev_pop("context_return_1").over(w.rowsBetween(-(n - 1), 0))
+    span = F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
     mean48 = F.avg("context_return_1").over(w.rowsBetween(-47, 0))
     rows = rows.select(
-        "*", back(3).alias("context_return_3"), back(12).alias("context_return_12"), ratio_or_zero(F.col("high") - F.col("low"), c).alias("context_range_pct"),
-        F.coalesce(ratio(c - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5)).alias("context_close_location"), ratio_or_zero(atr, c).alias("context_atr_pct"),
+        "*", back(3).alias("context_return_3"), back(12).alias("context_return_12"), (span / F.greatest(c, F.lit(1e-12))).alias("context_range_pct"),
+        ((c - F.col("low")) / span).alias("context_close_location"), ratio_or_zero(atr, c).alias("context_atr_pct"),
         vol(12).alias("context_vol_12"), vol(48).alias("context_vol_48"), ratio_or_zero(F.col("_e8") - F.col("_e21"), atr).alias("context_ema_8_21_atr"),
-        ratio_or_zero(F.col("_e20") - F.col("_e50"), atr).alias("context_ema_20_50_atr"), F.coalesce(ratio(gain, gain + loss), F.lit(0.5)).alias("context_rsi"),
+        ratio_or_zero(F.col("_e20") - F.col("_e50"), atr).alias("context_ema_20_50_atr"), _sign(F.col("_e8") - F.col("_e21"), 1e-12).alias("context_trend"), F.coalesce(ratio(gain, gain + loss), F.lit(0.5)).alias("context_rsi"),
         ratio_or_zero(F.col("context_return_1") - mean48, vol(48)).alias("context_return_z48"),
     )
     return rows.drop("_d", "_e8", "_e20", "_e21", "_e50", "_tr")
 
 
-def cross(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Agreement of two context series with the main one (columns prefixed ``a``__ and ``b``__)."""
-    x, y = (lambda n: F.col(f"{a}__{n}")), (lambda n: F.col(f"{b}__{n}"))
-    t = "context_ema_20_50_atr"
+def cross(rows: DataFrame, bank: str, vix: str, main: str) -> DataFrame:
+    """Adds six features of two context series beside the main one (columns of ``context``, prefixed ``bank``__, ``vix``__ and ``main``__)."""
+    b, v, m = ((lambda n, x=x: F.col(f"{x}__context_{n}")) for x in (bank, vix, main))
     return rows.select(
-        "*", (x("context_return_1") - y("context_return_1")).alias("return_difference"), (x("context_return_12") - y("context_return_12")).alias("momentum_difference"),
-        copysign(F.least(F.abs(x(t)), F.abs(y(t))), x(t) * y(t)).alias("trend_agreement"), ratio_or_zero(x("context_vol_12"), y("context_vol_12")).alias("volatility_ratio"),
-        (x("context_rsi") - y("context_rsi")).alias("rsi_difference"), (F.greatest(-x("context_return_12"), F.lit(0.0)) + F.greatest(y("context_return_12"), F.lit(0.0))).alias("risk_off"),
+        "*", (b("return_1") - m("return_1")).alias("cross__bank_minus_nifty_return_1"), (b("return_3") - m("return_3")).alias("cross__bank_minus_nifty_return_3"),
+        (_sign(b("ema_8_21_atr"), 1e-12) * m("trend")).alias("cross__bank_nifty_trend_agreement"), (v("return_1") * m("return_1")).alias("cross__vix_return_times_nifty_return"),
+        F.abs(v("return_z48")).alias("cross__vix_shock_abs"), (-v("return_z48") - m("trend")).alias("cross__risk_off_score"),
     )
 
 
 def changes(rows: DataFrame, by: list[str], order: str, contract: str, session: str, values: list[str], minutes: int = 15) -> DataFrame:
-    """Adds <value>_change from the previous row, null across sessions, contracts and gaps of more than ``minutes``; volume as log1p of its growth."""
+    """Adds comparable (a previous row of the same session and contract, at most ``minutes`` ago) and <value>_change, null where it is not."""
     w = W.partitionBy(*by).orderBy(order)
+    rows = rows.withColumn("comparable", _comparable(w, order, contract, session, minutes))
+    return rows.withColumns({f"{v}_change": F.when(F.col("comparable"), F.col(v) - F.lag(v).over(w)) for v in values})
+
+
+def _comparable(w, order: str, contract: str, session: str, minutes: int) -> Column:
     seconds = (F.unix_micros(F.col(order).cast("timestamp")) - F.unix_micros(F.lag(order).over(w).cast("timestamp"))) / 1e6
-    usable = (F.lag(contract).over(w) == F.col(contract)) & (F.lag(session).over(w) == F.col(session)) & (seconds > 0) & (seconds <= 60 * minutes)
-    rows = rows.withColumn("comparable", F.coalesce(usable, F.lit(False)))
-    for v in values:
-        d = F.col(v) - F.lag(v).over(w)
-        d = F.signum(d) * F.log1p(F.abs(d)) if "volume" in v else d
-        rows = rows.withColumn(f"{v}_change", F.when(usable, d))
-    return rows
+    usable = F.lag(contract).over(w).eqNullSafe(F.col(contract)) & (F.lag(session).over(w) == F.col(session)) & (seconds > 0) & (seconds <= 60 * minutes)
+    return F.coalesce(usable, F.lit(False))
+
+
+#: The 15 features of ``derivatives``; the first eight are its core.
+DERIVATIVES = (
+    "spot_return_1", "futures_return_1", "basis_bps", "basis_change_bps", "volume_delta_log1p", "open_interest_change_pct", "book_imbalance", "book_imbalance_change",
+    "provider_pcr", "provider_pcr_change", "atm_iv", "atm_iv_change", "delta25_iv_skew", "delta25_iv_skew_change", "option_volume_pcr",
+)
+
+
+def derivatives(snapshots: DataFrame, by: list[str], order: str = "observed_at", minutes: int = 15) -> DataFrame:
+    """Adds the features of ``DERIVATIVES`` (derivatives__*), comparable, complete_core and options_complete.
+
+    Needs the numbers of a snapshot, futures_symbol, session_date and regular (within trading hours). Returns need a
+    positive previous value; volume counts as log(1 + its growth), no growth as 0. What compares with
+    the previous snapshot is null across sessions, contracts and gaps. Values that are not finite count as null.
+    """
+    w = W.partitionBy(*by).orderBy(order)
+    number = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    value = lambda name: number(F.col(name).cast("double"))
+    usable = _comparable(w, order, "futures_symbol", "session_date", minutes)
+    before = lambda name: F.when(usable, F.lag(value(name)).over(w))
+    back = lambda name: F.when(before(name) > 0, value(name) / before(name) - 1)
+    grown = lambda name: value(name) - before(name)
+    volume = F.log1p(F.greatest(grown("futures_volume"), F.when(grown("futures_volume").isNotNull(), F.lit(0.0))))
+    values = (
+        back("spot_ltp"), back("futures_ltp"), value("futures_basis_bps"), grown("futures_basis_bps"), volume, back("futures_open_interest"),
+        value("futures_book_imbalance"), grown("futures_book_imbalance"), value("provider_put_call_ratio"), grown("provider_put_call_ratio"),
+        value("atm_implied_volatility"), grown("atm_implied_volatility"), value("delta25_put_call_iv_skew"), grown("delta25_put_call_iv_skew"), value("option_volume_put_call_ratio"),
+    )
+    names = [f"derivatives__{n}" for n in DERIVATIVES]
+    rows = snapshots.select("*", usable.alias("comparable"), *[v.alias(n) for n, v in zip(names, values)])
+    whole = lambda own: F.forall(F.array(*own), lambda x: x.isNotNull())
+    return rows.withColumn("complete_core", F.col("regular") & F.col("comparable") & whole(names[:8])).withColumn("options_complete", F.col("regular") & whole(names[8:]))

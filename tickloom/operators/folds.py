@@ -56,14 +56,35 @@ def causal_percentile(rows: DataFrame, by: list[str], order: str, value: str, ou
     return rows.join(counts, [*by, "_i"]).withColumn(out, F.try_divide(F.col("_n"), F.col("_i") - 1)).drop("_i", "_v", "_n")
 
 
-def reference_percentile(rows: DataFrame, reference: DataFrame, value: str, out: str) -> DataFrame:
-    """Share of reference values that are this row's or less: both sides sorted together by buckets of value and a running count."""
+def reference_percentile(rows: DataFrame, reference: DataFrame, value: str, out: str, ranges: int = 64) -> DataFrame:
+    """Share of reference values that are this row's or less.
+
+    Distinct values of both sides are sorted within ``ranges`` of value whose bounds come from approximate percentiles; counts of
+    the ranges before give each range's start, so no task sorts all values.
+    """
     total = reference.count()
-    a = reference.select(F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    keys = rows.select(value).distinct().select(F.col(value).alias("_v"), F.lit(1).alias("_side"))
-    both = a.unionByName(keys).groupBy("_v").agg(F.sum(1 - F.col("_side")).alias("_k"))
-    ordered = both.withColumn("_n", F.sum("_k").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
-    return rows.join(ordered.select(F.col("_v").alias(value), F.try_divide(F.col("_n").cast("double"), F.lit(float(total))).alias(out)), value)
+    a = reference.select(F.col(value).alias("_v"), F.lit(1).alias("_k"))
+    both = a.unionByName(rows.select(F.col(value).alias("_v"), F.lit(0).alias("_k"))).groupBy("_v").agg(F.sum("_k").alias("_k"))
+    cuts = both.agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    # the number of cuts below a value, by halving
+    cuts = sorted(set(cuts))
+    both = both.withColumn("_b", _position(F.col("_v"), cuts))
+    starts = both.groupBy("_b").agg(F.sum("_k").alias("_s")).withColumn("_s", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    ordered = both.withColumn("_n", F.sum("_k").over(W.partitionBy("_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).join(starts, "_b")
+    share = F.try_divide((F.col("_n") + F.col("_s")).cast("double"), F.lit(float(total)))
+    return rows.join(ordered.select(F.col("_v").alias(value), share.alias(out)), value)
+
+
+def _position(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are below ``x``: a binary tree of comparisons."""
+
+    def between(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(x > cuts[m], between(m + 1, b)).otherwise(between(a, m))
+
+    return between(0, len(cuts))
 
 
 def regime_baseline(rows: DataFrame, value: str, effects: dict[str, list[str]], shrink: float = 50.0, clip_at: float = 2.0) -> DataFrame:
@@ -81,24 +102,52 @@ def regime_baseline(rows: DataFrame, value: str, effects: dict[str, list[str]],
     return out.withColumn("baseline", F.greatest(F.least(total, F.lit(clip_at)), F.lit(-clip_at))).drop("_mean", *[f"_{n}" for n in effects])
 
 
-#: Fixed values of the signal policy.
-POLICY = {"probability": 0.60, "margin": 0.15, "neither": 0.45, "expected_atr": 0.15, "exit_probability": 0.72, "exit_margin": 0.25, "reward_risk": 1.25, "stop_atr": 0.75}
+#: Fixed values of the signal policy: thresholds, and distances in ranges (atr).
+POLICY = {
+    "probability": 0.60, "margin": 0.15, "neither": 0.45, "expected_atr": 0.15, "reversal_probability": 0.72, "reversal_margin": 0.25, "reward_risk": 1.25,
+    "entry_atr": 0.10, "stop_atr": 0.75, "target_atr": (1.0, 1.5, 2.0), "expiry_bars": 12,
+}
+#: Codes of the hard gates and the boolean columns that they ask for; DATA_NOT_LIVE_ carries the state.
+HARD_GATES = (
+    ("SNAPSHOT_REVISION_MISMATCH", "snapshot_synced"), ("PRIMARY_CANDLE_NOT_FINALIZED", "finalized_primary"), ("FINALIZED_15M_CONTEXT_MISSING", "finalized_15m"),
+    ("FINALIZED_1H_CONTEXT_MISSING", "finalized_1h"), ("FEATURE_SNAPSHOT_NOT_READY", "feature_ready"), ("CALIBRATION_RELEASE_GATE_NOT_PASSED", "calibration_released"),
+    ("PROBABILITY_BIN_NOT_SUPPORTED", "bin_supported"), ("EVENT_RISK_GATE_ACTIVE", "event_risk_clear"),
+)
+
+
+def hard_gates() -> Column:
+    """Array of the codes of the hard gates that are not passed (data_status, the columns of ``HARD_GATES``, reference_close, atr); unknown is not passed."""
+    said = F.coalesce("data_status", F.lit("UNKNOWN"))
+    pairs = [F.when(said != "LIVE", F.concat(F.lit("DATA_NOT_LIVE_"), said))]
+    pairs += [F.when(~F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in HARD_GATES]
+    pairs += [F.when(F.col("reference_close").isNull(), F.lit("REFERENCE_PRICE_UNAVAILABLE")), F.when(~F.coalesce(F.col("atr") > 0, F.lit(False)), F.lit("ATR_UNAVAILABLE"))]
+    return F.array_compact(F.array(*pairs))
 
 
-def signal(rows: DataFrame, p: dict[str, float] = POLICY) -> DataFrame:
-    """Adds side, margin, expected_atr, blockers, decision (BUY, SELL, WAIT) from p_down, p_neither, p_up, gates (boolean) and active_side (null: none)."""
+def signal(rows: DataFrame, p: dict = POLICY) -> DataFrame:
+    """Adds side, margin, expected_atr, blockers, decision (BUY, SELL, WAIT) and the levels of a signal.
+
+    Needs p_down, p_neither, p_up, gates (array of codes: ``hard_gates``), active_side (null: none), reference_close and atr. While a
+    gate is not passed nothing else is asked. Equal probabilities count as BUY. A signal against an active one always
+    waits, as that must be invalidated first; below the thresholds of a reversal it also says so. Reward over risk is asked last.
+    """
     up, down, neither = F.col("p_up"), F.col("p_down"), F.col("p_neither")
-    side = F.when(up > down, F.lit("BUY")).when(down > up, F.lit("SELL"))
-    own, other = F.greatest(up, down), F.least(up, down)
-    rows = rows.withColumn("side", side).withColumn("margin", own - F.greatest(other, neither)).withColumn("expected_atr", own - p["stop_atr"] * other)
-    turned = F.col("active_side").isNotNull() & (F.col("active_side") != F.col("side"))
-    blockers = codes(
-        (~F.coalesce("gates", F.lit(False)), "HARD_GATE"), (F.col("side").isNull(), "NO_SIDE"), (own < p["probability"], "PROBABILITY_BELOW_THRESHOLD"),
-        (F.col("margin") < p["margin"], "MARGIN_BELOW_THRESHOLD"), (neither > p["neither"], "NEITHER_TOO_LIKELY"), (F.col("expected_atr") < p["expected_atr"], "EXPECTED_VALUE_BELOW_THRESHOLD"),
-        (turned & ((own < p["exit_probability"]) | (F.col("margin") < p["exit_margin"])), "HYSTERESIS"),
+    buy = up >= down
+    own, other = F.when(buy, up).otherwise(down), F.when(buy, down).otherwise(up)
+    rows = rows.withColumn("side", F.when(buy, F.lit("BUY")).otherwise(F.lit("SELL"))).withColumn("margin", own - F.greatest(other, neither)).withColumn("expected_atr", own - p["stop_atr"] * other)
+    turned = F.coalesce(F.col("active_side") != F.col("side"), F.lit(False))
+    asked = codes(
+        (own < p["probability"], "PROBABILITY_THRESHOLD_NOT_MET"), (F.col("margin") < p["margin"], "CLASS_MARGIN_THRESHOLD_NOT_MET"), (neither > p["neither"], "NEITHER_PROBABILITY_TOO_HIGH"),
+        (F.col("expected_atr") < p["expected_atr"], "EXPECTED_VALUE_GATE_FAILED"), (turned & ((own < p["reversal_probability"]) | (F.col("margin") < p["reversal_margin"])), "HYSTERESIS_REVERSAL_THRESHOLD_NOT_MET"),
+        (turned, "CONFLICTING_ACTIVE_SIGNAL_MUST_INVALIDATE_FIRST"),
     )
-    rows = rows.withColumn("blockers", blockers)
-    return rows.withColumn("decision", F.when(F.size("blockers") == 0, F.col("side")).otherwise(F.lit("WAIT")))
+    poor = F.lit(p["target_atr"][0] / p["stop_atr"] < p["reward_risk"])
+    rows = rows.withColumn("blockers", F.when(F.size("gates") > 0, F.col("gates")).otherwise(asked))
+    rows = rows.withColumn("blockers", F.when((F.size("blockers") == 0) & poor, F.array(F.lit("RISK_REWARD_GATE_FAILED"))).otherwise(F.col("blockers")))
+    free, sign, c, a = F.size("blockers") == 0, F.when(buy, 1).otherwise(-1), F.col("reference_close"), F.col("atr")
+    rows = rows.withColumn("decision", F.when(free, F.col("side")).otherwise(F.lit("WAIT"))).withColumn("expected_atr", F.when(free, F.col("expected_atr")))
+    places = {"entry_low": c - p["entry_atr"] * a, "entry_high": c + p["entry_atr"] * a, "stop": c - sign * p["stop_atr"] * a} | {f"target_{k}": c + sign * x * a for k, x in enumerate(p["target_atr"], 1)}
+    return rows.withColumns({n: F.when(free, x) for n, x in places.items()})
 
 
 def lifecycle(rows: DataFrame) -> Column:

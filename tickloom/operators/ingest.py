@@ -60,11 +60,11 @@ def issues() -> Column:
     )
 
 
-def route(rows: DataFrame, order: str = "server_arrival_time") -> DataFrame:
+def route(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Adds issues and status: QUARANTINED with an error, DUPLICATE behind the first valid row of an event_id, else STORED."""
     rows = rows.withColumn("issues", issues())
     bad = F.exists("issues", lambda x: ~x.isin(*WARNINGS))
-    w = W.partitionBy("event_id", bad).orderBy(order)
+    w = W.partitionBy("event_id", bad).orderBy(*(order or ["server_arrival_time"]))
     first = F.row_number().over(w) == 1
     return rows.withColumn("status", F.when(bad, F.lit("QUARANTINED")).when(first, F.lit("STORED")).otherwise(F.lit("DUPLICATE")))
 

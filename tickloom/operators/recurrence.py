@@ -89,22 +89,26 @@ def atr(df: DataFrame, n: int, by: list[str], order: str, out: str) -> DataFrame
 
 
 def adx(df: DataFrame, n: int, by: list[str], order: str, out: str = "adx", spread: str = "di_spread") -> DataFrame:
-    """Average directional index and the difference of directional indicators, in 0..1, with first-row ranges of 0."""
+    """Average directional index and the difference of directional indicators, in 0..1, by Wilder's means: 0 until ``n`` rows are there; the first row's range is 0."""
     w = W.partitionBy(*by).orderBy(order)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     rows = df.withColumn("_tr", true_range(by, order, F.lit(0.0)))
     rows = rows.withColumn("_p", F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0))).withColumn("_m", F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))
     for c in ("_tr", "_p", "_m"):
-        rows = seeded(rows, F.col(c), 1 / n, 1, by, order, c + "s")
-    plus, minus = F.coalesce(F.try_divide("_ps", "_trs"), F.lit(0.0)), F.coalesce(F.try_divide("_ms", "_trs"), F.lit(0.0))
+        rows = wilder(rows, F.col(c), n, by, order, c + "s", warm_up=0.0)
+    plus, minus = (F.when(F.col("_trs") > 1e-12, F.try_divide(c, "_trs")).otherwise(F.lit(0.0)) for c in ("_ps", "_ms"))
     rows = rows.withColumn(spread, plus - minus).withColumn("_dx", F.coalesce(F.try_divide(F.abs(plus - minus), plus + minus), F.lit(0.0)))
-    return seeded(rows, F.col("_dx"), 1 / n, 1, by, order, out).drop("_tr", "_p", "_m", "_trs", "_ps", "_ms", "_dx")
+    return wilder(rows, F.col("_dx"), n, by, order, out, warm_up=0.0).drop("_tr", "_p", "_m", "_trs", "_ps", "_ms", "_dx")
 
 
-def macd(df: DataFrame, by: list[str], order: str, out: str = "macd", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Difference of two exponential means (0 in their warm-up) and its own mean of ``signal`` from the first value: the histogram."""
+def macd_parts(df: DataFrame, by: list[str], order: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Adds macd_line, the difference of two exponential means (each 0 while it warms up), and macd_signal, its own mean of ``signal`` from the first value."""
     rows = ema(df, F.col("close"), fast, by, order, "_f", warm_up=0.0)
     rows = ema(rows, F.col("close"), slow, by, order, "_s", warm_up=0.0)
-    rows = rows.withColumn("_line", F.col("_f") - F.col("_s"))
-    rows = ema(rows, F.col("_line"), signal, by, order, "_g", seed=1)
-    return rows.withColumn(out, F.col("_line") - F.col("_g")).drop("_f", "_s", "_line", "_g")
+    rows = rows.withColumn("macd_line", F.col("_f") - F.col("_s")).drop("_f", "_s")
+    return ema(rows, F.col("macd_line"), signal, by, order, "macd_signal", seed=1)
+
+
+def macd(df: DataFrame, by: list[str], order: str, out: str = "macd", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """The histogram of ``macd_parts``: the line less its mean."""
+    return macd_parts(df, by, order, fast, slow, signal).withColumn(out, F.col("macd_line") - F.col("macd_signal")).drop("macd_line", "macd_signal")

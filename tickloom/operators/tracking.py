@@ -7,32 +7,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import codes
+from .asof import interval_join
 
 
-def paper_trades(trades: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Outcome of trades (side, entry_low, entry_high, stop, target, opened_at, expires_at) over bars (at, high, low, close).
+def paper_trades(trades: DataFrame, bars: DataFrame, keys: list[str], width: int = 3600) -> DataFrame:
+    """Outcome of trades (trade_id, side, entry_low, entry_high, stop, target, opened_at, expires_at) over finished bars (at, high, low, close).
 
-    A bar that meets the entry zone fills at its worse edge; in or after that bar stop and target count, both in
-    one bar invalidate. Nothing filled before ``expires_at`` expires; what is open then leaves at the last close.
-    First touches are minima of bar times, so no trade's bars are held in a task.
+    A bar before ``expires_at`` that meets the entry zone fills at its worse edge; where that bar also touches stop or
+    target, their order is unknown and the trade is invalid. Later the first bar that touches stop or target ends it,
+    both in one bar make it invalid. Else the first bar at or after ``expires_at`` ends it: unfilled at nothing, filled at its
+    close. A trade with no such bar yet is WAITING or OPEN. Trades meet the bars by time bins of ``width`` seconds, and first
+    touches are minima of bar times, so no trade's bars are held in a task.
     """
-    rows = trades.join(bars, keys).where((F.col("at") >= F.col("opened_at")) & (F.col("at") < F.col("expires_at")))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     buy = F.col("side") == "BUY"
-    own = [c for c in trades.columns]
+    own = [*keys, "trade_id", "side", "entry_low", "entry_high", "stop", "target"]
+    # bars before the expiry, with the trade's numbers beside each
+    rows = interval_join(trades.select(*own, seconds("opened_at").alias("_o"), seconds("expires_at").alias("_x")), bars.select(*keys, "high", "low", "at", seconds("at").alias("_b")), keys, F.col("_o"), F.col("_x"), "_b", width)
     zone = (F.col("low") <= F.col("entry_high")) & (F.col("high") >= F.col("entry_low"))
-    filled = rows.groupBy(*own).agg(F.min(F.when(zone, F.col("at"))).alias("filled_at"))
-    rows = filled.join(bars, keys).where((F.col("at") >= F.col("filled_at")) & (F.col("at") < F.col("expires_at")))
-    stop, target = F.when(buy, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")), F.when(buy, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
-    ends = rows.groupBy("trade_id").agg(F.min(F.when(stop, F.col("at"))).alias("stop_at"), F.min(F.when(target, F.col("at"))).alias("target_at"), F.max_by("close", "at").alias("last_close"))
-    out = trades.join(filled.select("trade_id", "filled_at"), "trade_id", "left").join(ends, "trade_id", "left")
-    entry = F.when(buy, F.col("entry_high")).otherwise(F.col("entry_low"))
+    stop = F.when(buy, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
+    target = F.when(buy, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    rows = rows.select(*keys, "trade_id", "at", zone.alias("zone"), stop.alias("_s"), target.alias("_t"))
+    fills = rows.where("zone").groupBy("trade_id").agg(F.min("at").alias("filled_at"))
+    ends = rows.join(fills, "trade_id").where("at >= filled_at and (_s or _t)")
+    ends = ends.groupBy("trade_id").agg(F.min(F.struct("at", "_s", "_t")).alias("e")).select("trade_id", F.col("e.at").alias("ended_at"), "e._s", "e._t")
+    # the first bar at or after the expiry, by one sort of both sides
+    moments = trades.select(*keys, "trade_id", F.col("expires_at").alias("_m"), F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_c"))
+    after = moments.unionByName(bars.select(*keys, F.lit(None).cast(trades.schema["trade_id"].dataType).alias("trade_id"), F.col("at").alias("_m"), F.lit(1).alias("_side"), F.col("close").cast("double").alias("_c")))
+    later = W.partitionBy(*keys).orderBy("_m", "_side").rowsBetween(0, W.unboundedFollowing)
+    after = after.withColumn("last_close", F.first("_c", ignorenulls=True).over(later)).where("_side = 0").select("trade_id", "last_close")
+    out = trades.join(fills, "trade_id", "left").join(ends, "trade_id", "left").join(after, "trade_id", "left")
+    unfilled, same, over = F.col("filled_at").isNull(), F.col("ended_at") == F.col("filled_at"), F.col("last_close").isNotNull()
     state = (
-        F.when(F.col("filled_at").isNull(), F.lit("EXPIRED")).when(F.col("stop_at") == F.col("target_at"), F.lit("INVALIDATED"))
-        .when(F.col("target_at").isNull() & F.col("stop_at").isNull(), F.lit("CLOSED_AT_EXPIRY")).when(F.col("target_at").isNull() | (F.col("stop_at") < F.col("target_at")), F.lit("STOPPED")).otherwise(F.lit("TARGET"))
+        F.when(unfilled, F.when(over, F.lit("EXPIRED")).otherwise(F.lit("WAITING"))).when(same | (F.col("_s") & F.col("_t")), F.lit("INVALIDATED"))
+        .when(F.col("_s"), F.lit("STOP_HIT")).when(F.col("_t"), F.lit("TARGET_1_HIT")).when(over, F.lit("EXPIRED")).otherwise(F.lit("OPEN"))
     )
+    entry = F.when(buy, F.col("entry_high")).otherwise(F.col("entry_low"))
     out = out.withColumn("state", state)
-    exit_ = F.when(F.col("state") == "STOPPED", F.col("stop")).when(F.col("state") == "TARGET", F.col("target")).when(F.col("state") == "CLOSED_AT_EXPIRY", F.col("last_close"))
-    return out.withColumn("points", F.when(buy, exit_ - entry).otherwise(entry - exit_)).drop("last_close")
+    exit_ = F.when(F.col("state") == "STOP_HIT", F.col("stop")).when(F.col("state") == "TARGET_1_HIT", F.col("target")).when((F.col("state") == "EXPIRED") & ~unfilled, F.col("last_close"))
+    return out.withColumn("points", F.when(buy, exit_ - entry).otherwise(entry - exit_)).drop("last_close", "ended_at", "_s", "_t")
 
 
 def minute_outcomes(predictions: DataFrame, minutes: DataFrame, keys: list[str], size: float = 1.5, horizon: int = 60) -> DataFrame:
@@ -69,3 +82,23 @@ def circuit_breaker(calls: DataFrame, by: list[str], order: str, ok: str, limit:
     failed = F.sum(1 - last).over(w.rowsBetween(-limit, -1)) == limit
     recent = F.unix_timestamp(F.col(order).cast("timestamp")) - F.unix_timestamp(F.lag(order).over(w).cast("timestamp")) < seconds
     return calls.withColumn("open", F.coalesce(failed & recent, F.lit(False)))
+
+
+#: The release gate's codes, in order, and the condition that each needs; the largest calibration error.
+RELEASE_ECE = 0.05
+RELEASE = (
+    ("LICENSED_LIVE_PROVIDER_NOT_CONFIGURED", "market_data_mode = 'live' and provider is not null"), ("CANONICAL_MARKET_DATA_NOT_LIVE", "data_status = 'LIVE'"),
+    ("CHART_MODEL_SNAPSHOT_NOT_SYNCHRONIZED", "analysis_snapshot = chart_snapshot and analysis_checksum = chart_checksum"), ("APPROVED_RELEASE_MANIFEST_MISSING", "release_id is not null"),
+    ("MODEL_ARTIFACT_MISSING_OR_HASH_MISMATCH", "model_sha256 = manifest_model_sha256"), ("CALIBRATION_ARTIFACT_MISSING_OR_HASH_MISMATCH", "calibration_sha256 = manifest_calibration_sha256"),
+    ("FEATURE_ARTIFACT_INCOMPATIBLE", "feature_set = manifest_feature_set"), ("LABEL_ARTIFACT_INCOMPATIBLE", "label_set = manifest_label_set"), ("SIGNAL_POLICY_ARTIFACT_INCOMPATIBLE", "policy_version = manifest_policy_version"),
+    ("CALIBRATION_RELEASE_GATE_FAILED", f"calibration_ece <= {RELEASE_ECE} and positive_brier_skill"), ("LIVE_ANALYSIS_ARTIFACT_MISMATCH", "analysis_versions is null or analysis_versions = manifest_versions"),
+    ("DRIFT_REFERENCE_EVIDENCE_MISSING", "drift_passed is not null"), ("DRIFT_THRESHOLD_BREACHED", "coalesce(drift_passed, true)"), ("LIVE_SIGNAL_KILL_SWITCH_ACTIVE", "not kill_switch"),
+)
+
+
+def release_gate(rows: DataFrame) -> DataFrame:
+    """Adds blockers and released by the conditions of ``RELEASE``. Without a manifest what compares with it is not asked; an unknown condition blocks."""
+    own = slice(4, 11)  # those of the manifest
+    names = [n for n, _ in RELEASE]
+    conditions = {n: F.expr(c) if n not in names[own] else F.col("release_id").isNull() | F.expr(c) for n, c in RELEASE}
+    return gate(rows, conditions)

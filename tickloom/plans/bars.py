@@ -122,9 +122,7 @@ def worst_sessions(spark, d):
 
 @query(f"""WITH {BARS} SELECT event_type, opens_at, coalesce(lag(session_date) OVER w = session_date AND lag(opens_at) OVER w + INTERVAL 1 hour <> opens_at, false) AS gap FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)""")
 def gap_flags(spark, d):
-    rows = hourly(spark, d).withColumn("closes_at", F.col("opens_at") + F.expr("interval 1 hour"))
-    flag = (F.lag("session_date").over(series()) == F.col("session_date")) & (F.lag("closes_at").over(series()) != F.col("opens_at"))
-    return rows.select(*BY, "opens_at", F.coalesce(flag, F.lit(False)).alias("gap"))
+    return _features(spark, d, ["gap"]).select(*BY, "opens_at", F.coalesce("gap", F.lit(False)).alias("gap"))
 
 
 @query(f"""WITH {BARS}, w AS (SELECT * FROM bars) SELECT event_type, opens_at, round(CASE WHEN lag(close, 1) OVER v <> 0 THEN close / lag(close, 1) OVER v - 1 END, 6) AS return_1, round(CASE WHEN lag(close, 5) OVER v <> 0 THEN close / lag(close, 5) OVER v - 1 END, 6) AS return_5,
@@ -209,10 +207,13 @@ def rsi_14(spark, d):
 
 @query(f"WITH RECURSIVE {ORDERED}, t AS (SELECT *, CASE WHEN pc IS NULL THEN 0 ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, coalesce(high - lag(high) OVER w, 0) AS u, coalesce(lag(low) OVER w - low, 0) AS v FROM s WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)), "
     "t2 AS (SELECT *, CASE WHEN u > v AND u > 0 THEN u ELSE 0 END AS pm, CASE WHEN v > u AND v > 0 THEN v ELSE 0 END AS mm FROM t), "
-    + _recursive("CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS adx",
-    """(p.a * 13 + x.tr) / 14, (p.b * 13 + x.pm) / 14, (p.c * 13 + x.mm) / 14,
-       (p.adx * 13 + CASE WHEN (p.b * 13 + x.pm + p.c * 13 + x.mm) > 0 AND (p.a * 13 + x.tr) > 0 THEN abs((p.b * 13 + x.pm) - (p.c * 13 + x.mm)) / (p.b * 13 + x.pm + p.c * 13 + x.mm) ELSE 0 END) / 14""",
-    "round(adx, 5) AS adx, round(CASE WHEN a > 0 THEN (b - c) / a ELSE 0 END, 5) AS di_spread", "t2"))
+    + """rec AS (SELECT x.event_type, x.n, x.opens_at, x.tr AS st, x.pm AS sp, x.mm AS sm, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c FROM t2 x WHERE x.n = 1
+      UNION ALL SELECT x.event_type, x.n, x.opens_at, p.st + x.tr, p.sp + x.pm, p.sm + x.mm, CASE WHEN x.n = 14 THEN (p.st + x.tr) / 14 WHEN x.n > 14 THEN (p.a * 13 + x.tr) / 14 ELSE 0 END,
+        CASE WHEN x.n = 14 THEN (p.sp + x.pm) / 14 WHEN x.n > 14 THEN (p.b * 13 + x.pm) / 14 ELSE 0 END, CASE WHEN x.n = 14 THEN (p.sm + x.mm) / 14 WHEN x.n > 14 THEN (p.c * 13 + x.mm) / 14 ELSE 0 END
+      FROM rec p JOIN t2 x ON x.event_type = p.event_type AND x.n = p.n + 1),
+    d AS (SELECT event_type, n, opens_at, CASE WHEN a > 1e-12 THEN (b - c) / a ELSE 0 END AS spread, CASE WHEN a > 1e-12 AND b + c > 0 THEN abs(b - c) / (b + c) ELSE 0 END AS dx FROM rec),
+    rec2 AS (SELECT x.*, x.dx AS s, CAST(0 AS DOUBLE) AS adx FROM d x WHERE x.n = 1 UNION ALL SELECT x.*, p.s + x.dx, CASE WHEN x.n = 14 THEN (p.s + x.dx) / 14 WHEN x.n > 14 THEN (p.adx * 13 + x.dx) / 14 ELSE 0 END
+      FROM rec2 p JOIN d x ON x.event_type = p.event_type AND x.n = p.n + 1) SELECT event_type, opens_at, round(adx, 5) AS adx, round(spread, 5) AS di_spread FROM rec2""")
 def adx_14(spark, d):
     return rounded(R.adx(hourly(spark, d), 14, BY, AT), ["adx", "di_spread"], 5).select(*BY, AT, "adx", "di_spread")
 
@@ -226,19 +227,41 @@ def macd(spark, d):
     return rounded(R.macd(hourly(spark, d), BY, AT), ["macd"], 5).select(*BY, AT, "macd")
 
 
-@query(f"""WITH {ORDERED} SELECT event_type, opens_at, round(CASE WHEN n >= 10 THEN regr_slope(close, n::DOUBLE) OVER (PARTITION BY event_type ORDER BY opens_at ROWS 9 PRECEDING) END, 5) AS slope_10 FROM s""")
-def slope_10(spark, d):
-    rows = hourly(spark, d).withColumn("n", F.row_number().over(series()).cast("double"))
-    slope = F.when(F.col("n") >= 10, F.regr_slope("close", "n").over(series().rowsBetween(-9, 0)))
-    return rows.select(*BY, AT, F.round(slope, 5).alias("slope_10"))
+_RESEARCH = """WITH {ordered}, a AS (SELECT *, round(CASE WHEN n >= 14 THEN avg(high - low) OVER (w ROWS 13 PRECEDING) END, 6) AS atr, CASE WHEN n >= 10 THEN regr_slope(close, n::DOUBLE) OVER (w ROWS 9 PRECEDING) ELSE 0 END AS s10, CASE WHEN n >= 20 THEN regr_slope(close, n::DOUBLE) OVER (w ROWS 19 PRECEDING) ELSE 0 END AS s20,
+      coalesce(min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), low) AS sup20, coalesce(max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), high) AS res20, coalesce(min(low) OVER (w ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), low) AS sup50, coalesce(max(high) OVER (w ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), high) AS res50,
+      lag(open) OVER w AS po, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close, 3) OVER w AS c3, first_value(open) OVER w AS o0, first_value(session_date) OVER w AS d0, sign(close - open) AS sg FROM s WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
+    dd AS (SELECT event_type, session_date, max(high) AS h, min(low) AS l, arg_max(close, opens_at) AS c FROM bars GROUP BY 1, 2), de AS (SELECT event_type, session_date, lag(h) OVER w AS yh, lag(l) OVER w AS yl, lag(c) OVER w AS yc FROM dd WINDOW w AS (PARTITION BY event_type ORDER BY session_date)),
+    b AS (SELECT a.*, CASE WHEN session_date = d0 THEN o0 ELSE yh END AS yh, CASE WHEN session_date = d0 THEN o0 ELSE yl END AS yl, CASE WHEN session_date = d0 THEN o0 ELSE yc END AS yc, row_number() OVER v - 1 AS pos, first_value(open) OVER v AS so FROM a JOIN de USING (event_type, session_date) WINDOW v AS (PARTITION BY event_type, session_date ORDER BY opens_at)),
+    c AS (SELECT *, max(CASE WHEN pos < 6 THEN high END) OVER v AS oh, min(CASE WHEN pos < 6 THEN low END) OVER v AS ol, greatest(atr, 1e-12) AS u, greatest(high - low, 1e-12) AS span, abs(close - open) AS body, high - greatest(open, close) AS up, least(open, close) - low AS dn, n - row_number() OVER (PARTITION BY event_type, sg ORDER BY n) AS run FROM b WINDOW v AS (PARTITION BY event_type, session_date ORDER BY opens_at)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_type, sg, run ORDER BY n) AS streak FROM c)""".format(ordered=ORDERED)
+
+
+@query(_RESEARCH + """ SELECT event_type, opens_at, round(s10 / u, 5) + 0 AS slope_10_atr, round(s20 / u, 5) + 0 AS slope_20_atr, round((close - sup20) / u, 5) + 0 AS support_distance_20_atr, round((res20 - close) / u, 5) + 0 AS resistance_distance_20_atr, round((close - sup50) / u, 5) + 0 AS support_distance_50_atr, round((res50 - close) / u, 5) + 0 AS resistance_distance_50_atr,
+    round((close - so) / u, 5) + 0 AS session_return_atr, round((so - yc) / u, 5) + 0 AS opening_gap_atr, (pos >= 5)::INT::DOUBLE AS opening_range_ready, round(greatest(-2, least(3, CASE WHEN pos >= 5 THEN (close - ol) / greatest(oh - ol, 1e-12) ELSE 0.5 END)), 5) + 0 AS opening_range_position,
+    round((yh - close) / u, 5) + 0 AS previous_high_distance_atr, round((close - yl) / u, 5) + 0 AS previous_low_distance_atr, round((close - yc) / u, 5) + 0 AS previous_close_distance_atr, (body / span <= 0.1)::INT::DOUBLE AS doji, (dn >= 2 * greatest(body, span * 0.05) AND up <= body)::INT::DOUBLE AS hammer,
+    (up >= 2 * greatest(body, span * 0.05) AND dn <= body)::INT::DOUBLE AS shooting_star, coalesce(pc < po AND close > open AND open <= pc AND close >= po, false)::INT::DOUBLE AS bullish_engulfing, coalesce(pc > po AND close < open AND open >= pc AND close <= po, false)::INT::DOUBLE AS bearish_engulfing,
+    coalesce(high <= ph AND low >= pl, false)::INT::DOUBLE AS inside_bar, coalesce(high >= ph AND low <= pl, false)::INT::DOUBLE AS outside_bar, round(coalesce((close - c3) / u, 0), 5) + 0 AS three_bar_return_atr, (sg * least(6, streak))::DOUBLE AS consecutive_direction FROM r WHERE atr IS NOT NULL""")
+def research_features(spark, d):
+    """The 22 research features that are no recursive means, in simple means of ranges."""
+    rows = hourly(spark, d).withColumn("atr_14", F.round(features.framed(F.avg(F.col("high") - F.col("low")), 14, series()), 6))
+    out = features.research(rows, BY).where("atr_14 is not null")
+    names = [n for n in features.RESEARCH if not n.startswith(("macd", "adx", "di_"))]
+    return rounded(out.select(*BY, AT, *[F.col(f"research_v3__{n}").alias(n) for n in names]), names, 5)
+
+
+_STRUCTURAL = """WITH {bars}, p AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr, CASE WHEN lag(high, 2) OVER w > lag(high, 4) OVER w AND lag(high, 2) OVER w > lag(high, 3) OVER w AND lag(high, 2) OVER w > lag(high, 1) OVER w AND lag(high, 2) OVER w > high THEN lag(high, 2) OVER w END AS ph,
+      CASE WHEN lag(low, 2) OVER w < lag(low, 4) OVER w AND lag(low, 2) OVER w < lag(low, 3) OVER w AND lag(low, 2) OVER w < lag(low, 1) OVER w AND lag(low, 2) OVER w < low THEN lag(low, 2) OVER w END AS pl FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
+    q AS (SELECT *, list(ph) FILTER (ph IS NOT NULL) OVER (v ROWS 78 PRECEDING) AS hs, list(pl) FILTER (pl IS NOT NULL) OVER (v ROWS 78 PRECEDING) AS ls, greatest(avg(tr) OVER (v ROWS 13 PRECEDING), 1e-12) AS a, avg(high - low) OVER (v ROWS 2 PRECEDING) AS r3, greatest(avg(high - low) OVER (v ROWS 11 PRECEDING), 1e-12) AS r12, greatest(high - low, 1e-12) AS span FROM p WINDOW v AS (PARTITION BY event_type ORDER BY opens_at)),
+    z AS (SELECT *, coalesce((hs[-1] - hs[-2]) / a, 0) AS hp, coalesce((ls[-1] - ls[-2]) / a, 0) AS lp FROM q)""".format(bars=BARS)
 
 
-@query(f"""WITH {BARS} SELECT event_type, opens_at, round(close - coalesce(min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), low), 6) AS support_20, round(coalesce(max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), high) - close, 6) AS resistance_20
-    FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)""")
-def support_resistance(spark, d):
-    f = series().rowsBetween(-20, -1)
-    out = hourly(spark, d).select(*BY, AT, (F.col("close") - F.coalesce(F.min("low").over(f), "low")).alias("support_20"), (F.coalesce(F.max("high").over(f), "high") - F.col("close")).alias("resistance_20"))
-    return rounded(out, ["support_20", "resistance_20"])
+@query(_STRUCTURAL + """ SELECT event_type, opens_at, round(coalesce((close - hs[-1]) / a, 0), 5) + 0 AS confirmed_swing_high_distance_atr, round(coalesce((close - ls[-1]) / a, 0), 5) + 0 AS confirmed_swing_low_distance_atr, round(hp, 5) + 0 AS swing_high_progression_atr, round(lp, 5) + 0 AS swing_low_progression_atr,
+    (CASE WHEN hp > 0 AND lp > 0 THEN 1 WHEN hp < 0 AND lp < 0 THEN -1 ELSE 0 END)::DOUBLE AS structure_score, coalesce(close > hs[-1] + 0.05 * a, false)::INT::DOUBLE AS break_of_structure_up, coalesce(close < ls[-1] - 0.05 * a, false)::INT::DOUBLE AS break_of_structure_down, coalesce(low < ls[-1] AND ls[-1] < close, false)::INT::DOUBLE AS swing_low_liquidity_sweep,
+    coalesce(high > hs[-1] AND hs[-1] > close, false)::INT::DOUBLE AS swing_high_liquidity_sweep, round(r3 / r12, 5) + 0 AS range_compression_3_to_12, round((close - low) / span, 5) + 0 AS close_location, round((close - open) / span, 5) + 0 AS body_efficiency FROM z""")
+def structural_features(spark, d):
+    """The 12 features of confirmed swings."""
+    out = features.structural(hourly(spark, d), BY)
+    return rounded(out.select(*BY, AT, *[F.col(f"price_action__{n}").alias(n) for n in features.STRUCTURAL]), list(features.STRUCTURAL), 5)
 
 
 @query(f"""WITH {BARS}, d AS (SELECT event_type, session_date, max(high) AS h, min(low) AS l, arg_max(close, opens_at) AS c FROM bars GROUP BY 1, 2),

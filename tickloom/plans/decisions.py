@@ -59,14 +59,14 @@ def pending_anti_join(spark, d):
     return audit.pending(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), done, "o_orderkey", "o_orderdate", F.expr("timestamp_ntz'1995-06-30'"))
 
 
-@query("""WITH a AS (SELECT ts::DATE AS day, sum(value) AS x FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0 GROUP BY 1), b AS (SELECT ts::DATE AS day, sum(value) AS y FROM events WHERE event_type = 'error' AND user_id % 5 = 0 GROUP BY 1)
-    SELECT coalesce(a.day, b.day) AS day, round(coalesce(x, 0) - coalesce(y, 0), 6) AS uplift FROM a FULL JOIN b ON a.day = b.day""")
+@query("""WITH a AS (SELECT ts::DATE AS day, user_id, sum(value) AS x FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), b AS (SELECT ts::DATE AS day, user_id, sum(value) AS y FROM events WHERE event_type = 'error' GROUP BY 1, 2)
+    SELECT coalesce(a.day, b.day) AS day, coalesce(a.user_id, b.user_id) AS user_id, round(coalesce(x, 0) - coalesce(y, 0), 6) AS uplift FROM a FULL JOIN b ON a.day = b.day AND a.user_id = b.user_id""")
 def full_outer_uplift(spark, d):
-    """Days of two groups side by side, 0 where one has none."""
+    """A user's days of two kinds of events side by side, 0 where one has none."""
     rows = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
-    a = rows.where("event_type = 'purchase' and user_id % 7 = 0").groupBy("day").agg(F.sum("value").alias("x"))
-    b = rows.where("event_type = 'error' and user_id % 5 = 0").groupBy("day").agg(F.sum("value").alias("y"))
-    return a.join(b, "day", "full_outer").select("day", F.round(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)), 6).alias("uplift"))
+    a = rows.where("event_type = 'purchase'").groupBy("day", "user_id").agg(F.sum("value").alias("x"))
+    b = rows.where("event_type = 'error'").groupBy("day", "user_id").agg(F.sum("value").alias("y"))
+    return a.join(b, ["day", "user_id"], "full_outer").select("day", "user_id", F.round(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)), 6).alias("uplift"))
 
 
 @query("""SELECT event_type, user_id, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -81,20 +81,30 @@ def dedupe_events(spark, d):
     return candles.latest(rows, ["event_type", "user_id", "day"], [F.asc("event_id")]).select("event_type", "event_id", "user_id", "day")
 
 
-@query("""WITH e AS (SELECT *, CAST(props->>'k' AS BIGINT) AS seq FROM events), v AS (SELECT *, value <= 0 AS bad1, seq < 3 AS bad2, value > 150 AS late FROM e),
-    r AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, bad1 OR bad2 ORDER BY ts, event_id) AS n FROM v)
-    SELECT event_id, CASE WHEN bad1 OR bad2 THEN 'QUARANTINED' WHEN n > 1 THEN 'DUPLICATE' ELSE 'STORED' END AS status,
-    concat_ws('|', CASE WHEN bad1 THEN 'PRICE_NOT_POSITIVE' END, CASE WHEN bad2 THEN 'NEGATIVE_SEQUENCE' END, CASE WHEN late THEN 'LATE_ARRIVAL' END) AS issues FROM r""")
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 4 = 0 THEN 'QUOTE' WHEN event_id % 29 = 0 THEN 'CORRECTION' ELSE 'TRADE' END AS kind, user_id % 6 AS ins, ts + to_seconds((event_id % 6)::INT - 1) - CASE WHEN event_id % 31 = 0 THEN INTERVAL 5 seconds ELSE INTERVAL 0 seconds END AS arrived,
+      CASE WHEN event_id % 3 <> 0 THEN event_id % 40 - 1 END AS seq, CASE WHEN event_id % 3 <> 0 AND event_id % 43 <> 0 THEN 'day' END AS scope, value - 2 AS price FROM events),
+    v AS (SELECT *, list_filter([CASE WHEN ins = 5 THEN 'UNKNOWN_INSTRUMENT' END, CASE WHEN seq < 0 THEN 'NEGATIVE_SEQUENCE' END, CASE WHEN seq IS NOT NULL AND scope IS NULL THEN 'SEQUENCE_SCOPE_REQUIRED' END, CASE WHEN ts > arrived + INTERVAL 2 seconds THEN 'EVENT_FROM_FUTURE' END,
+      CASE WHEN arrived > ts + INTERVAL 3 seconds THEN 'LATE_ARRIVAL' END, CASE WHEN price <= 0 THEN 'PRICE_NOT_POSITIVE' END, CASE WHEN kind = 'CORRECTION' THEN 'CORRECTION_TARGET_REQUIRED' END], lambda x: x IS NOT NULL) AS issues FROM e),
+    b AS (SELECT *, len(list_filter(issues, lambda x: x <> 'LATE_ARRIVAL')) > 0 AS bad FROM v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bad, CASE WHEN ins < 5 THEN ins END, kind, seq, CASE WHEN seq IS NOT NULL THEN coalesce(scope, '') END, CASE WHEN seq IS NULL THEN ts END, CASE WHEN seq IS NULL THEN price END ORDER BY arrived, event_id) AS n FROM b)
+    SELECT event_id, CASE WHEN bad THEN 'QUARANTINED' WHEN n > 1 THEN 'DUPLICATE' ELSE 'STORED' END AS status, array_to_string(issues, '|') AS issues FROM r""")
 def validate_route(spark, d):
-    """Codes, quarantine, and duplicates behind the first valid event of a key."""
-    from ..functions.expressions import codes
-
-    rows = table(spark, d, "events").withColumn("seq", F.get_json_object("props", "$.k").cast("long"))
-    rows = rows.withColumn("issues", codes((F.col("value") <= 0, "PRICE_NOT_POSITIVE"), (F.col("seq") < 3, "NEGATIVE_SEQUENCE"), (F.col("value") > 150, "LATE_ARRIVAL")))
-    bad = F.exists("issues", lambda x: ~x.isin(*ingest.WARNINGS))
-    n = F.row_number().over(W.partitionBy("event_type", "user_id", bad).orderBy("ts", "event_id"))
-    status = F.when(bad, F.lit("QUARANTINED")).when(n > 1, F.lit("DUPLICATE")).otherwise(F.lit("STORED"))
-    return rows.select("event_id", status.alias("status"), F.concat_ws("|", "issues").alias("issues"))
+    """Normalisation, identity, codes, quarantine, and duplicates behind the first valid event of a sequence or content."""
+    k = F.col("event_id")
+    quote, corrects, sequenced = k % 4 == 0, k % 29 == 0, k % 3 != 0
+    late = (F.unix_micros(F.col("ts").cast("timestamp")) + (k % 6 - 1) * 1000000 - F.when(k % 31 == 0, 5000000).otherwise(0))
+    money = lambda c: c.cast("decimal(18,6)")
+    given = {
+        "provider": F.lit(" Feed "), "provider_instrument_id": (F.col("user_id") % 6).cast("string"), "event_type": F.when(quote, F.lit("QUOTE")).when(corrects, F.lit("CORRECTION")).otherwise(F.lit("TRADE")),
+        "provider_event_time": F.col("ts").cast("timestamp"), "server_arrival_time": F.timestamp_micros(late), "provider_sequence": F.when(sequenced, k % 40 - 1), "provider_sequence_scope": F.when(sequenced & (k % 43 != 0), F.lit("day")),
+        "price": money(F.col("value") - 2),
+    }
+    fields = [f.split()[:2] for f in ingest.RAW.replace("\n", " ").replace("decimal(18,6)", "decimal(18#6)").replace("map<string,string>", "map<string#string>").split(",")]
+    rows = table(spark, d, "events").select(k.alias("source_id"), *[given.get(n, F.lit(None).cast(t.replace("#", ","))).alias(n) for n, t in fields])
+    known = spark.createDataFrame([("feed", str(i), f"i{i}", True) for i in range(5)], "provider string, provider_instrument_id string, instrument_id string, supports_volume boolean")
+    rows = rows.withColumn("_source", F.col("source_id"))
+    out = ingest.route(ingest.identity(ingest.normalize(rows, known)), ["server_arrival_time", "_source"])
+    return out.select(F.col("source_id").alias("event_id"), "status", F.concat_ws("|", "issues").alias("issues"))
 
 
 @query("""WITH e AS (SELECT *, CAST(props->>'k' AS BIGINT) AS seq FROM events), m AS (SELECT *, max(seq) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e)
@@ -175,7 +185,10 @@ def nonoverlap_trades(spark, d):
     return labels.non_overlapping(rows, BY, "a", "b").select("event_id", "taken")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_type, ts::DATE::VARCHAR AS day, epoch_us(ts) AS a, epoch_us(ts) + 3600000000 AS b, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
+    r AS (SELECT event_type, n, day, b AS until, 1 AS k, true AS taken FROM o WHERE n = 1 UNION ALL SELECT o.event_type, o.n, o.day, CASE WHEN o.a >= r.until AND (o.day <> r.day OR r.k < 2) THEN o.b ELSE r.until END,
+      CASE WHEN o.day <> r.day THEN (o.a >= r.until)::INT ELSE r.k + (o.a >= r.until AND r.k < 2)::INT END, o.a >= r.until AND (o.day <> r.day OR r.k < 2) FROM r JOIN o ON o.event_type = r.event_type AND o.n = r.n + 1)
+    SELECT event_type, day, count(*) FILTER (taken) AS n_taken, count(*) AS n FROM r GROUP BY 1, 2""")
 def nonoverlap_daily_cap(spark, d):
     """At most two trades a day, none overlapping."""
     a = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -183,7 +196,7 @@ def nonoverlap_daily_cap(spark, d):
     return labels.non_overlapping(rows, BY, "a", "b", "day", 2).groupBy("event_type", "day").agg(F.count_if("taken").alias("n_taken"), F.count(F.lit(1)).alias("n"))
 
 
-_TRADES = "t AS (SELECT event_type, event_id, ts, value - 60 AS net_points, (value - 60) / 50 AS r FROM events WHERE event_id % 10 = 0)"
+_TRADES = "t AS (SELECT event_type, event_id, ts, value - 60 AS net_points, (value - 60) / 50 AS r FROM events)"
 
 
 @query(f"""WITH {_TRADES}, c AS (SELECT *, sum(r) OVER w AS cum, sum((net_points > 0)::INT) OVER w AS run FROM t WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
@@ -192,7 +205,7 @@ _TRADES = "t AS (SELECT event_type, event_id, ts, value - 60 AS net_points, (val
     round(sum(net_points) FILTER (net_points > 0) / -sum(net_points) FILTER (net_points < 0), 6) AS profit_factor, round(max(peak - cum), 5) AS max_drawdown, max(streak) AS max_consecutive_losses,
     round(avg(r) - 1.96 * stddev_samp(r) / sqrt(count(*)), 6) AS mean_r_lower FROM p GROUP BY 1""")
 def trade_metrics(spark, d):
-    rows = table(spark, d, "events").where("event_id % 10 = 0").select("event_type", "event_id", (F.col("value") - 60).alias("net_points"), ((F.col("value") - 60) / 50).alias("r"))
+    rows = table(spark, d, "events").select("event_type", "event_id", (F.col("value") - 60).alias("net_points"), ((F.col("value") - 60) / 50).alias("r"))
     out = rounded(metrics.trade_metrics(rows, BY, "event_id", "net_points", "r"), ["win_rate", "mean_r", "profit_factor", "mean_r_lower"])
     return rounded(rounded(out, ["net_points"], 4), ["max_drawdown"], 5)
 
@@ -340,25 +353,6 @@ def session_bootstrap(spark, d):
     return metrics.session_bootstrap(s, BY, "day", "total", "n")
 
 
-_SIGNAL = f"""{_PRED}, g AS (SELECT *, p_up > p_down AS buy, greatest(p_up, p_down) AS own, least(p_up, p_down) AS other FROM p), h AS (SELECT *, own - greatest(other, p_neither) AS margin, own - 0.75 * other AS ev, event_id % 4 <> 0 AS gates FROM g),
-    k AS (SELECT event_id, CASE WHEN p_up > p_down THEN 'BUY' WHEN p_down > p_up THEN 'SELL' END AS side, list_filter([CASE WHEN NOT gates THEN 'HARD_GATE' END, CASE WHEN p_up = p_down THEN 'NO_SIDE' END, CASE WHEN own < 0.6 THEN 'PROBABILITY_BELOW_THRESHOLD' END,
-      CASE WHEN margin < 0.15 THEN 'MARGIN_BELOW_THRESHOLD' END, CASE WHEN p_neither > 0.45 THEN 'NEITHER_TOO_LIKELY' END, CASE WHEN ev < 0.15 THEN 'EXPECTED_VALUE_BELOW_THRESHOLD' END], lambda x: x IS NOT NULL) AS b FROM h)"""
-
-
-def _signals(spark, d):
-    return folds.signal(_predictions(spark, d).withColumn("gates", F.col("event_id") % 4 != 0).withColumn("active_side", F.lit(None).cast("string")))
-
-
-@query(f"WITH {_SIGNAL} SELECT event_id, CASE WHEN len(b) = 0 THEN side ELSE 'WAIT' END AS decision, array_to_string(b, '|') AS blockers FROM k")
-def signal_policy(spark, d):
-    return _signals(spark, d).select("event_id", "decision", F.concat_ws("|", "blockers").alias("blockers"))
-
-
-@query(f"WITH {_SIGNAL} SELECT reason, count(*) AS n FROM (SELECT unnest(b) AS reason FROM k) GROUP BY 1")
-def wait_counts(spark, d):
-    return _signals(spark, d).select(F.explode("blockers").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT event_type, user_id, count(*) AS n_events, count(*) FILTER (value > 100) AS n_large, CASE WHEN count(*) >= 30 THEN round(avg(value), 6) END AS mean_value FROM events GROUP BY 1, 2""")
 def gated_analytics(spark, d):
     """Means stay null until there are thirty rows."""
@@ -381,14 +375,18 @@ def audit_chain(spark, d):
     return audit.chained(rows, BY, "event_id", ["event_id", "user_id"]).drop("user_id")
 
 
-@query("SELECT 0::BIGINT AS n_broken, count(*) AS n FROM events")
+@query("SELECT count(*) FILTER (event_id % 97 = 0) AS n_broken, count(*) AS n FROM events")
 def audit_verify(spark, d):
-    rows = audit_chain(spark, d)
-    bad = audit.broken(rows.join(table(spark, d, "events").select("event_id", "user_id"), "event_id"), BY, "event_id", ["event_id", "user_id"])
+    """Finds the rows of a chain whose content has been changed."""
+    rows = audit_chain(spark, d).join(table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 97 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id")), "event_id")
+    bad = audit.broken(rows, BY, "event_id", ["event_id", "user_id"])
     return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(bad.agg(F.count(F.lit(1)).alias("n_broken")))  # one row each
 
 
-@query()
+@query(f"""WITH {ORDERED}, x AS (SELECT *, close > max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS up, close < min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS down, close > open AND lag(close) OVER w > lag(open) OVER w AS rise FROM s WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
+    b AS (SELECT event_type, opens_at, coalesce(up, false) AND NOT coalesce(lag(up) OVER v, false) AS u, coalesce(down, false) AND NOT coalesce(lag(down) OVER v, false) AS d, coalesce(rise, false) AND NOT coalesce(lag(rise) OVER v, false) AS r FROM x WINDOW v AS (PARTITION BY event_type, session_date ORDER BY opens_at))
+    SELECT event_type, opens_at, CASE WHEN (u OR r) AND d THEN NULL WHEN u THEN 'breakout_up' WHEN d THEN 'breakout_down' WHEN r THEN 'rising' END AS setup, (CASE WHEN (u OR r) AND d THEN NULL WHEN u OR r THEN 1 WHEN d THEN -1 END)::INT AS direction,
+    CASE WHEN (u OR r) AND d THEN 'CONFLICTING_DIRECTIONS' WHEN NOT (u OR r OR d) THEN 'NO_EVENT' END AS wait_reason FROM b""")
 def event_setups(spark, d):
     """Setups that begin at a bar, with conflicting directions waiting."""
     w = series()

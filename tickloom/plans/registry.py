@@ -47,5 +47,5 @@ ORDERED = BARS + ", s AS (SELECT *, row_number() OVER w AS n, lag(close) OVER w
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """Rounded for comparison: engines add in other orders."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+    """Rounded for comparison: engines add in other orders. No zero is negative."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})

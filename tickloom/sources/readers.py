@@ -131,10 +131,19 @@ def futures_snapshot(rows: DataFrame) -> DataFrame:
     return rows.withColumn("futures_book_imbalance", F.try_divide(buy - sell, buy + sell)).withColumn("futures_basis_bps", F.try_divide(F.col("futures_ltp") - F.col("spot_ltp"), F.col("spot_ltp")) * 10000)
 
 
-def readiness(snapshots: DataFrame, least_rows: int = 500, least_sessions: int = 20, least_share: float = 0.9) -> DataFrame:
-    """One row of counts and the blockers that keep snapshots from use."""
-    out = snapshots.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("session_date").alias("n_sessions"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"),
-        F.coalesce(F.avg(F.col("comparable").cast("double")), F.lit(0.0)).alias("comparable_share"),
+def readiness(rows: DataFrame, least_rows: int = 3000, least_sessions: int = 60, least_days: int = 90, least_options: float = 0.80) -> DataFrame:
+    """One row of counts of ``features.derivatives`` rows, and the blockers that keep them from research.
+
+    Rows, sessions and the span of days (first and last included) count rows with a complete core; the share of complete options is of the regular rows.
+    """
+    core, regular = F.col("complete_core"), F.col("regular")
+    day = F.when(core, F.col("session_date").cast("date"))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(regular).alias("n_regular"), F.count_if(core).alias("n_complete"), F.count_distinct(day).alias("n_sessions"),
+        F.coalesce(F.date_diff(F.max(day), F.min(day)) + 1, F.lit(0)).alias("span_days"), F.coalesce(F.try_divide(F.count_if("options_complete"), F.count_if(regular)), F.lit(0.0)).alias("options_share"),
     )
-    return out.withColumn("blockers", codes((F.col("n") < least_rows, "TOO_FEW_SNAPSHOTS"), (F.col("n_sessions") < least_sessions, "TOO_FEW_SESSIONS"), (F.col("comparable_share") < least_share, "TOO_MANY_BREAKS")))
+    blockers = codes(
+        (F.col("n_complete") < least_rows, "DERIVATIVES_COMPLETE_ROW_SUPPORT_TOO_LOW"), (F.col("n_sessions") < least_sessions, "DERIVATIVES_SESSION_SUPPORT_TOO_LOW"),
+        (F.col("span_days") < least_days, "DERIVATIVES_CALENDAR_SPAN_TOO_SHORT"), (F.col("options_share") < least_options, "OPTIONS_CONTEXT_COMPLETENESS_TOO_LOW"),
+    )
+    return out.withColumn("blockers", blockers)

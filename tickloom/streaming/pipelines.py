@@ -32,7 +32,10 @@ def windowed_candles(ticks: DataFrame, keys: list[str], time: str, price: str, t
 
 
 def sequence_marks(events: DataFrame, keys: list[str], sequence: str, identity: str, order: str) -> DataFrame:
-    """OK, GAP or OUT_OF_ORDER for each event; the state is the last accepted sequence of a key."""
+    """OK, GAP or OUT_OF_ORDER for each event; the state is the last accepted sequence of a key.
+
+    A key's rows of one micro-batch are sorted in memory; ``files`` bounds a micro-batch.
+    """
     fields = {f.name: f.dataType.simpleString() for f in events.schema}
     output = ", ".join([f"{k} {fields[k]}" for k in keys] + [f"{identity} {fields[identity]}", "mark string"])
 
@@ -100,8 +103,15 @@ def routed(events: DataFrame, instruments: DataFrame, stored: str, quarantined:
     return write
 
 
-def completed(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns its rows."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def completed(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now and returns its rows, written to ``path``: a folder a batch, or in complete mode the last batch alone.
+
+    A batch that is run again overwrites its own folder, so nothing counts twice.
+    """
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'whole' if mode == 'complete' else k}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
