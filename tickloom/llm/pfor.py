@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 from .tokens import END_ID, crc, documents_ids
 
 BLOCK = 256
@@ -127,7 +127,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
     order = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")]
     ordered = docs.select(*order, "text").repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    ordered.mapInArrow(segments, SEGMENTS).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(segments, SEGMENTS).write.parquet(path)
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
