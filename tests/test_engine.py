@@ -178,3 +178,82 @@ def test_calendar_json_is_verified(spark):
     c = calendar.Calendar.read(json.dumps({"holidays": ["2026-01-26"], "verified_from": "2026-01-01", "verified_through": "2026-12-31"}))
     with pytest.raises(ValueError, match="verified"):
         calendar.sessions(spark, c, dt.date(2025, 12, 31), dt.date(2026, 1, 2))
+
+
+def wilder(values, n):
+    out, y = [0.0] * len(values), None
+    for i, v in enumerate(values):
+        y = sum(values[:n]) / n if i == n - 1 else (y * (n - 1) + v) / n if i >= n else None
+        out[i] = y or 0.0
+    return out
+
+
+def exponential(values, n, first=False):
+    out, y = [], None
+    for i, v in enumerate(values):
+        y = v if first and i == 0 else sum(values[:n]) / n if not first and i == n - 1 else y if y is None else 2 / (n + 1) * v + (1 - 2 / (n + 1)) * y
+        out.append(y or 0.0)
+    return out
+
+
+def test_macd_and_adx_equal_a_loop(spark):
+    rows = bars(spark, 120)
+    b = rows.orderBy("opens_at").collect()
+    close = [r["close"] for r in b]
+    line = [x - y for x, y in zip(exponential(close, 12), exponential(close, 26))]
+    signal = exponential(line, 9, True)
+    tr, up, down = [0.0], [0.0], [0.0]
+    for x, y in zip(b, b[1:]):
+        u, d = y["high"] - x["high"], x["low"] - y["low"]
+        up.append(u if u > d and u > 0 else 0.0)
+        down.append(d if d > u and d > 0 else 0.0)
+        tr.append(max(y["high"] - y["low"], abs(y["high"] - x["close"]), abs(y["low"] - x["close"])))
+    t, p, m = (wilder(v, 14) for v in (tr, up, down))
+    spread = [(x - y) / z if z > 1e-12 else 0.0 for x, y, z in zip(p, m, t)]
+    adx = wilder([abs(x - y) / (x + y) if z > 1e-12 and x + y else 0.0 for x, y, z in zip(p, m, t)], 14)
+    rows = features.research(R.atr(rows, 14, ["series"], "opens_at", "atr_14").withColumn("session_date", F.col("opens_at").cast("date")), ["series"])
+    out = rows.orderBy("opens_at").collect()
+    for i in range(14, 120):
+        a = out[i]["atr_14"]
+        want = {"macd_line_atr": line[i] / a, "macd_signal_atr": signal[i] / a, "macd_histogram_atr": (line[i] - signal[i]) / a, "adx_14": adx[i], "di_spread": spread[i]}
+        for n, v in want.items():
+            assert out[i][f"research_v3__{n}"] == pytest.approx(v, rel=1e-7, abs=1e-9), (n, i)
+
+
+def test_paper_trades_end_by_the_stated_rules(spark):
+    at = lambda k: START + dt.timedelta(hours=k)
+    path = [("a", at(0), 120.0, 110.0, 115.0), ("a", at(1), 101.0, 99.0, 100.0), ("a", at(2), 104.0, 98.0, 103.0), ("a", at(3), 112.0, 100.0, 111.0), ("a", at(6), 90.0, 80.0, 85.0)]
+    b = spark.createDataFrame(path, "k string, at timestamp, high double, low double, close double")
+    made = [
+        ("target", "BUY", 99.5, 100.5, 95.0, 110.0, 4), ("same bar", "BUY", 100.0, 102.0, 99.0, 130.0, 4), ("both", "BUY", 100.5, 101.5, 98.5, 103.5, 4), ("short stop", "SELL", 99.5, 100.5, 103.5, 90.0, 4),
+        ("never", "BUY", 50.0, 51.0, 45.0, 70.0, 4), ("at expiry", "BUY", 99.5, 100.5, 60.0, 150.0, 4), ("open", "BUY", 99.5, 100.5, 60.0, 150.0, 9), ("waiting", "BUY", 50.0, 51.0, 45.0, 70.0, 9),
+    ]
+    trades = spark.createDataFrame([("a", *m[:6], at(0), at(m[6])) for m in made], "k string, trade_id string, side string, entry_low double, entry_high double, stop double, target double, opened_at timestamp, expires_at timestamp")
+    out = {r["trade_id"]: (r["state"], r["points"]) for r in tracking.paper_trades(trades, b, ["k"]).collect()}
+    assert out == {
+        "target": ("TARGET_1_HIT", 9.5), "same bar": ("INVALIDATED", None), "both": ("INVALIDATED", None), "short stop": ("STOP_HIT", -4.0), "never": ("EXPIRED", None),
+        "at expiry": ("EXPIRED", -15.5), "open": ("OPEN", None), "waiting": ("WAITING", None),
+    }
+
+
+def test_gates_of_unknown_inputs_block(spark):
+    blank = spark.createDataFrame([(1,)], "i int").select(*[F.lit(None).cast("boolean").alias(c) for _, c in folds.HARD_GATES], F.lit(None).cast("string").alias("data_status"), F.lit(None).cast("double").alias("reference_close"), F.lit(None).cast("double").alias("atr"))
+    assert blank.select(folds.hard_gates().alias("g")).first()["g"] == ["DATA_NOT_LIVE_UNKNOWN", *[code for code, _ in folds.HARD_GATES], "REFERENCE_PRICE_UNAVAILABLE", "ATR_UNAVAILABLE"]
+
+
+def test_vector_scaling_finds_what_was_done(spark):
+    """Labels drawn by hash from probabilities whose logarithms were halved and shifted."""
+    rows = spark.range(20000).select(*[(1 + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(9))).cast("double").alias(f"w{k}") for k in range(3)], (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(10007)) / 10007).alias("u"))
+    total = F.col("w0") + F.col("w1") + F.col("w2")
+    rows = rows.select(*[(F.col(f"w{k}") / total).alias(f"p{k}") for k in range(3)], "u")
+    true = calibration.vector_scaled(["p0", "p1", "p2"], [0.5, 0.5, 0.5], [0.4, 0.0, -0.4])
+    rows = rows.withColumn("y", F.when(F.col("u") < true[0], F.lit("A")).when(F.col("u") < true[0] + true[1], F.lit("B")).otherwise(F.lit("C")))
+    w, b = calibration.fit_vector(rows, ["p0", "p1", "p2"], "y", ("A", "B", "C"), ridge=1e-6)
+    assert w == pytest.approx([0.5] * 3, abs=0.15) and [b[0] - b[1], b[1] - b[2]] == pytest.approx([0.4, 0.4], abs=0.1)
+
+
+def test_percentiles_of_ranges_equal_counting(spark):
+    r = [(i * 7919 % 503) / 7 for i in range(400)]
+    a, b = spark.createDataFrame([(x,) for x in r], "v double"), spark.createDataFrame([(x * 1.3,) for x in r[:150]], "v double")
+    for row in folds.reference_percentile(a, b, "v", "p", ranges=7).collect():
+        assert row["p"] == pytest.approx(sum(x * 1.3 <= row["v"] for x in r[:150]) / 150)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, logit, sigmoid
+from . import metrics
 
 
 def tempered(columns: list[str], temperature: float | Column, edge: float = 1e-12) -> list[Column]:
@@ -39,6 +40,91 @@ def fit_temperature(rows: DataFrame, columns: list[str], actual: str, names: tup
     return best
 
 
+#: What releases a calibration.
+GATE = {
+    "fit_share": 0.60, "total": 500, "fit_class": 50, "evaluation_class": 30, "bin": 30, "bins": 2, "ece": 0.05, "skill": 0.0, "slice_ece": 0.10, "slice_skill": -0.10, "slice": 50,
+}
+
+
+def released(rows: DataFrame, order: list[str], columns: list[str], actual: str = "actual", fold: str = "fold_index", temperature: float | None = None, gate: dict = GATE) -> DataFrame:
+    """Fits a temperature on the first ``fit_share`` of rows by ``order`` (unless one is given) and judges it on the rest: one row.
+
+    temperature, n_fit, n_evaluation, ece, brier, log_loss, brier_skill (over the fit's class shares), supported_bins, failed_slices, blockers. Every
+    fold of the evaluation is a slice with limits of its own; one with too few rows fails.
+    """
+    names, n = metrics.CLASSES, rows.count()
+    cut = rows.select(*order).orderBy(*order).offset(int(n * gate["fit_share"])).limit(1).first()
+    if cut is None or not int(n * gate["fit_share"]):
+        raise ValueError("a calibration needs rows to fit and rows to judge")
+    kinds = dict(rows.dtypes)
+    later = F.struct(*order) >= F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut)])
+    fit, rest = rows.where(~later), rows.where(later)
+    temperature = fit_temperature(fit, columns, actual, names) if temperature is None else temperature
+    shares = fit.agg(*[F.count_if(F.col(actual) == c).alias(c) for c in names], F.count(F.lit(1)).alias("n")).first()
+    made, prior = [f"_t{k}" for k in range(len(names))], [f"_p{k}" for k in range(len(names))]
+    rest = rest.select("*", *[x.alias(m) for x, m in zip(tempered(columns, temperature), made)], *[F.lit(shares[c] / shares["n"]).alias(p) for c, p in zip(names, prior)])
+    rest = rest.withColumn("_top", F.greatest(*made)).withColumn("_right", metrics.argmax(made) == F.col(actual))
+
+    def measured(by: list[str]) -> list:
+        own, base = metrics.class_metrics(rest, by, made, actual), metrics.class_metrics(rest, by, prior, actual)
+        error = metrics.calibration_error(metrics.calibration_bins(rest, by, "_top", "_right"), by)
+        out = own.select(*by, "n", "brier", "log_loss", *[f"support_{c.lower()}" for c in names])
+        if by:
+            return out.join(base.select(*by, F.col("brier").alias("_base")), by).join(error, by).collect()  # a row a fold
+        return out.crossJoin(base.select(F.col("brier").alias("_base"))).crossJoin(error).collect()  # one row each
+
+    (whole,), slices = measured([]), measured([fold])
+    raw = metrics.class_metrics(rest, [], columns, actual).first()
+    bins = sorted(r["bin"] for r in metrics.calibration_bins(rest, [], "_top", "_right").where(F.col("n") >= gate["bin"]).collect())
+    skill = 1 - whole["brier"] / whole["_base"]
+    failed = sorted(r[fold] for r in slices if r["n"] < gate["slice"] or r["ece"] > gate["slice_ece"] or 1 - r["brier"] / r["_base"] < gate["slice_skill"])
+    found = {
+        "INSUFFICIENT_TOTAL_OOS_PREDICTIONS": n < gate["total"], "INSUFFICIENT_CALIBRATION_FIT_CLASS_SUPPORT": any(shares[c] < gate["fit_class"] for c in names),
+        "INSUFFICIENT_UNTOUCHED_EVALUATION_CLASS_SUPPORT": any(whole[f"support_{c.lower()}"] < gate["evaluation_class"] for c in names), "ECE_RELEASE_GATE_FAILED": whole["ece"] > gate["ece"],
+        "BRIER_SKILL_RELEASE_GATE_FAILED": skill <= gate["skill"], "CALIBRATION_DEGRADATION_GATE_FAILED": whole["brier"] > raw["brier"] or whole["log_loss"] > raw["log_loss"],
+        "INSUFFICIENT_DISPLAY_PROBABILITY_BIN_SUPPORT": len(bins) < gate["bins"], "CHRONOLOGICAL_SLICE_STABILITY_GATE_FAILED": bool(failed) or not slices,
+    }
+    row = (
+        float(temperature), shares["n"], whole["n"], whole["ece"], whole["brier"], whole["log_loss"], skill,
+        [f"{b / 10:.1f}-{(b + 1) / 10:.1f}" for b in bins], [int(f) for f in failed], [code for code, bad in found.items() if bad],
+    )
+    schema = "temperature double, n_fit long, n_evaluation long, ece double, brier double, log_loss double, brier_skill double, supported_bins array<string>, failed_slices array<int>, blockers array<string>"
+    return rows.sparkSession.createDataFrame([row], schema)
+
+
+def vector_scaled(columns: list[str], weights: list[float], shifts: list[float], edge: float = 1e-12) -> list[Column]:
+    """Softmax of each class's own weight times its probability's logarithm plus its own shift."""
+    logs = [F.ln(clip(F.col(c), edge, 1.0)) * w + b for c, w, b in zip(columns, weights, shifts)]
+    top = F.greatest(*logs)
+    powers = [F.exp(x - top) for x in logs]
+    return [p / sum(powers[1:], powers[0]) for p in powers]
+
+
+def fit_vector(rows: DataFrame, columns: list[str], actual: str, names: tuple[str, ...], ridge: float = 1e-3, rounds: int = 25) -> tuple[list[float], list[float]]:
+    """Weights and shifts of ``vector_scaled`` of least log loss, drawn to 1 and 0 by ``ridge`` a row: Newton's method, an aggregation a round."""
+    k = len(columns)
+    x = rows.select(*[F.ln(clip(F.col(c), 1e-12, 1.0)).alias(f"l{i}") for i, c in enumerate(columns)], *[(F.col(actual) == c).cast("double").alias(f"y{i}") for i, c in enumerate(names)])
+    at, rest = np.r_[np.ones(k), np.zeros(k)], np.r_[np.ones(k), np.zeros(k)]
+    for _ in range(rounds):
+        logs = [F.col(f"l{i}") * float(at[i]) + float(at[k + i]) for i in range(k)]
+        top = F.greatest(*logs)
+        p = x.select("*", *[F.exp(v - top).alias(f"e{i}") for i, v in enumerate(logs)])
+        p = p.select("*", *[(F.col(f"e{i}") / sum((F.col(f"e{j}") for j in range(k)), F.lit(0.0))).alias(f"p{i}") for i in range(k)])
+        part = [F.col(f"l{i}") for i in range(k)] + [F.lit(1.0)] * k  # what a parameter multiplies
+        slope = [F.sum((F.col(f"p{i % k}") - F.col(f"y{i % k}")) * part[i]).alias(f"g{i}") for i in range(2 * k)]
+        bend = [F.sum(F.col(f"p{i % k}") * (float(i % k == j % k) - F.col(f"p{j % k}")) * part[i] * part[j]).alias(f"h{i}_{j}") for i in range(2 * k) for j in range(i, 2 * k)]
+        r = p.agg(F.count(F.lit(1)).alias("n"), *slope, *bend).first()
+        if not r["n"]:
+            break
+        g = np.array([r[f"g{i}"] for i in range(2 * k)]) + ridge * r["n"] * (at - rest)
+        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(2 * k)] for i in range(2 * k)]) + ridge * r["n"] * np.eye(2 * k)
+        step = np.linalg.solve(h, g)
+        at = at - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return at[:k].tolist(), at[k:].tolist()
+
+
 def shrunk(p: Column, prior: float, weight: float) -> Column:
     """Mix of a probability and the prior."""
     return (1 - weight) * p + weight * prior

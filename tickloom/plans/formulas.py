@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import datasets, features, folds, tracking
+from ..operators import calibration, datasets, features, folds, tracking
 from ..sources import readers
-from .registry import query, rounded, table
+from .registry import BARS, hourly, query, rounded, table
 
 
 def _given(rows, columns: dict[str, str], keep: list[str]):
@@ -190,3 +191,66 @@ def import_datasets(spark, d):
     kept, counts = datasets.imported(_store(spark, d), "series")
     stored = kept.groupBy("series").agg(F.count(F.lit(1)).alias("n_stored"))
     return counts.join(stored, "series", "left").select(F.col("series").alias("dataset"), "n", "n_errors", "status", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
+
+
+_PRIMARY = "event_id AS bar_id, ts AS decision_time, user_id, value > 20 AS ready, CASE WHEN event_id % 17 <> 0 THEN value END AS v"
+
+
+def _frame(spark, d, kind: str):
+    rows = table(spark, d, "events").where(F.col("event_type") == kind)
+    return rows.select("user_id", F.col("ts").alias("decision_time"), F.col("event_id").alias("bar_id"), (F.col("value") > 20).alias("ready"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("v"))
+
+
+@query(f"""WITH p AS (SELECT {_PRIMARY} FROM events WHERE event_type = 'click'), q AS (SELECT {_PRIMARY} FROM events WHERE event_type = 'view'), r AS (SELECT {_PRIMARY} FROM events WHERE event_type = 'purchase'),
+    l AS (SELECT event_id AS bar_id, event_id % 5 <> 0 AS eligible, CASE event_id % 4 WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' WHEN 2 THEN 'NEITHER' ELSE 'AMBIGUOUS' END AS outcome, CASE WHEN event_id % 5 = 0 THEN 'AMBIGUOUS_TOUCH' END AS why FROM events WHERE event_id % 23 <> 0),
+    a AS (SELECT p.*, q.bar_id AS b15, q.ready AS r15, q.v AS v15 FROM p ASOF LEFT JOIN q ON p.user_id = q.user_id AND p.decision_time >= q.decision_time), b AS (SELECT a.*, r.bar_id AS b1, r.ready AS r1, r.v AS v1 FROM a ASOF LEFT JOIN r ON a.user_id = r.user_id AND a.decision_time >= r.decision_time)
+    SELECT b.bar_id, outcome, CASE WHEN NOT coalesce(eligible AND outcome IN ('UP', 'DOWN', 'NEITHER'), false) THEN coalesce(why, 'LABEL_NOT_TRAINING_ELIGIBLE') WHEN NOT b.ready THEN 'PRIMARY_5M_FEATURES_NOT_READY' WHEN NOT coalesce(r15, false) THEN 'FINALIZED_15M_FEATURES_NOT_READY'
+      WHEN NOT coalesce(r1, false) THEN 'FINALIZED_1H_FEATURES_NOT_READY' WHEN b.v IS NULL OR v15 IS NULL OR v1 IS NULL THEN 'NULL_FEATURE_VALUE' END AS reason, sha256(concat_ws('|', b.bar_id, b15, b1)) AS input_checksum FROM b LEFT JOIN l ON b.bar_id = l.bar_id""")
+def training_samples(spark, d):
+    """Clicks as samples, with the views and purchases known by then, and the reason for each that is left out."""
+    k = F.col("event_id")
+    outcome = F.when(k % 4 == 0, F.lit("UP")).when(k % 4 == 1, F.lit("DOWN")).when(k % 4 == 2, F.lit("NEITHER")).otherwise(F.lit("AMBIGUOUS"))
+    labels = table(spark, d, "events").where("event_id % 23 <> 0").select(k.alias("bar_id"), k.alias("label_id"), (k % 5 != 0).alias("eligible"), outcome.alias("outcome"), F.when(k % 5 == 0, F.lit("AMBIGUOUS_TOUCH")).alias("reason"))
+    out = datasets.assemble(_frame(spark, d, "click"), labels, _frame(spark, d, "view"), _frame(spark, d, "purchase"), ["user_id"], ["v"])
+    return out.select("bar_id", "outcome", "reason", "input_checksum")
+
+
+@query(f"""WITH {BARS}, n AS (SELECT event_type, opens_at AS at_, close, row_number() OVER (PARTITION BY event_type ORDER BY opens_at) - 1 AS i FROM bars), s AS (SELECT at_ FROM n WHERE event_type = 'click'), b AS (SELECT * FROM n WHERE event_type = 'view'), v AS (SELECT * FROM n WHERE event_type = 'purchase'), m AS (SELECT * FROM n WHERE event_type = 'error')
+    SELECT s.at_ AS decision_time, b.close AS bank__close, v.close AS vix__close, m.close AS main__close, CASE WHEN b.i IS NULL OR v.i IS NULL THEN 'CONTEXT_5M_EXACT_CLOSE_MISSING' WHEN b.i < 50 OR v.i < 50 THEN 'CONTEXT_WARMUP_INCOMPLETE' WHEN m.i IS NULL OR m.i < 3 THEN 'NIFTY_ALIGNMENT_MISSING' END AS reason
+    FROM s LEFT JOIN b USING (at_) LEFT JOIN v USING (at_) LEFT JOIN m USING (at_)""")
+def exact_context(spark, d):
+    """Other series' bars at the very time of each click bar, with reasons where they are not there."""
+    bars = hourly(spark, d).withColumn("index", F.row_number().over(W.partitionBy("event_type").orderBy("opens_at")) - 1)
+    own = lambda kind: bars.where(F.col("event_type") == kind).select(F.col("opens_at").alias("closes_at"), "index", "close")
+    samples = own("click").select(F.col("closes_at").alias("decision_time"))
+    out = datasets.exact_context(samples, {"bank": own("view"), "vix": own("purchase")}, own("error"), [])
+    return out.select("decision_time", "bank__close", "vix__close", "main__close", "reason")
+
+
+_CAL = """p AS (SELECT event_id, ts, (user_id % 5)::INT AS fold_index, (1 + event_id % 7) / (3.0 + event_id % 7 + event_id % 5 + event_id % 11) AS p0, (1 + event_id % 5) / (3.0 + event_id % 7 + event_id % 5 + event_id % 11) AS p1, (1 + event_id % 11) / (3.0 + event_id % 7 + event_id % 5 + event_id % 11) AS p2,
+      CASE WHEN event_id * 7919 % 101 < 101.0 * (1 + event_id % 7) / (3 + event_id % 7 + event_id % 5 + event_id % 11) THEN 'DOWN' WHEN event_id * 7919 % 101 < 101.0 * (2 + event_id % 7 + event_id % 5) / (3 + event_id % 7 + event_id % 5 + event_id % 11) THEN 'NEITHER' ELSE 'UP' END AS actual FROM events),
+    o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM p), f AS (SELECT * FROM o WHERE i < floor(n * 0.6)), e0 AS (SELECT * FROM o WHERE i >= floor(n * 0.6)),
+    t AS (SELECT *, exp(ln(p0) / 1.25) AS a, exp(ln(p1) / 1.25) AS b, exp(ln(p2) / 1.25) AS c FROM e0), e AS (SELECT *, a / (a + b + c) AS q0, b / (a + b + c) AS q1, c / (a + b + c) AS q2, (SELECT avg((actual = 'DOWN')::INT) FROM f) AS s0, (SELECT avg((actual = 'NEITHER')::INT) FROM f) AS s1, (SELECT avg((actual = 'UP')::INT) FROM f) AS s2 FROM t),
+    m AS (SELECT *, (q0 - (actual = 'DOWN')::INT) ** 2 + (q1 - (actual = 'NEITHER')::INT) ** 2 + (q2 - (actual = 'UP')::INT) ** 2 AS br, (s0 - (actual = 'DOWN')::INT) ** 2 + (s1 - (actual = 'NEITHER')::INT) ** 2 + (s2 - (actual = 'UP')::INT) ** 2 AS bp, (p0 - (actual = 'DOWN')::INT) ** 2 + (p1 - (actual = 'NEITHER')::INT) ** 2 + (p2 - (actual = 'UP')::INT) ** 2 AS bw,
+      -ln(CASE actual WHEN 'DOWN' THEN q0 WHEN 'NEITHER' THEN q1 ELSE q2 END) AS ll, -ln(CASE actual WHEN 'DOWN' THEN p0 WHEN 'NEITHER' THEN p1 ELSE p2 END) AS lw, greatest(q0, q1, q2) AS top, (CASE WHEN q0 >= q1 AND q0 >= q2 THEN 'DOWN' WHEN q1 >= q2 THEN 'NEITHER' ELSE 'UP' END = actual)::INT AS hit FROM e),
+    bn AS (SELECT least(floor(top * 10), 9)::INT AS bin, count(*) AS k, abs(avg(top) - avg(hit)) AS d FROM m GROUP BY 1), bf AS (SELECT fold_index, least(floor(top * 10), 9)::INT AS bin, count(*) AS k, abs(avg(top) - avg(hit)) AS d FROM m GROUP BY 1, 2),
+    sl AS (SELECT m.fold_index, count(*) AS n, 1 - avg(br) / avg(bp) AS skill FROM m GROUP BY 1), se AS (SELECT fold_index, sum(k * d) / sum(k) AS ece FROM bf GROUP BY 1),
+    w AS (SELECT (SELECT count(*) FROM f) AS n_fit, count(*) AS n_evaluation, (SELECT sum(k * d) / sum(k) FROM bn) AS ece, avg(br) AS brier, avg(ll) AS log_loss, 1 - avg(br) / avg(bp) AS brier_skill, avg(bw) AS bw, avg(lw) AS lw, least(count(*) FILTER (actual = 'DOWN'), count(*) FILTER (actual = 'NEITHER'), count(*) FILTER (actual = 'UP')) AS le,
+      (SELECT least(count(*) FILTER (actual = 'DOWN'), count(*) FILTER (actual = 'NEITHER'), count(*) FILTER (actual = 'UP')) FROM f) AS lf, (SELECT count(*) FROM bn WHERE k >= 30) AS nb, (SELECT count(*) FROM sl JOIN se USING (fold_index) WHERE n < 50 OR ece > 0.1 OR skill < -0.1) AS bad FROM m)"""
+
+
+@query(f"""WITH {_CAL} SELECT n_fit, n_evaluation, round(ece, 6) AS ece, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(brier_skill, 6) + 0 AS brier_skill, nb AS n_bins, bad AS n_failed, concat_ws('|', CASE WHEN n_fit + n_evaluation < 500 THEN 'INSUFFICIENT_TOTAL_OOS_PREDICTIONS' END,
+    CASE WHEN lf < 50 THEN 'INSUFFICIENT_CALIBRATION_FIT_CLASS_SUPPORT' END, CASE WHEN le < 30 THEN 'INSUFFICIENT_UNTOUCHED_EVALUATION_CLASS_SUPPORT' END, CASE WHEN ece > 0.05 THEN 'ECE_RELEASE_GATE_FAILED' END, CASE WHEN brier_skill <= 0 THEN 'BRIER_SKILL_RELEASE_GATE_FAILED' END,
+    CASE WHEN brier > bw OR log_loss > lw THEN 'CALIBRATION_DEGRADATION_GATE_FAILED' END, CASE WHEN nb < 2 THEN 'INSUFFICIENT_DISPLAY_PROBABILITY_BIN_SUPPORT' END, CASE WHEN bad > 0 THEN 'CHRONOLOGICAL_SLICE_STABILITY_GATE_FAILED' END) AS blockers FROM w""")
+def calibration_release(spark, d):
+    """A temperature of 1.25 judged on the later rows (the fitted one has no SQL)."""
+    k = F.col("event_id")
+    total = 3.0 + k % 7 + k % 5 + k % 11
+    draw = k * 7919 % 101
+    rows = table(spark, d, "events").select(
+        "event_id", "ts", (F.col("user_id") % 5).cast("int").alias("fold_index"), ((1 + k % 7) / total).alias("p_down"), ((1 + k % 5) / total).alias("p_neither"), ((1 + k % 11) / total).alias("p_up"),
+        F.when(draw < 101.0 * (1 + k % 7) / total, F.lit("DOWN")).when(draw < 101.0 * (2 + k % 7 + k % 5) / total, F.lit("NEITHER")).otherwise(F.lit("UP")).alias("actual"),
+    )
+    out = calibration.released(rows, ["ts", "event_id"], ["p_down", "p_neither", "p_up"], temperature=1.25)
+    out = rounded(out, ["ece", "brier", "log_loss", "brier_skill"]).withColumn("n_bins", F.size("supported_bins").cast("long")).withColumn("n_failed", F.size("failed_slices").cast("long"))
+    return out.select("n_fit", "n_evaluation", "ece", "brier", "log_loss", "brier_skill", "n_bins", "n_failed", F.concat_ws("|", "blockers").alias("blockers"))
