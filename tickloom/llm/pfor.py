@@ -19,6 +19,8 @@ BLOCK = 256
 #: Share of a block's values that its packed width must hold; the others are exceptions.
 COVERED = 0.95
 SEGMENT = 1 << 20
+#: Documents that are encoded together: the more, the fewer words are looked up twice; Spark bounds their bytes.
+ROWS = 2000
 _HEAD = struct.Struct("<QI")
 
 
@@ -30,11 +32,16 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(data: np.ndarray, width: int) -> np.ndarray:
-    size = 2 if width <= 16 else 4
-    bits = np.unpackbits(data, axis=1, bitorder="little", count=BLOCK * width).reshape(len(data), BLOCK, width)
-    raw = np.zeros((len(data), BLOCK, size), "u1")
-    raw[:, :, : -(-width // 8)] = np.packbits(bits, axis=2, bitorder="little")
-    return raw.reshape(len(data), -1).view(f"<u{size}").astype("u4")
+    """Each value from the bytes that hold its bits: at most five, four up to 25 bits."""
+    first = np.arange(BLOCK) * width
+    at, shift, many = first >> 3, (first & 7).astype("u8"), 4 if width <= 25 else 5
+    wide = np.zeros((len(data), data.shape[1] + many), "u1")
+    wide[:, : data.shape[1]] = data
+    size = "u4" if many == 4 else "u8"
+    out = wide[:, at].astype(size)
+    for k in range(1, many):
+        out |= wide[:, at + k].astype(size) << np.array(8 * k, size)
+    return ((out >> shift.astype(size)) & np.array((1 << width) - 1, size)).astype("u4")
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -114,7 +121,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             x = [[part], [seq], [own], [encode(np.array([len(i) for i in ids], "<u4"))], [encode(np.concatenate(ids))], [held]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()))], ["part", "seq", "docs", "lengths", "ids", "n_tokens"])
 
-        for b in sliced(batches):
+        for b in sliced(batches, ROWS):
             for doc, i in zip(b.column(0).to_pylist(), documents_ids(tokenizer, b.column(1).to_pylist(), end_id)):
                 own.append(doc)
                 ids.append(i)
@@ -127,7 +134,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
     order = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")]
     ordered = docs.select(*order, "text").repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS):
         ordered.mapInArrow(segments, SEGMENTS).write.parquet(path)
 
 

@@ -73,15 +73,16 @@ class Encoder:
     def _encode_any(self, chunks: list[str]) -> dict[str, bytes]:
         return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))}
 
-    def _learn(self, chunks: list[str], plain: bool) -> None:
+    def _learn(self, chunks: set[str], plain: bool) -> None:
         """``plain``: all chunks are lower case and of Latin-1 letters."""
         words, parts, other = set(), {}, []
-        for c in chunks:
-            if (ids := self.old.get(c)) is not None:
-                self.new[c] = ids
-            elif not plain:
-                other.append(c)
-            elif c.isalpha():
+        fresh = chunks.difference(self.old)
+        known = list(chunks.difference(fresh))
+        self.new.update(zip(known, map(self.old.__getitem__, known)))
+        if not plain:
+            other, fresh = list(fresh), ()
+        for c in fresh:
+            if c.isalpha():
                 words.add(c)
             elif (w := c.rstrip(MARKS)).isalpha():  # letters, then marks without a letter between: two tokens before merges
                 parts[c] = w, c[len(w) :]
@@ -114,8 +115,9 @@ class Encoder:
             self.old, self.new = self.new, {}
         for plain, rows in enumerate(split):
             kinds = set().union(*(s for _, s in rows))
-            self._learn([c for c in kinds if c not in self.new], bool(plain))
-            own = {c: self.new[c] for c in kinds}  # small, so the many look-ups stay in the processor's cache
+            self._learn(kinds.difference(self.new), bool(plain))
+            names = list(kinds)
+            own = dict(zip(names, map(self.new.__getitem__, names)))  # small, so the many look-ups stay in the processor's cache
             for k, s in rows:
                 out[k] = b"".join(map(own.__getitem__, s))
         return out
