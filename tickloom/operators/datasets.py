@@ -30,7 +30,7 @@ def exact_context(samples: DataFrame, series: dict[str, DataFrame], main: DataFr
 
     ``series`` and ``main``: keys, closes_at, index (from 0) and values. A sample without a bar of each series is
     CONTEXT_5M_EXACT_CLOSE_MISSING, with fewer than ``warm_up`` bars before it CONTEXT_WARMUP_INCOMPLETE, without a main bar with three before it
-    NIFTY_ALIGNMENT_MISSING; nothing is filled in from other times.
+    MAIN_ALIGNMENT_MISSING; nothing is filled in from other times.
     """
     out, absent, early = samples, F.lit(False), F.lit(False)
     for name, rows in {**series, "main": main}.items():
@@ -39,7 +39,7 @@ def exact_context(samples: DataFrame, series: dict[str, DataFrame], main: DataFr
         if name != "main":
             absent, early = absent | F.col(f"{name}__index").isNull(), early | (F.col(f"{name}__index") < warm_up)
     unaligned = F.col("main__index").isNull() | (F.col("main__index") < 3)
-    return out.withColumn("reason", first_reason((absent, "CONTEXT_5M_EXACT_CLOSE_MISSING"), (early, "CONTEXT_WARMUP_INCOMPLETE"), (unaligned, "NIFTY_ALIGNMENT_MISSING")))
+    return out.withColumn("reason", first_reason((absent, "CONTEXT_5M_EXACT_CLOSE_MISSING"), (early, "CONTEXT_WARMUP_INCOMPLETE"), (unaligned, "MAIN_ALIGNMENT_MISSING")))
 
 
 def assemble(primary: DataFrame, labels: DataFrame, context_15m: DataFrame, context_1h: DataFrame, keys: list[str], values: list[str], at: str = "decision_time") -> DataFrame:

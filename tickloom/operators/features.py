@@ -295,8 +295,8 @@ def cross(rows: DataFrame, bank: str, vix: str, main: str) -> DataFrame:
     """Adds six features of two context series beside the main one (columns of ``context``, prefixed ``bank``__, ``vix``__ and ``main``__)."""
     b, v, m = ((lambda n, x=x: F.col(f"{x}__context_{n}")) for x in (bank, vix, main))
     return rows.select(
-        "*", (b("return_1") - m("return_1")).alias("cross__bank_minus_nifty_return_1"), (b("return_3") - m("return_3")).alias("cross__bank_minus_nifty_return_3"),
-        (_sign(b("ema_8_21_atr"), 1e-12) * m("trend")).alias("cross__bank_nifty_trend_agreement"), (v("return_1") * m("return_1")).alias("cross__vix_return_times_nifty_return"),
+        "*", (b("return_1") - m("return_1")).alias("cross__bank_minus_main_return_1"), (b("return_3") - m("return_3")).alias("cross__bank_minus_main_return_3"),
+        (_sign(b("ema_8_21_atr"), 1e-12) * m("trend")).alias("cross__bank_main_trend_agreement"), (v("return_1") * m("return_1")).alias("cross__vix_return_times_main_return"),
         F.abs(v("return_z48")).alias("cross__vix_shock_abs"), (-v("return_z48") - m("trend")).alias("cross__risk_off_score"),
     )
 

@@ -69,9 +69,9 @@ _CROSS = {
 }
 
 
-@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber, {_sql(_CROSS)} FROM lineitem) SELECT l_orderkey, l_linenumber, round(bank__context_return_1 - main__context_return_1, 6) + 0 AS cross__bank_minus_nifty_return_1,
-    round(bank__context_return_3 - main__context_return_3, 6) + 0 AS cross__bank_minus_nifty_return_3, round(CASE WHEN abs(bank__context_ema_8_21_atr) > 1e-12 THEN sign(bank__context_ema_8_21_atr) ELSE 0 END * main__context_trend, 6) + 0 AS cross__bank_nifty_trend_agreement,
-    round(vix__context_return_1 * main__context_return_1, 6) + 0 AS cross__vix_return_times_nifty_return, round(abs(vix__context_return_z48), 6) + 0 AS cross__vix_shock_abs, round(-vix__context_return_z48 - main__context_trend, 6) + 0 AS cross__risk_off_score FROM i""")
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber, {_sql(_CROSS)} FROM lineitem) SELECT l_orderkey, l_linenumber, round(bank__context_return_1 - main__context_return_1, 6) + 0 AS cross__bank_minus_main_return_1,
+    round(bank__context_return_3 - main__context_return_3, 6) + 0 AS cross__bank_minus_main_return_3, round(CASE WHEN abs(bank__context_ema_8_21_atr) > 1e-12 THEN sign(bank__context_ema_8_21_atr) ELSE 0 END * main__context_trend, 6) + 0 AS cross__bank_main_trend_agreement,
+    round(vix__context_return_1 * main__context_return_1, 6) + 0 AS cross__vix_return_times_main_return, round(abs(vix__context_return_z48), 6) + 0 AS cross__vix_shock_abs, round(-vix__context_return_z48 - main__context_trend, 6) + 0 AS cross__risk_off_score FROM i""")
 def cross_features(spark, d):
     out = features.cross(_given(table(spark, d, "lineitem"), _CROSS, LINE), "bank", "vix", "main")
     names = [c for c in out.columns if c.startswith("cross__")]
@@ -216,7 +216,7 @@ def training_samples(spark, d):
 
 
 @query(f"""WITH {BARS}, n AS (SELECT event_type, opens_at AS at_, close, row_number() OVER (PARTITION BY event_type ORDER BY opens_at) - 1 AS i FROM bars), s AS (SELECT at_ FROM n WHERE event_type = 'click'), b AS (SELECT * FROM n WHERE event_type = 'view'), v AS (SELECT * FROM n WHERE event_type = 'purchase'), m AS (SELECT * FROM n WHERE event_type = 'error')
-    SELECT s.at_ AS decision_time, b.close AS bank__close, v.close AS vix__close, m.close AS main__close, CASE WHEN b.i IS NULL OR v.i IS NULL THEN 'CONTEXT_5M_EXACT_CLOSE_MISSING' WHEN b.i < 50 OR v.i < 50 THEN 'CONTEXT_WARMUP_INCOMPLETE' WHEN m.i IS NULL OR m.i < 3 THEN 'NIFTY_ALIGNMENT_MISSING' END AS reason
+    SELECT s.at_ AS decision_time, b.close AS bank__close, v.close AS vix__close, m.close AS main__close, CASE WHEN b.i IS NULL OR v.i IS NULL THEN 'CONTEXT_5M_EXACT_CLOSE_MISSING' WHEN b.i < 50 OR v.i < 50 THEN 'CONTEXT_WARMUP_INCOMPLETE' WHEN m.i IS NULL OR m.i < 3 THEN 'MAIN_ALIGNMENT_MISSING' END AS reason
     FROM s LEFT JOIN b USING (at_) LEFT JOIN v USING (at_) LEFT JOIN m USING (at_)""")
 def exact_context(spark, d):
     """Other series' bars at the very time of each click bar, with reasons where they are not there."""
