@@ -17,7 +17,7 @@ def _structured(spark, d):
     return features.pivots(features.daily_state(features.structure(rows, BY), BY), BY)
 
 
-#: Hourly bars with simple means of ranges and closes for the recursive ones, three trends, and input blockers on some hours.
+#: Hourly bars with simple means of ranges and closes for the recursive ones (ranges times a number that leaves no ties to round), three trends, and input blockers on some hours.
 _TREND = "CASE WHEN n < 20 OR {f} IS NULL THEN 'UNAVAILABLE' WHEN {s} IS NULL THEN CASE WHEN close > {f} THEN 'BULLISH' WHEN close < {f} THEN 'BEARISH' ELSE 'MIXED' END WHEN close > {f} AND {f} > {s} THEN 'BULLISH' WHEN close < {f} AND {f} < {s} THEN 'BEARISH' ELSE 'MIXED' END"
 _MEANS = ((20, 50), (10, 30), (30, 80))
 
@@ -26,7 +26,7 @@ def _analysed(spark, d):
     w = W.partitionBy(*BY).orderBy(AT)
     n = F.row_number().over(w)
     mean = lambda k: features.framed(F.avg("close"), k, w)
-    rows = hourly(spark, d).withColumn("atr_14", F.round(features.framed(F.avg(F.col("high") - F.col("low")), 14, w), 6))
+    rows = hourly(spark, d).withColumn("atr_14", F.round(features.framed(F.avg(F.col("high") - F.col("low")), 14, w), 6) * 1.0000001237)
     for name, (fast, slow) in zip(("trend_5m", "trend_15m", "trend_1h"), _MEANS):
         rows = rows.withColumn(name, price_action.trend(F.col("close"), mean(fast), mean(slow), n))
     rows = features.daily_state(rows, BY).withColumn("live", F.when(F.hour(AT) == 3, F.lit("STALE")).otherwise(F.lit("LIVE"))).withColumn("bars", F.row_number().over(w)).withColumn("developing", F.lit(False))
@@ -51,7 +51,7 @@ def _analysis_sql() -> str:
     near = "coalesce(abs({x} - {p}[-1]) <= 0.35 * atr, false)"
     return f"""WITH {BARS}, x0 AS (SELECT *, row_number() OVER w AS n, lag(open) OVER w AS po, lag(high) OVER w AS pvh, lag(low) OVER w AS pvl, lag(close) OVER w AS pc, CASE WHEN {around('high', '>')} THEN lag(high, 2) OVER w END AS ph, CASE WHEN {around('low', '<')} THEN lag(low, 2) OVER w END AS pl
         FROM bars WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
-      x1 AS (SELECT *, round(CASE WHEN n >= 14 THEN avg(high - low) OVER (w ROWS 13 PRECEDING) END, 6) AS atr, {means}, list(ph) FILTER (ph IS NOT NULL) OVER (w ROWS 115 PRECEDING) AS hs0, list(pl) FILTER (pl IS NOT NULL) OVER (w ROWS 115 PRECEDING) AS ls0 FROM x0 WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
+      x1 AS (SELECT *, round(CASE WHEN n >= 14 THEN avg(high - low) OVER (w ROWS 13 PRECEDING) END, 6) * 1.0000001237::DOUBLE AS atr, {means}, list(ph) FILTER (ph IS NOT NULL) OVER (w ROWS 115 PRECEDING) AS hs0, list(pl) FILTER (pl IS NOT NULL) OVER (w ROWS 115 PRECEDING) AS ls0 FROM x0 WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
       dd AS (SELECT event_type, session_date, max(high) AS h, min(low) AS l, arg_max(close, opens_at) AS c FROM bars GROUP BY 1, 2), de AS (SELECT event_type, session_date, lag(h) OVER w AS previous_high, lag(l) OVER w AS previous_low, lag(c) OVER w AS previous_close FROM dd WINDOW w AS (PARTITION BY event_type ORDER BY session_date)),
       x2 AS (SELECT x1.*, coalesce(hs0[-8:], []) AS hs, coalesce(ls0[-8:], []) AS ls, row_number() OVER v - 1 AS position, previous_high, previous_low, previous_close, {trends} FROM x1 JOIN de USING (event_type, session_date) WINDOW v AS (PARTITION BY event_type, session_date ORDER BY opens_at)),
       x3 AS (SELECT *, max(CASE WHEN position < 6 THEN high END) OVER v AS oh, min(CASE WHEN position < 6 THEN low END) OVER v AS ol, greatest(high - low, 0.01) AS span, abs(close - open) AS body, high - greatest(open, close) AS up, least(open, close) - low AS dn,
