@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, lines, ominhash, packing, pfor, rff, secrets, shards, tiling, vptree
+from . import katz, lines, ominhash, packing, pfor, rff, secrets, shards, tiling, vptree, whitening
 from .common import shared_dir, table
 
 
@@ -71,6 +71,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
 
 
+def op11_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector, by an exact covariance of the distinct ones."""
+    return whitening.whiten_table(table(spark, sf_dir, "embeddings"), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
