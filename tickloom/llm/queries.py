@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, lines, ominhash, packing, pfor, rff, secrets, shards, tiling, vptree, whitening
+from . import infill, katz, langid, lines, ominhash, packing, pfor, rff, secrets, shards, tiling, vptree, whitening
 from .common import shared_dir, table
 
 
@@ -76,6 +76,18 @@ def op11_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_table(table(spark, sf_dir, "embeddings"), k=4)
 
 
+def op12_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by what it adds to each language's compressed text."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_rope_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-the-middle form, and of the text that is rebuilt from it."""
+    out = infill.restore(infill.infill(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
