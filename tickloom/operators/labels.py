@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import non_overlapping  # noqa: F401
+
 
 def first_touch(bars: DataFrame, by: list[str], order: str, atr: str, size: float = 1.0, horizon: int = 12, complete: Column | None = None) -> DataFrame:
     """Adds outcome UP, DOWN, NEITHER, AMBIGUOUS (both barriers in one bar) or null, its reason, and bars_to_touch.
@@ -55,35 +57,6 @@ def trade_path(bars: DataFrame, by: list[str], order: str, atr: str, side: int,
     return rows.withColumn("r_multiple", F.col("net_points") / (stop * F.col(atr))).withColumn("direction", F.lit("LONG" if side > 0 else "SHORT")).drop("_next", "_t", "_s")
 
 
-def non_overlapping(rows: DataFrame, by: list[str], start: str, end: str, daily: str | None = None, cap: int | None = None) -> DataFrame:
-    """Adds taken: in order of ``start``, a row is taken if it does not start before the last taken row's ``end`` (and its ``daily`` group has fewer than ``cap``).
-
-    Greedy choice is sequential; but where no earlier row reaches past a row's
-    start, nothing before it matters. Series are cut there, so a task holds one
-    run of touching intervals, not a whole series.
-    """
-    order = W.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = rows.withColumn("_cut", F.when(reach.isNull() | (F.col(start) >= reach), F.lit(1)).otherwise(F.lit(0)))
-    if cap is not None:  # a cap counts over runs, so a run is a day at least
-        runs = runs.withColumn("_cut", F.when((F.col("_cut") == 1) & (F.lag(daily).over(order).isNull() | (F.lag(daily).over(order) != F.col(daily))), F.lit(1)).otherwise(F.lit(0)))
-    runs = runs.withColumn("_run", F.sum("_cut").over(order)).drop("_cut")
-    schema = runs.drop("_run").withColumn("taken", F.lit(True)).schema
-
-    def choose(pdf):
-        pdf = pdf.sort_values([start, end], kind="stable").drop(columns="_run")
-        until, counts, taken = None, {}, []
-        for k, (a, b) in enumerate(zip(pdf[start], pdf[end])):
-            day = pdf[daily].iloc[k] if daily else None
-            ok = (until is None or a >= until) and (cap is None or counts.get(day, 0) < cap)
-            if ok:
-                until, counts[day] = b, counts.get(day, 0) + 1
-            taken.append(ok)
-        return pdf.assign(taken=taken)[[f.name for f in schema]]
-
-    return runs.groupBy(*by, "_run").applyInPandas(choose, schema)
-
-
 def events(rows: DataFrame, by: list[str], session: str, order: str, setups: dict[str, tuple[Column, int]]) -> DataFrame:
     """Adds setups (those that begin at this row: true now, not at the previous row of the session) and direction; opposite directions wait, order gives priority."""
     w = W.partitionBy(*by, session).orderBy(order)

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/streams/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read back: cuts lineage, gives all readers the same rows, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
