@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -31,7 +32,7 @@ def intervals(seed, n, longest):
     return out
 
 
-@pytest.mark.parametrize("block", [2, 16, 4096])
+@pytest.mark.parametrize("block", [2, 4096])
 def test_non_overlapping_equals_a_loop(spark, block):
     """Short and long intervals, chains over many blocks, a series of one row, rows without times."""
     series = {"a": intervals(1, 300, 4), "b": intervals(2, 300, 60), "c": intervals(3, 40, 500), "d": [(0, 0, 5, 9)]}
@@ -45,11 +46,10 @@ def test_non_overlapping_equals_a_loop(spark, block):
         assert ends([i for i, *_ in own if got[s, i]]) == ends(greedy(own)), s
 
 
-@pytest.mark.parametrize("block", [4, 4096])
-def test_non_overlapping_with_a_cap(spark, block):
+def test_non_overlapping_with_a_cap(spark, block=4):
     series = {s: intervals(k, 250, longest) for k, (s, longest) in enumerate((("a", 3), ("b", 30), ("c", 70)), 4)}
     df = spark.createDataFrame([(s, *r) for s, own in series.items() for r in own], "s string, id long, day long, a long, b long")
-    for cap in (1, 2, 3):
+    for cap in (1, 3):
         out = chains.non_overlapping(df, ["s"], "a", "b", "day", cap, block)
         got = {}
         for r in out.where("taken").collect():
@@ -175,12 +175,12 @@ def test_policy_grid_equals_a_loop(spark):
     trades, metrics = replay.replay_grid(df, ["series"], "at", "id", SMALL, block=8)
     got = {}
     for r in trades.collect():
-        got.setdefault(tuple(r[n] for n in replay.NAMES), []).append((r["id"], r["direction"], r["exit_reason"], r["net_points"], r["r_multiple"]))
-    rows_of = {tuple(r[n] for n in replay.NAMES): r for r in metrics.collect()}
-    assert len(rows_of) == 32 and sorted(r["policy"] for r in rows_of.values()) == list(range(32))
+        got.setdefault(r["policy"], []).append((r["id"], r["direction"], r["exit_reason"], r["net_points"], r["r_multiple"]))
+    rows_of = {tuple(r[n] for n in SMALL): r for r in metrics.collect()}
+    assert len(rows_of) == 32 and [rows_of[key]["policy"] for key in itertools.product(*SMALL.values())] == list(range(32))
     for key, r in rows_of.items():
         want, waits = loop(rows, *key)
-        assert sorted(got.get(key, [])) == want and {k: r[k] for k in waits} == waits, key
+        assert sorted(got.get(r["policy"], [])) == want and {k: r[k] for k in waits} == waits, key
         top = fall = total = 0.0
         for *_, x in want:
             total += x
@@ -188,8 +188,8 @@ def test_policy_grid_equals_a_loop(spark):
             fall = max(fall, top - total)
         assert r["max_drawdown"] == pytest.approx(fall, abs=1e-9) and r["n_trades"] == len(want)
     best = replay.leader(metrics).first()
-    worst = lambda x: x or -999.0
-    rank = lambda r: (worst(r["mean_r_lower"]), r["profit_factor"] or 0.0, r["n_trades"], worst(r["mean_r"]), -r["policy"])
+    worst = lambda x: round(x or 0, 9) or -999.0
+    rank = lambda r: (worst(r["mean_r_lower"]), round(r["profit_factor"] or 0.0, 9), r["n_trades"], worst(r["mean_r"]), -r["policy"])
     assert rank(best) == max(map(rank, rows_of.values()))
 
 

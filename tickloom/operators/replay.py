@@ -39,7 +39,6 @@ GRID = {
 }
 #: Least trades, and least trades of a direction, of the selection and of the evaluation.
 LEAST = {"SELECTION": (30, 5), "EVALUATION": (20, 3)}
-NAMES = list(GRID)
 
 
 def policies(spark: SparkSession, grid: dict = GRID) -> DataFrame:
@@ -50,28 +49,29 @@ def policies(spark: SparkSession, grid: dict = GRID) -> DataFrame:
     place = F.lit(0)
     for name, values in grid.items():
         place = place * len(values) + F.col(f"_{name}")
-    return out.select(place.alias("policy"), *grid)
+    return out.select(place.cast("long").alias("policy"), *grid)
 
 
 def offers(rows: DataFrame, grid: dict = GRID) -> DataFrame:
-    """``rows`` once for each policy of the grid that gives them a direction (column ``direction``: BUY or SELL).
+    """``rows`` once for each policy of the grid that gives them a direction: adds ``policy``, its place in the grid, and direction (BUY or SELL).
 
-    Needs ``scores``, a map of source to a struct (down, neither, up), and ``prior``, a struct (down, up). Each threshold
-    leaves an array of those values that the row meets, so no row meets a policy in vain and there is no join.
+    Needs ``scores``, a map of source to a struct (down, neither, up), and ``prior``, a struct (down, up), which are left out. Each
+    threshold leaves an array of those values that the row meets, so no row meets a policy in vain and there is no join.
     """
-    met = lambda name, ok: F.explode(F.filter(F.array(*map(F.lit, grid[name])), ok)).alias(name)
     keep = [c for c in rows.columns if c not in ("scores", "prior")]
-    out = rows.select(*keep, "prior", F.explode("scores").alias("source", "_s")).where(F.col("source").isin(*grid["source"]))
-    up, down, neither = F.col("_s.up"), F.col("_s.down"), F.col("_s.neither")
+    one = F.array(*[F.struct(F.lit(i).alias("i"), F.try_element_at("scores", F.lit(name)).alias("s")) for i, name in enumerate(grid["source"])])
+    out = rows.select(*keep, "prior", F.inline(F.filter(one, lambda x: x["s"].isNotNull()))).withColumnRenamed("i", "policy")
+    up, down, neither = F.col("s.up"), F.col("s.down"), F.col("s.neither")
     buy = up >= down
     own, other = F.when(buy, up).otherwise(down), F.when(buy, down).otherwise(up)
     before = F.when(buy, F.col("prior.up")).otherwise(F.col("prior.down"))
-    out = out.select(*keep, "source", F.when(buy, F.lit("BUY")).otherwise(F.lit("SELL")).alias("direction"), own.alias("_own"), (own - F.greatest(other, neither)).alias("_margin"), neither.alias("_neither"), (own - before).alias("_lift"))
-    out = out.select("*", met("activation", lambda a: F.col("_own") >= a))
-    out = out.select("*", met("margin", lambda a: F.col("_margin") >= a))
-    out = out.select("*", met("neither", lambda a: F.col("_neither") <= a))
-    out = out.select("*", met("lift", lambda a: F.col("_lift") >= a))
-    return out.drop("_own", "_margin", "_neither", "_lift")
+    asked = {"activation": own, "margin": own - F.greatest(other, neither), "neither": -neither, "lift": own - before}
+    out = out.select(*keep, "policy", F.when(buy, F.lit("BUY")).otherwise(F.lit("SELL")).alias("direction"), *[x.alias(f"_{n}") for n, x in asked.items()])
+    for name in asked:
+        least = [-v if name == "neither" else v for v in grid[name]]
+        met = F.array(*[F.when(F.col(f"_{name}") >= v, F.lit(i)) for i, v in enumerate(least)])
+        out = out.withColumn("_i", F.explode(F.array_compact(met))).withColumn("policy", F.col("policy") * len(least) + F.col("_i"))
+    return out.withColumn("policy", F.col("policy").cast("long")).select(*keep, "policy", "direction")
 
 
 def replay_grid(rows: DataFrame, by: list[str], at: str, tie: str, grid: dict = GRID, block: int = chains.BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -82,36 +82,34 @@ def replay_grid(rows: DataFrame, by: list[str], at: str, tie: str, grid: dict =
     ``tie``) a policy takes a row if the trade before it in the series has left; all policies' chains are followed in one plan.
     Waits: rows under an open trade, without a direction, without an input, without a whole path.
     """
-    spark, key = rows.sparkSession, [*NAMES, *by]
+    spark, key = rows.sparkSession, ["policy", *by]
     rows = chains.staged(rows.withColumn("_at", chains.number(rows, at)), "samples")
-    n = rows.count()
-    width = chains.bin_width(rows, "_at")
-    path = F.try_element_at("paths", F.col("direction"))
-    offered = offers(rows, grid).withColumn("_path", path).withColumn("_input", F.col("paths").isNotNull()).drop("paths")
-    offered = chains.staged(offered.withColumn("exit_at", F.col("_path.exit_at")), "offers")
-    played = offered.where(F.col("_path").isNotNull())
-    trades = chains.non_overlapping(played, key, at, "exit_at", block=block).where("taken")
-    trades = chains.staged(trades.withColumn("_exit", chains.number(trades, "exit_at")), "trades")
+    n, width = rows.count(), chains.bin_width(rows, "_at")
+    ends = [F.unix_micros(F.try_element_at("paths", F.lit(side))["exit_at"].cast("timestamp")).alias(side) for side in ("BUY", "SELL")]
+    narrow = rows.select(*by, tie, "_at", "scores", "prior", F.col("paths").isNotNull().alias("_input"), *ends)
+    offered = offers(narrow, grid).withColumn("_exit", F.when(F.col("direction") == "BUY", F.col("BUY")).otherwise(F.col("SELL"))).drop("BUY", "SELL")
+    offered = chains.staged(offered, "offers")
+    played = offered.where(F.col("_exit").isNotNull()).select(*key, tie, "_at", "_exit", "direction")
+    taken = chains.staged(chains.non_overlapping(played, key, "_at", "_exit", block=block).where("taken").drop("taken"), "trades")
     # samples under an open trade: those that start before it leaves, less those up to it
-    moments = rows.select(*by, tie, "_at")
-    place = chains.placed(moments, by, ["_at", tie], "_place", width).select(*by, tie, "_place")
-    asked = moments.select(*by, tie, "_at", F.lit(1).alias("_real")).withColumn("_m", F.col("_at"))
-    ends = trades.select(*by, F.col("_exit").alias("_m")).distinct()
-    asked = asked.unionByName(ends.withColumn("_real", F.lit(0)), allowMissingColumns=True).withColumn("_here", F.col("_real") == 1)
-    asked = asked.withColumn("_at", F.coalesce("_at", "_m"))
-    before = chains.counted_before(asked, by, "_at", "_m", "_before", width, also="_here").where("_real = 0").select(*by, F.col("_m").alias("_exit"), "_before")
-    covered = trades.join(before, [*by, "_exit"]).join(place, [*by, tie])
-    covered = covered.groupBy(*NAMES).agg(F.sum(F.col("_before") - F.col("_place") - 1).alias("n_active"))
+    place = chains.placed(rows.select(*by, tie, "_at"), by, ["_at", tie], "_place", width).select(*by, tie, "_place")
+    asked = rows.select(*by, F.col("_at").alias("_m"), F.lit(True).alias("_here"))
+    asked = asked.unionByName(taken.select(*by, F.col("_exit").alias("_m"), F.lit(False).alias("_here")).distinct()).withColumn("_at", F.col("_m"))
+    before = chains.counted_before(asked, by, "_at", "_m", "_before", width, also="_here").where("not _here").select(*by, F.col("_m").alias("_exit"), "_before")
+    covered = taken.join(before, [*by, "_exit"]).join(place, [*by, tie])
+    covered = covered.groupBy("policy").agg(F.sum(F.col("_before") - F.col("_place") - 1).alias("n_active"))
     # offers without a whole path wait for that, unless a trade is open
-    marks = offered.where(F.col("_path").isNull()).select(*key, tie, "_at", "_input", F.lit(None).cast("long").alias("_exit"))
-    marks = trades.select(*key, tie, "_at", "_input", "_exit").unionByName(marks)
+    marks = offered.where(F.col("_exit").isNull()).select(*key, tie, "_at", "_exit", "_input")
+    marks = marks.unionByName(taken.select(*key, tie, "_at", "_exit", F.lit(True).alias("_input")))
     marks = chains.last_before(marks, key, ["_at", tie], F.col("_exit"), "_open", width)
     lost = marks.where(F.col("_exit").isNull() & ~F.coalesce(F.col("_at") < F.col("_open"), F.lit(False)))
-    lost = lost.groupBy(*NAMES).agg(F.count_if(~F.col("_input")).alias("n_no_input"), F.count_if("_input").alias("n_no_path"))
-    trades = trades.select(*key, tie, at, "direction", "exit_at", *[F.col(f"_path.{c}").alias(c) for c in ("exit_reason", "net_points", "r_multiple")])
+    lost = lost.groupBy("policy").agg(F.count_if(~F.col("_input")).alias("n_no_input"), F.count_if("_input").alias("n_no_path"))
+    path = F.element_at("paths", F.col("direction"))
+    trades = taken.join(rows.select(*by, tie, at, "paths"), [*by, tie])
+    trades = trades.select(*key, tie, at, "direction", *[path[c].alias(c) for c in ("exit_at", "exit_reason", "net_points", "r_multiple")])
     out = policies(spark, grid)
     for t in (policy_metrics(trades, at, [*by, tie]), covered, lost):
-        out = out.join(t, NAMES, "left")
+        out = out.join(t, "policy", "left")
     counts = ("n_trades", "n_buy", "n_sell", "n_target", "n_stop", "n_horizon", "n_active", "n_no_input", "n_no_path")
     out = out.fillna(0, list(counts)).fillna(0.0, ["net_points", "max_drawdown"]).withColumn("n_decisions", F.lit(n))
     wait = F.col("n_decisions") - F.col("n_trades") - F.col("n_active") - F.col("n_no_input") - F.col("n_no_path")
@@ -125,19 +123,19 @@ def policy_metrics(trades: DataFrame, at: str, ties: list[str]) -> DataFrame:
     a day's own course, set upon what the days before add up to and the peak that they reached.
     """
     day = F.to_date(at).alias("_day")
-    w = W.partitionBy(*NAMES, "_day").orderBy(at, *ties)
+    w = W.partitionBy("policy", "_day").orderBy(at, *ties)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     rows = trades.select("*", day).withColumn("_cum", F.sum("r_multiple").over(run)).withColumn("_high", F.max("_cum").over(run))
-    days = rows.groupBy(*NAMES, "_day").agg(F.sum("r_multiple").alias("_sum"), F.max("_cum").alias("_top"))
-    past = W.partitionBy(*NAMES).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)  # a row a day
+    days = rows.groupBy("policy", "_day").agg(F.sum("r_multiple").alias("_sum"), F.max("_cum").alias("_top"))
+    past = W.partitionBy("policy").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)  # a row a day
     days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(past), F.lit(0.0)))
     days = days.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_base") + F.col("_top")).over(past), F.lit(0.0)), F.lit(0.0)))
-    rows = rows.join(days.select(*NAMES, "_day", "_base", "_peak"), [*NAMES, "_day"])
+    rows = rows.join(days.select("policy", "_day", "_base", "_peak"), ["policy", "_day"])
     fall = F.greatest(F.col("_peak"), F.col("_base") + F.col("_high")) - F.col("_base") - F.col("_cum")
     won, lost = F.sum(F.when(F.col("net_points") > 0, F.col("net_points"))), -F.sum(F.when(F.col("net_points") < 0, F.col("net_points")))
     n, mean = F.count(F.lit(1)), F.avg("r_multiple")
     reason = lambda r: F.count_if(F.col("exit_reason") == r)
-    return rows.groupBy(*NAMES).agg(
+    return rows.groupBy("policy").agg(
         n.alias("n_trades"), F.count_if(F.col("direction") == "BUY").alias("n_buy"), F.count_if(F.col("direction") == "SELL").alias("n_sell"),
         reason("TARGET").alias("n_target"), reason("STOP").alias("n_stop"), reason("HORIZON").alias("n_horizon"),
         F.avg((F.col("net_points") > 0).cast("double")).alias("win_rate"), F.sum("net_points").alias("net_points"), mean.alias("mean_r"),
@@ -162,11 +160,12 @@ def policy_blockers(stage: str) -> Column:
 def leader(metrics: DataFrame) -> DataFrame:
     """The one policy of a grid's metrics that leads: among those without selection blockers, or among all where none is.
 
-    Order: lower bound of the mean, profit factor, trades, mean, then the grid's own; unknown and zero bounds and means count as -999.
+    Order: lower bound of the mean, profit factor, trades, mean, then the grid's own; unknown and zero bounds and means count as -999. Numbers are
+    compared to nine digits, so that policies with the same trades are equal.
     """
     rated = metrics.withColumn("blockers", policy_blockers("SELECTION"))
-    worst = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(-999.0))
-    order = [F.size("blockers") == 0, worst("mean_r_lower"), F.coalesce("profit_factor", F.lit(0.0)), F.col("n_trades"), worst("mean_r"), -F.col("policy")]
+    worst = lambda c: F.coalesce(F.nullif(F.round(c, 9), F.lit(0.0)), F.lit(-999.0))
+    order = [F.size("blockers") == 0, worst("mean_r_lower"), F.coalesce(F.round("profit_factor", 9), F.lit(0.0)), F.col("n_trades"), worst("mean_r"), -F.col("policy")]
     return rated.orderBy(*[c.desc() for c in order]).limit(1)
 
 
