@@ -77,6 +77,11 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def row_key() -> Column:
+    """A hash of a document's id and text: rows that share an id are told apart, rows that share both are alike in all that is judged."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str], share: int = 2048, merge: bool = False) -> DataFrame:
     """Inner equi-join of ``many``, in which a few keys may hold a large part of all rows, with ``one`` (few rows a key).
 

@@ -29,9 +29,6 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: texts; counts of n-grams have their order as kind, masses of histories their order above this.
 TEXTS, MASSES = 0, 100
 ROW = "block long, kind int, bucket long, data binary"
-#: Bits of a hash that are sent for a word, and how many more than the tokens' number has for longer n-grams: so few of
-#: them (one in 100,000) share their bits with another that counts stay right, and no more bytes than that are moved.
-WORD_BITS, SPARE_BITS = 56, 17
 #: What is summed for a key: of an n-gram its count; of a history how many n-grams after it have each count up to RELIABLE, how many
 #: of the same words have each count in the order below, and the larger ones of those counts in all. Whole numbers, so sums are exact.
 COUNT, MASS = ("<u8",), (f"{2 * RELIABLE}<u4", "<u8")
@@ -150,19 +147,17 @@ class Block:
         """How often this block's training texts have each n-gram."""
         return np.bincount(self.which[n][self.teach[self.valid[n]]], minlength=len(self.keys[n]))
 
-    def requests(self, bits: int, size: int) -> Iterator[tuple[int, int, bytes]]:
+    def requests(self, bits: int) -> Iterator[tuple[int, int, bytes]]:
         for n, keys in self.keys.items():
-            yield from _dealt(n, keys, bits, size if n > 1 else WORD_BITS, self.taught(n).astype("<u8"))
+            yield from _dealt(n, keys, bits, self.taught(n).astype("<u8"))
 
 
-def _dealt(kind: int, keys: np.ndarray, bits: int, size: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Sorted keys, of which ``size`` bits are kept, cut by their first ``bits`` bits."""
-    keys = keys >> np.uint64(64 - size)
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype="u8") << np.uint64(size - bits)) if bits else []
-    edges = [0, *edges, len(keys)]
-    for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-        if b > a:
-            yield kind, bucket, _packed(_deltas(keys[a:b]), *(v[a:b] for v in values))
+def _dealt(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Sorted keys, cut by their first ``bits`` bits; only buckets that have keys are met."""
+    buckets = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), "u8")
+    starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(keys) else np.zeros(0, "i8")
+    for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
+        yield kind, int(buckets[a]), _packed(_deltas(keys[a:b]), *(v[a:b] for v in values))
 
 
 def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -323,17 +318,16 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     n-gram of ``order`` tokens seen in training has its discounted share of its history; any other the history's weight times the
     probability that the order below gives; a history never seen backs off with weight 1. The lowest order has one
     class for all unknown words. A history of which no mass is discounted gets one count more, for what was not
-    seen. Null texts count as empty: one end token. Rows of one doc_id are texts of their own; null ids teach.
+    seen. N-grams are told apart by 64-bit hashes, so scores depend on neither blocks nor partitions. Null texts count as empty: one end token. Rows of one doc_id are texts of their own; null ids teach.
     """
     texts = staged(blocks(docs, block_bytes), "blocks")
     n_blocks = texts.count()
     bits = max(0, n_blocks - 1).bit_length()
-    key_bits = min(64, SPARE_BITS + (max(1, n_blocks) * block_bytes // 4).bit_length())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
-                for kind, bucket, request in Block(data, order).requests(bits, key_bits):
+                for kind, bucket, request in Block(data, order).requests(bits):
                     yield _row(block, kind, bucket, request)
 
     counted = staged(summed(texts.mapInArrow(ask, ROW), n_blocks, fan), "counts")
@@ -359,7 +353,7 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
         block, rows = Met(t, order), []
         for n in range(2, order + 1):
             own, (small, large) = block.asking(n), block.masses(n)
-            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, key_bits if n > 2 else WORD_BITS, small[own], large[own])]
+            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, small[own], large[own])]
         return _table(rows)
 
     def scored(t: pa.Table) -> pa.Table:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, staged
+from .common import row_key, sliced, staged
 
 _WORD = re.compile(r"\w+")
 STATISTICS = (
@@ -48,12 +48,13 @@ def statistics(text: str | None) -> list[float]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, x) with ``statistics`` of the text; no other column is read."""
+    """Rows (doc_id, x, row_key) with ``statistics`` of the text; no other column is read."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64())), b.column(2)], ["doc_id", "x", "row_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, x array<double>")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key"))
+    return docs.mapInArrow(rows, "doc_id long, x array<double>, row_key long")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -162,7 +163,7 @@ def fit(rows: DataFrame, waves: int = 256, width: float = 4.0, ridge: float = 1e
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, **options) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted) of every document.
+    """Rows (doc_id, held_out, score, predicted, row_key) of every document; ``row_key`` hashes id and text.
 
     Learns from labelled documents whose crc32(doc_id as text) is not divisible
     by ``folds``; one of the other residues calibrates. Null labels teach
@@ -177,7 +178,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model.score(_matrix(b.column("x"))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype("i4"))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype("i4")), b.column("row_key")], ["doc_id", "score", "predicted", "row_key"])
 
-    out = x.mapInArrow(scored, "doc_id long, score double, predicted int")
-    return out.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    out = x.mapInArrow(scored, "doc_id long, score double, predicted int, row_key long")
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "row_key")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` that ``classify`` does not reject; rows that share an id are judged by their own texts."""
+    kept = classify(docs, labels, **options).where("predicted = 1").select(F.col("row_key").alias("_kept")).distinct()
+    return docs.withColumn("_key", row_key()).join(kept, F.col("_key") == F.col("_kept"), "left_semi").drop("_key")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, spread_join, staged
+from .common import row_key, sliced, spread_join, staged
 from .words import grams, hashed, lowered
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -166,5 +166,6 @@ def overlaps(docs: DataFrame, items: DataFrame, seed_words: int = 5, coverage: f
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents of which ``overlaps`` finds an item."""
-    return docs.join(overlaps(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    """``docs`` without the documents of which ``overlaps`` finds an item; rows that share an id are judged by their own texts."""
+    held = overlaps(docs.select(row_key().alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.withColumn("_key", row_key()).join(held, F.col("_key") == F.col("_held"), "left_anti").drop("_key")

@@ -35,6 +35,11 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
+def scaled(factor: float, reach: np.ndarray) -> np.ndarray:
+    """``factor`` times the k-th distances; where fewer than k are found all is near enough, whatever the factor."""
+    return np.where(np.isinf(reach), np.inf, factor * np.where(np.isinf(reach), 0.0, reach))
+
+
 def build(ids: np.ndarray, x: np.ndarray, norm: float, seed: int = 11) -> dict[str, np.ndarray]:
     """A tree over points (x, sqrt(norm² - |x|²)), whose nearest to (q, 0) have the largest products with q.
 
@@ -115,7 +120,7 @@ def search(tree: dict[str, np.ndarray], keys: np.ndarray, q: np.ndarray, k: int,
             for side in (first, 1 - first):
                 worst = np.maximum(score[own[group], k - 1], floor[own[group]])
                 kth = np.sqrt(np.maximum(long[own[group]] - 2 * worst, 0))
-                ok = bound[group, side] <= factor * kth + 1e-9
+                ok = bound[group, side] <= scaled(factor, kth) + 1e-9
                 if ok.any():
                     visit(int(tree["child"][node][side]), own[group][ok], np.maximum(least[group], bound[group, side])[ok])
 
@@ -202,6 +207,7 @@ def index(rows: DataFrame, shard_rows: int = 8192, same: int = 21) -> Index | No
     id, so with ``same`` above the number of neighbours no other can be one, and a hot vector is no hot shard.
     """
     least = W.partitionBy("v").orderBy("vec_id")
+    rows = rows.dropDuplicates(["vec_id", "v"])
     rows = staged(rows.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= same).drop("_n"), "vectors")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     if not total["n"]:
@@ -276,7 +282,7 @@ def _routed(index: Index, queries: DataFrame, which: str, factor: float) -> Data
                     row, leaf = np.arange(len(home)), home
                 else:
                     reach = own.column(3).to_numpy()
-                    ok = (bounds <= factor * reach[:, None] + 1e-9) & np.isfinite(bounds)
+                    ok = (bounds <= scaled(factor, reach)[:, None] + 1e-9) & np.isfinite(bounds)
                     ok[np.arange(len(home)), home] = False
                     row, leaf = np.nonzero(ok)
                 cols = [own.column(0).take(pa.array(row)), own.column(1).take(pa.array(row)), pa.array(leaf.astype("i8")), pa.array(bounds[row, leaf]), own.column(2).take(pa.array(row))]
@@ -322,7 +328,8 @@ def search_table(vectors: DataFrame, every: int = 20, k: int = 20, factor: float
     """Searches ``vectors`` for its rows whose id is divisible by ``every``: query_id, rank, vec_id, score, bound.
 
     Without ``factor`` the one that should meet 0.97 of the neighbours is found first (``calibrated``). Vectors that take
-    no part have no rows. Rows that repeat an id are candidates each; of queries that repeat an id the least vector is searched for.
+    no part have no rows. Rows that repeat an id and its vector are one candidate, other vectors of an id are candidates each; of
+    queries that repeat an id the least vector is searched for.
     """
     rows = usable(vectors, key, vector)
     queries = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
