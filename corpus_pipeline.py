@@ -11,8 +11,7 @@ from tickloom.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scored = rff.classify(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return rff.accepted(docs, table(spark, sf_dir, "labels")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
