@@ -227,15 +227,42 @@ def test_paper_trades_end_by_the_stated_rules(spark):
     made = [
         ("target", "BUY", 99.5, 100.5, 95.0, 110.0, 4), ("same bar", "BUY", 100.0, 102.0, 99.0, 130.0, 4), ("both", "BUY", 100.5, 101.5, 98.5, 103.5, 4), ("short stop", "SELL", 99.5, 100.5, 103.5, 90.0, 4),
         ("never", "BUY", 50.0, 51.0, 45.0, 70.0, 4), ("at expiry", "BUY", 99.5, 100.5, 60.0, 150.0, 4), ("open", "BUY", 99.5, 100.5, 60.0, 150.0, 9), ("waiting", "BUY", 50.0, 51.0, 45.0, 70.0, 9),
+        ("stop in the expiry bar", "BUY", 99.0, 101.0, 82.0, 150.0, 4), ("target in it", "SELL", 99.5, 100.5, 150.0, 88.0, 4), ("both in it", "BUY", 99.5, 100.5, 98.5, 103.5, 1.5),
     ]
     trades = spark.createDataFrame([("a", *m[:6], at(0), at(m[6])) for m in made], "k string, trade_id string, side string, entry_low double, entry_high double, stop double, target double, opened_at timestamp, expires_at timestamp")
     out = {r["trade_id"]: (r["state"], r["points"]) for r in tracking.paper_trades(trades, b, ["k"]).collect()}
     assert out == {
         "target": ("TARGET_1_HIT", 9.5), "same bar": ("INVALIDATED", None), "both": ("INVALIDATED", None), "short stop": ("STOP_HIT", -4.0), "never": ("EXPIRED", None),
         "at expiry": ("EXPIRED", -15.5), "open": ("OPEN", None), "waiting": ("WAITING", None),
+        "stop in the expiry bar": ("STOP_HIT", -19.0), "target in it": ("TARGET_1_HIT", 11.5), "both in it": ("INVALIDATED", None),
     }
 
 
+def test_interval_joins_meet_the_last_fraction_of_a_second(spark):
+    a = spark.createDataFrame([("k", 0.0, 3600.5), ("k", 3600.0, 3600.0), ("k", -0.5, 0.25), ("k", 7200.0, 7200.001)], "k string, s double, e double")
+    b = spark.createDataFrame([("k", t) for t in (-0.5, 0.0, 0.25, 3600.2, 3600.5, 7200.0)], "k string, at double")
+    out = asof.interval_join(a, b, ["k"], F.col("s"), F.col("e"), "at", 3600)
+    assert sorted((r["s"], r["at"]) for r in out.collect()) == [(-0.5, -0.5), (-0.5, 0.0), (0.0, 0.0), (0.0, 0.25), (0.0, 3600.2), (7200.0, 7200.0)]
+
+
+def test_bounded_histories_equal_a_loop(spark):
+    """The last rows known at each moment, in blocks smaller and larger than a series, with ties and missing times."""
+    right = [("ab"[k % 2], START + dt.timedelta(minutes=5 * (k // 3)), k) for k in range(60)] + [("c", START, 1), ("a", None, 99), (None, START, 98)]
+    left = [(s, START + dt.timedelta(minutes=m), m) for s in "abz" for m in range(-5, 120, 4)] + [("a", None, 1007), (None, START, 1008)]
+    x = spark.createDataFrame(left, "s string, at timestamp, n long")
+    y = spark.createDataFrame(right, "s string, known timestamp, id long")
+    for limit in (1, 4, 1000):
+        got = {(r["s"], r["n"]): [v["id"] for v in r["last"]] for r in asof.tails(x, y, ["s"], "at", "known", ["id"], limit, "last").collect()}
+        assert len(got) == len(left)
+        for s, at, n in left:
+            own = sorted((t, i) for u, t, i in right if u is not None and u == s and t is not None and at is not None and t <= at)
+            assert got[s, n] == [i for _, i in own][-limit:], (s, n, limit)
+    first = {(r["s"], r["n"]): r["next"] and r["next"]["id"] for r in asof.first_from(x.where("s is not null and at is not null"), y, ["s"], "at", "known", ["id"], "next").collect()}
+    for s, at, n in left:
+        if s and at:
+            assert first[s, n] == min(((t, i) for u, t, i in right if u == s and t is not None and t >= at), default=(None, None))[1]
+
+
 def test_gates_of_unknown_inputs_block(spark):
     blank = spark.createDataFrame([(1,)], "i int").select(*[F.lit(None).cast("boolean").alias(c) for _, c in folds.HARD_GATES], F.lit(None).cast("string").alias("data_status"), F.lit(None).cast("double").alias("reference_close"), F.lit(None).cast("double").alias("atr"))
     assert blank.select(folds.hard_gates().alias("g")).first()["g"] == ["DATA_NOT_LIVE_UNKNOWN", *[code for code, _ in folds.HARD_GATES], "REFERENCE_PRICE_UNAVAILABLE", "ATR_UNAVAILABLE"]

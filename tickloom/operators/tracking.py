@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import codes
-from .asof import interval_join
+from .asof import first_from, interval_join
 
 
 def paper_trades(trades: DataFrame, bars: DataFrame, keys: list[str], width: int = 3600) -> DataFrame:
@@ -15,37 +15,41 @@ def paper_trades(trades: DataFrame, bars: DataFrame, keys: list[str], width: int
 
     A bar before ``expires_at`` that meets the entry zone fills at its worse edge; where that bar also touches stop or
     target, their order is unknown and the trade is invalid. Later the first bar that touches stop or target ends it,
-    both in one bar make it invalid. Else the first bar at or after ``expires_at`` ends it: unfilled at nothing, filled at its
-    close. A trade with no such bar yet is WAITING or OPEN. Trades meet the bars by time bins of ``width`` seconds, and first
-    touches are minima of bar times, so no trade's bars are held in a task.
+    both in one bar make it invalid; the first bar at or after ``expires_at`` still counts for these, and then ends the
+    trade at its close. Unfilled trades expire at nothing. A trade with no such bar yet is WAITING or OPEN. Trades meet the bars
+    by time bins of ``width`` seconds, and first touches are minima of bar times, so no task holds a series or a trade's bars.
     """
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     buy = F.col("side") == "BUY"
     own = [*keys, "trade_id", "side", "entry_low", "entry_high", "stop", "target"]
     # bars before the expiry, with the trade's numbers beside each
-    rows = interval_join(trades.select(*own, seconds("opened_at").alias("_o"), seconds("expires_at").alias("_x")), bars.select(*keys, "high", "low", "at", seconds("at").alias("_b")), keys, F.col("_o"), F.col("_x"), "_b", width)
+    spans = trades.select(*own, seconds("opened_at").alias("_o"), seconds("expires_at").alias("_x"))
+    rows = interval_join(spans, bars.select(*keys, "high", "low", "at", seconds("at").alias("_b")), keys, F.col("_o"), F.col("_x"), "_b", width)
     zone = (F.col("low") <= F.col("entry_high")) & (F.col("high") >= F.col("entry_low"))
-    stop = F.when(buy, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    target = F.when(buy, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    touches = lambda high, low: (F.when(buy, low <= F.col("stop")).otherwise(high >= F.col("stop")), F.when(buy, high >= F.col("target")).otherwise(low <= F.col("target")))
+    stop, target = touches(F.col("high"), F.col("low"))
     rows = rows.select(*keys, "trade_id", "at", zone.alias("zone"), stop.alias("_s"), target.alias("_t"))
     fills = rows.where("zone").groupBy("trade_id").agg(F.min("at").alias("filled_at"))
     ends = rows.join(fills, "trade_id").where("at >= filled_at and (_s or _t)")
     ends = ends.groupBy("trade_id").agg(F.min(F.struct("at", "_s", "_t")).alias("e")).select("trade_id", F.col("e.at").alias("ended_at"), "e._s", "e._t")
-    # the first bar at or after the expiry, by one sort of both sides
-    moments = trades.select(*keys, "trade_id", F.col("expires_at").alias("_m"), F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_c"))
-    after = moments.unionByName(bars.select(*keys, F.lit(None).cast(trades.schema["trade_id"].dataType).alias("trade_id"), F.col("at").alias("_m"), F.lit(1).alias("_side"), F.col("close").cast("double").alias("_c")))
-    later = W.partitionBy(*keys).orderBy("_m", "_side").rowsBetween(0, W.unboundedFollowing)
-    after = after.withColumn("last_close", F.first("_c", ignorenulls=True).over(later)).where("_side = 0").select("trade_id", "last_close")
-    out = trades.join(fills, "trade_id", "left").join(ends, "trade_id", "left").join(after, "trade_id", "left")
-    unfilled, same, over = F.col("filled_at").isNull(), F.col("ended_at") == F.col("filled_at"), F.col("last_close").isNotNull()
+    out = first_from(trades, bars, keys, "expires_at", "at", ["high", "low", "close"], "_last")
+    out = out.join(fills, "trade_id", "left").join(ends, "trade_id", "left")
+    early, over = F.col("ended_at").isNotNull(), F.col("_last").isNotNull()
+    late_stop, late_target = touches(F.col("_last.high"), F.col("_last.low"))
+    stopped, reached = F.when(early, F.col("_s")).otherwise(late_stop & over), F.when(early, F.col("_t")).otherwise(late_target & over)
+    out = out.withColumn("_s", F.coalesce(stopped, F.lit(False))).withColumn("_t", F.coalesce(reached, F.lit(False)))
+    unfilled, same = F.col("filled_at").isNull(), F.coalesce(F.col("ended_at") == F.col("filled_at"), F.lit(False))
     state = (
         F.when(unfilled, F.when(over, F.lit("EXPIRED")).otherwise(F.lit("WAITING"))).when(same | (F.col("_s") & F.col("_t")), F.lit("INVALIDATED"))
         .when(F.col("_s"), F.lit("STOP_HIT")).when(F.col("_t"), F.lit("TARGET_1_HIT")).when(over, F.lit("EXPIRED")).otherwise(F.lit("OPEN"))
     )
     entry = F.when(buy, F.col("entry_high")).otherwise(F.col("entry_low"))
     out = out.withColumn("state", state)
-    exit_ = F.when(F.col("state") == "STOP_HIT", F.col("stop")).when(F.col("state") == "TARGET_1_HIT", F.col("target")).when((F.col("state") == "EXPIRED") & ~unfilled, F.col("last_close"))
-    return out.withColumn("points", F.when(buy, exit_ - entry).otherwise(entry - exit_)).drop("last_close", "ended_at", "_s", "_t")
+    exit_ = (
+        F.when(F.col("state") == "STOP_HIT", F.col("stop")).when(F.col("state") == "TARGET_1_HIT", F.col("target"))
+        .when((F.col("state") == "EXPIRED") & ~unfilled, F.col("_last.close"))
+    )
+    return out.withColumn("points", F.when(buy, exit_ - entry).otherwise(entry - exit_)).drop("_last", "ended_at", "_s", "_t")
 
 
 def minute_outcomes(predictions: DataFrame, minutes: DataFrame, keys: list[str], size: float = 1.5, horizon: int = 60) -> DataFrame:

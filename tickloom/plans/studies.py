@@ -128,8 +128,10 @@ def walk_forward_study(spark, d):
     b AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS tm, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1),
     m AS (SELECT t.trade_id, b.tm, b.low <= t.eh AND b.high >= t.el AS zone, CASE WHEN buy THEN b.low <= t.stop ELSE b.high >= t.stop END AS s, CASE WHEN buy THEN b.high >= t.target ELSE b.low <= t.target END AS g FROM t JOIN b ON b.tm >= t.opened_at AND b.tm < t.expires_at),
     f AS (SELECT trade_id, min(tm) AS filled_at FROM m WHERE zone GROUP BY 1), e AS (SELECT m.trade_id, min(tm) AS ended_at, arg_min(s, tm) AS s, arg_min(g, tm) AS g FROM m JOIN f ON f.trade_id = m.trade_id AND m.tm >= f.filled_at WHERE s OR g GROUP BY 1),
-    a AS (SELECT t.*, filled_at, ended_at, s, g, (SELECT arg_min(b.close, b.tm) FROM b WHERE b.tm >= t.expires_at) AS last FROM t LEFT JOIN f USING (trade_id) LEFT JOIN e USING (trade_id)),
-    z AS (SELECT *, CASE WHEN filled_at IS NULL THEN CASE WHEN last IS NULL THEN 'WAITING' ELSE 'EXPIRED' END WHEN ended_at = filled_at OR (s AND g) THEN 'INVALIDATED' WHEN s THEN 'STOP_HIT' WHEN g THEN 'TARGET_1_HIT' WHEN last IS NOT NULL THEN 'EXPIRED' ELSE 'OPEN' END AS state FROM a)
+    x AS (SELECT trade_id, min_by(b.close, b.tm) AS last, min_by(b.low, b.tm) AS ll, min_by(b.high, b.tm) AS lh FROM t JOIN b ON b.tm >= t.expires_at GROUP BY 1),
+    a AS (SELECT t.*, filled_at, ended_at, last, CASE WHEN ended_at IS NOT NULL THEN s WHEN buy THEN ll <= stop ELSE lh >= stop END AS s, CASE WHEN ended_at IS NOT NULL THEN g WHEN buy THEN lh >= target ELSE ll <= target END AS g
+      FROM t LEFT JOIN f USING (trade_id) LEFT JOIN e USING (trade_id) LEFT JOIN x USING (trade_id)),
+    z AS (SELECT *, CASE WHEN filled_at IS NULL THEN CASE WHEN last IS NULL THEN 'WAITING' ELSE 'EXPIRED' END WHEN coalesce(ended_at = filled_at, false) OR (s AND g) THEN 'INVALIDATED' WHEN s THEN 'STOP_HIT' WHEN g THEN 'TARGET_1_HIT' WHEN last IS NOT NULL THEN 'EXPIRED' ELSE 'OPEN' END AS state FROM a)
     SELECT trade_id, state, round(CASE WHEN buy THEN 1 ELSE -1 END * (CASE WHEN state = 'STOP_HIT' THEN stop WHEN state = 'TARGET_1_HIT' THEN target WHEN state = 'EXPIRED' AND filled_at IS NOT NULL THEN last END - CASE WHEN buy THEN eh ELSE el END), 6) + 0 AS points FROM z""")
 def paper_trades(spark, d):
     """Every purchase as a trade, long or short, over hourly bars."""
