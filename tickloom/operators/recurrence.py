@@ -65,6 +65,31 @@ def wilder(df: DataFrame, x: Column, n: int, by: list[str], order: str, out: str
     return seeded(df, x, 1 / n, n, by, order, out, start, warm_up)
 
 
+def bounded(df: DataFrame, x: Column, alpha: float, seed: int, limit: int, by: list[str], order: str, out: str, first: Column | None = None) -> DataFrame:
+    """``seeded`` as if each row saw only the last ``limit`` rows: what lies before them is exchanged for the mean that seeds them.
+
+    ``first``: the value that the first of these rows has instead of ``x``, which may look back beyond it.
+    """
+    w = W.partitionBy(*by).orderBy(order)
+    rows = seeded(df.withColumn("_bx", x), F.col("_bx"), alpha, seed, by, order, out).withColumn("_bn", F.row_number().over(w))
+    mean = F.avg("_bx").over(w.rowsBetween(-(seed - 1), 0))
+    if first is not None:
+        rows = rows.withColumn("_bf", first - F.col("_bx"))
+        mean = mean + F.lag("_bf", seed - 1).over(w) / seed
+    gap = limit - seed
+    rows = rows.withColumn("_bm", mean - F.col(out)).withColumn("_bm", F.lag("_bm", gap).over(w))
+    shift = F.when(F.col("_bn") > limit, F.col("_bm") * float((1 - alpha) ** gap)).otherwise(F.lit(0.0))
+    return rows.withColumn(out, F.col(out) + shift).drop(*[c for c in ("_bx", "_bn", "_bm", "_bf") if c in rows.columns])
+
+
+def bounded_ema(df: DataFrame, x: Column, n: int, limit: int, by: list[str], order: str, out: str) -> DataFrame:
+    return bounded(df, x, 2 / (n + 1), n, limit, by, order, out)
+
+
+def bounded_atr(df: DataFrame, n: int, limit: int, by: list[str], order: str, out: str) -> DataFrame:
+    return bounded(df, true_range(by, order), 1 / n, n, limit, by, order, out, F.col("high") - F.col("low"))
+
+
 def rsi(df: DataFrame, close: str, n: int, by: list[str], order: str, out: str) -> DataFrame:
     """Wilder's relative strength index, first at row n; 50 where nothing moved, 100 where nothing fell."""
     change = F.col(close) - F.lag(close).over(W.partitionBy(*by).orderBy(order))
