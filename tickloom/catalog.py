@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bars, decisions, formulas, live, registry, replays, streams, studies  # noqa: F401
+from .plans import bars, decisions, formulas, live, registry, replays, research, streams, studies  # noqa: F401
 
 
 def queries() -> dict:
