@@ -51,7 +51,7 @@ def regression_report(rows: DataFrame, by: list[str], actual: str, predicted: st
     return plain.withColumn("mse_skill", skill).join(ranks, by)
 
 
-def conformal(rows: DataFrame, by: list[str], fold: str, fit_fold: int, check_fold: int, actual: str, predicted: str, share: float = 0.20, gate: tuple[float, float] = (0.75, 0.90)) -> tuple[DataFrame, DataFrame]:
+def conformal(rows: DataFrame, by: list[str], fold: str, fit_fold: int, check_fold: int, actual: str, predicted: str, share: float = 0.20, gate: tuple[float, float] = (0.70, 0.95)) -> tuple[DataFrame, DataFrame]:
     """(bounded, report): ``rows`` with lower, the prediction plus the ``share`` quantile of the residuals of ``fit_fold``, and how often it held.
 
     The report has for each of ``by`` the correction, the cases and the coverage of ``check_fold``, and a code where coverage lies outside
