@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from ..operators import candidates
+from ..operators import candidates, candles, shadow, snapshots
+from ..sources.scratch import scratch
+from ..streaming import live as L
+from ..streaming import pipelines as S
 from .bars import BY
-from .registry import BARS, floored, hourly, query, rounded
+from .registry import BARS, floored, hourly, query, rounded, table
+from .streams import _ticks
 from .studies import _LEVELS, _PLAN, _TREND, _analysis_sql
 
 
@@ -111,3 +117,103 @@ def live_plan_exclusions(spark, d):
     """Why bars are no candidates."""
     _, excluded = _live(spark, d)
     return excluded.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _named(spark, d, hours: int):
+    bars = frame(spark, d, hours)
+    hour = (F.unix_seconds(F.col("opens_at").cast("timestamp")) / 3600).cast("long").cast("string")
+    return bars.withColumn("candle_id", F.concat_ws("|", "event_type", F.lit(f"{hours}h"), hour, F.col("revision").cast("string")))
+
+
+def _named_sql(hours: int) -> str:
+    return f"(SELECT *, event_type || '|{hours}h|' || (epoch(opens_at) / 3600)::BIGINT || '|' || revision AS candle_id FROM {_frame_sql(hours)})"
+
+
+def _listed(hours: int, most: int) -> str:
+    return f"(SELECT event_type, closes_at, candle_id, list(candle_id) OVER (PARTITION BY event_type ORDER BY closes_at ROWS {most - 1} PRECEDING) AS ids FROM {_named_sql(hours)})"
+
+
+@query(f"""WITH {BARS}, p AS {_listed(1, 120)}, a AS {_listed(4, 64)}, b AS {_listed(24, 64)}, x AS (SELECT p.*, a.candle_id AS c4, a.ids AS i4 FROM p ASOF LEFT JOIN a ON p.event_type = a.event_type AND p.closes_at >= a.closes_at),
+    y AS (SELECT x.*, b.candle_id AS c24, b.ids AS i24, list_concat(x.ids, coalesce(x.i4, []), coalesce(b.ids, [])) AS inputs, CASE WHEN hour(x.closes_at) = 5 THEN 'STALE' ELSE 'LIVE' END AS status, CASE WHEN hour(x.closes_at) = 7 THEN 'REPLAY' ELSE 'LIVE' END AS mode FROM x ASOF LEFT JOIN b ON x.event_type = b.event_type AND x.closes_at >= b.closes_at),
+    z AS (SELECT *, list_filter([CASE WHEN mode <> 'LIVE' THEN 'REPLAY_MODE' END, CASE WHEN status <> 'LIVE' THEN 'DATA_STATUS_' || status END, CASE WHEN c4 IS NULL THEN 'FINALIZED_4H_CONTEXT_UNAVAILABLE' END, CASE WHEN c24 IS NULL THEN 'FINALIZED_24H_CONTEXT_UNAVAILABLE' END], lambda v: v IS NOT NULL) AS blocked FROM y)
+    SELECT event_type, candle_id, closes_at AS decision_time, c4 AS context_4h, c24 AS context_24h, len(ids)::INT AS n_recent, len(inputs)::INT AS n_inputs, sha256(array_to_string(inputs, '|')) AS checksum, array_to_string(blocked, '|') AS blockers, len(blocked) = 0 AS eligible FROM z""")
+def market_snapshots(spark, d):
+    """A snapshot at the end of every hourly bar, with contexts of four hours and a day."""
+    primary, hour = _named(spark, d, 1), F.hour("closes_at")
+    rows = primary.select("event_type", "candle_id", "closes_at", F.col("closes_at").alias("source_watermark"), F.when(hour == 7, F.lit("REPLAY")).otherwise(F.lit("LIVE")).alias("data_mode"), F.when(hour == 5, F.lit("STALE")).otherwise(F.lit("LIVE")).alias("data_status"))
+    out = snapshots.build(rows, primary, {"4h": _named(spark, d, 4), "24h": _named(spark, d, 24)}, BY)
+    return out.select(
+        *BY, "candle_id", "decision_time", F.col("4h_id").alias("context_4h"), F.col("24h_id").alias("context_24h"), F.size("recent_ids").alias("n_recent"), F.size("model_input_ids").alias("n_inputs"),
+        "checksum", F.concat_ws("|", "blockers").alias("blockers"), "eligible",
+    )
+
+
+def _read_again(rows):
+    """Every event as a minute that four polls read: some come corrected, some of these in their old version again."""
+    poll = rows.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    version = F.when((F.col("k") >= 2) & (F.col("event_id") % 7 == 0) & ~((F.col("k") == 3) & (F.col("event_id") % 14 == 0)), F.lit("b")).otherwise(F.lit("a"))
+    arrived = F.col("ts") + F.make_dt_interval(mins=F.col("k") * 5)
+    return poll.select("event_type", "event_id", F.col("ts").alias("opens_at"), arrived.alias("arrived_at"), F.concat(F.col("event_id").cast("string"), version).alias("fingerprint"), "k")
+
+
+@query("""WITH p AS (SELECT event_type, event_id, ts AS opens_at, unnest([0, 1, 2, 3]) AS k FROM events), v AS (SELECT *, event_id || CASE WHEN k >= 2 AND event_id % 7 = 0 AND NOT (k = 3 AND event_id % 14 = 0) THEN 'b' ELSE 'a' END AS fingerprint FROM p),
+    f AS (SELECT *, row_number() OVER (PARTITION BY event_type, opens_at, fingerprint ORDER BY k) = 1 AS fresh FROM v), g AS (SELECT *, sum(fresh::INT) OVER w AS revision, max(CASE WHEN fresh THEN k END) OVER w AS newest FROM f WINDOW w AS (PARTITION BY event_type, opens_at ORDER BY k)),
+    c AS (SELECT g.*, n.fingerprint AS now FROM g JOIN v n ON n.event_type = g.event_type AND n.opens_at = g.opens_at AND n.k = g.newest)
+    SELECT event_id, k, CASE WHEN fresh THEN CASE WHEN revision = 1 THEN 'NEW' ELSE 'CORRECTION' END WHEN fingerprint = now THEN 'UNCHANGED' ELSE 'REJECTED' END AS action, revision::BIGINT AS revision FROM c""")
+def stream_finalised_minutes(spark, d):
+    """Minutes that polls read again, as a keyed stream."""
+    stream = L.finalised(_read_again(_ticks(spark, d)), "event_type")
+    with L.keyed_state(spark):
+        out = S.completed(stream, scratch(spark, "minutes"))
+    return out.select("event_id", "k", "action", "revision")
+
+
+@query("""WITH m AS (SELECT event_type, ts::DATE AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n_ticks FROM events WHERE hour(ts) <> 15 GROUP BY 1, 2),
+    a AS (SELECT event_type, ts::DATE AS day, count(*) AS n_auction, max(ts) AS last_auction FROM events WHERE hour(ts) = 15 GROUP BY 1, 2) SELECT event_type, day::VARCHAR AS day, open, high, low, close, n_ticks, coalesce(n_auction, 0) AS n_auction, last_auction FROM m LEFT JOIN a USING (event_type, day)""")
+def stream_auction_aside(spark, d):
+    """Ticks of one hour never reach the bars; they are counted beside."""
+    path = scratch(spark, "auction")
+    stream = _ticks(spark, d).select("event_type", "event_id", "ts", "value", F.col("ts").cast("date").cast("string").alias("day"))
+    L.ran(stream, L.diverted(path, F.hour("ts") == 15, {"n_auction": F.count(F.lit(1)), "last_auction": F.max("ts")}, ["event_type", "day"]), f"{path}/checkpoint")
+    read = lambda name: spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{name}")
+    bars = candles.from_ticks(read("main"), F.col("day"), ["event_type"]).withColumnRenamed("opens_at", "day")
+    aside = read("aside").groupBy("event_type", "day").agg(F.sum("n_auction").alias("n_auction"), F.max("last_auction").cast("timestamp_ntz").alias("last_auction"))
+    return bars.join(aside, ["event_type", "day"], "left").fillna(0, ["n_auction"])
+
+
+#: A shadow model's and policy's numbers; their files are written and read back, so their hashes are asked.
+_MODEL = {
+    "shadow_only": True, "approved_for_live_inference": False, "feature_names": ["f1", "f2"], "scaler_mean": [20.0, 10.0], "scaler_scale": [30.0, 6.0], "classes": ["DOWN", "NEITHER", "UP"],
+    "coefficients": [[0.9, -0.7], [-0.4, -0.2], [-0.3, 0.8]], "intercepts": [0.1, -0.3, 0.0], "temperature": 1.25,
+}
+_POLICY = {
+    "shadow_only": True, "approved_for_live_inference": False, "shadow_candidate_directions_enabled": True, "deployment_prior": {"DOWN": 0.33, "NEITHER": 0.31, "UP": 0.36},
+    "thresholds": {"score_source": "RAW_MODEL_SCORE", "activation_score": 0.45, "minimum_class_margin": 0.04, "maximum_neither_score": 0.4, "minimum_prior_lift": 0.02},
+}
+
+
+def _logit(k: int) -> str:
+    (a, b), c = _MODEL["coefficients"][k], _MODEL["intercepts"][k]
+    return f"exp({c}::DOUBLE + (value - 20) / 30 * {a}::DOUBLE + ((user_id % 20) - 10) / 6 * {b}::DOUBLE)"
+
+
+@query(f"""WITH e AS (SELECT event_id, value, CASE WHEN event_id % 17 = 0 THEN 'EVENT_RISK' WHEN event_id % 13 = 0 THEN 'SHADOW_REQUIRES_LIVE_DATA_MODE' WHEN event_id % 11 = 0 THEN 'SHADOW_DATA_STATUS_STALE' WHEN event_id % 19 = 0 THEN 'FEATURES_NOT_READY' WHEN event_id % 23 = 0 THEN 'SHADOW_ATR_UNAVAILABLE' ELSE 'SHADOW_PREDICTION_RECORDED' END AS reason,
+      {_logit(0)} AS a, {_logit(1)} AS b, {_logit(2)} AS c FROM events), p AS (SELECT *, a / (a + b + c) AS dn, b / (a + b + c) AS ne, c / (a + b + c) AS up FROM e),
+    t AS (SELECT *, greatest(dn, up) AS own, least(dn, up) AS other, pow(dn, 0.8) + pow(ne, 0.8) + pow(up, 0.8) AS whole FROM p), o AS (SELECT *, reason = 'SHADOW_PREDICTION_RECORDED' AS made, ne <= 0.4 AND own >= 0.45 AND own - greatest(other, ne) >= 0.04 AND own - CASE WHEN up >= dn THEN 0.36 ELSE 0.33 END >= 0.02 AS ok FROM t)
+    SELECT event_id, reason, CASE WHEN made THEN CASE WHEN NOT ok THEN 'WAIT' WHEN up >= dn THEN 'BUY' ELSE 'SELL' END END AS direction, round(CASE WHEN made THEN up END, 9) AS p_up, round(CASE WHEN made THEN pow(up, 0.8) / whole END, 9) AS calibrated_up, round(CASE WHEN made THEN value + 3 END, 6) AS up_barrier FROM o""")
+def shadow_predictions(spark, d):
+    """Every event as a snapshot of a shadow model, whose numbers come from files that their hashes prove."""
+    k = F.col("event_id")
+    lost = F.lit(None)
+    rows = table(spark, d, "events").select(
+        k, k.cast("string").alias("snapshot_id"), F.lit("c").alias("checksum"), F.col("ts").alias("decision_time"), F.when(k % 13 == 0, F.lit("REPLAY")).otherwise(F.lit("LIVE")).alias("data_mode"),
+        F.when(k % 11 == 0, F.lit("STALE")).otherwise(F.lit("LIVE")).alias("data_status"), F.when(k % 17 == 0, F.array(F.lit("EVENT_RISK"))).otherwise(F.array().cast("array<string>")).alias("blockers"),
+        F.col("value").alias("close"), F.when(k % 23 == 0, lost).otherwise(F.lit(2.0)).alias("atr_14"), F.when(k % 19 == 0, lost).otherwise(F.col("value")).alias("f1"), (F.col("user_id") % 20).cast("double").alias("f2"),
+    )
+    loaded = []
+    for artifact in (_MODEL, _POLICY):
+        path = scratch(spark, "artifact")
+        spark.createDataFrame([(json.dumps(shadow.signed(artifact)),)], "value string").coalesce(1).write.text(path)
+        loaded.append(shadow.load(spark, path))
+    out = shadow.predict(rows, *loaded).select("event_id", "reason", "direction", "p_up", "calibrated_up", "up_barrier")
+    return rounded(rounded(out, ["p_up", "calibrated_up"], 9), ["up_barrier"])
