@@ -59,15 +59,16 @@ def save_bundle(rows: DataFrame, path: str, meta: dict[str, str]) -> str:
     spark = rows.sparkSession
     digest = canonical_rows_hash(rows, []).first()["sha256"]
     try:
-        old = spark.read.text(f"{path}/meta").first()
-        if json.loads(old[0])["sha256"] != digest:
-            raise ValueError("another bundle is there")
-        return digest
+        if old := spark.read.text(f"{path}/meta").first():
+            if json.loads(old[0])["sha256"] != digest:
+                raise ValueError("another bundle is there")
+            return digest
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    rows.write.option("compression", "gzip").json(f"{path}/rows")
-    spark.createDataFrame([(json.dumps({**meta, "sha256": digest}, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/meta")
+    # the digest comes last: rows without one are of a write that was broken off, and are replaced
+    rows.write.mode("overwrite").option("compression", "gzip").json(f"{path}/rows")
+    spark.createDataFrame([(json.dumps({**meta, "sha256": digest}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return digest
 
 

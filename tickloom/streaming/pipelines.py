@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest
@@ -52,38 +51,6 @@ def sequence_marks(events: DataFrame, keys: list[str], sequence: str, identity:
     return events.groupBy(*keys).applyInPandasWithState(step, output, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-class Corrections(StatefulProcessor):
-    """By minute: a fingerprint not seen is NEW or a CORRECTION, the current one UNCHANGED, an earlier one REJECTED."""
-
-    def init(self, handle) -> None:
-        self.seen = handle.getMapState("seen", "fingerprint string", "n long")
-        self.current = handle.getValueState("current", "fingerprint string")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 the names are Spark's
-        out = []
-        for pdf in rows:
-            for r in pdf.sort_values("arrived_at").itertuples():
-                now = self.current.get()[0] if self.current.exists() else None
-                if now == r.fingerprint:
-                    state = "UNCHANGED"
-                elif self.seen.containsKey((r.fingerprint,)):
-                    state = "REJECTED"
-                else:
-                    state = "NEW" if now is None else "CORRECTION"
-                    self.seen.updateValue((r.fingerprint,), (1,))
-                    self.current.update((r.fingerprint,))
-                out.append((key[0], r.fingerprint, state))
-        yield pd.DataFrame(out, columns=["minute", "fingerprint", "state"])
-
-    def close(self) -> None:
-        pass
-
-
-def corrections(minutes: DataFrame) -> DataFrame:
-    """Stream of (minute, fingerprint, arrived_at) to states; needs the RocksDB state store."""
-    return minutes.groupBy("minute").transformWithStateInPandas(Corrections(), "minute timestamp, fingerprint string, state string", "Append", "None")
-
-
 def data_status(age: Column, finalized_age: Column, open_: Column, provider: Column, recovering: Column) -> Column:
     """State of a live feed by the ages (seconds) of its newest tick and bar; fixed limits of 3, 15, 60 and 300 seconds."""
     return (
