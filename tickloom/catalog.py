@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bars, decisions, diagnostics, formulas, live, outcomes, registry, replays, research, streams, studies  # noqa: F401
+from .plans import bars, decisions, diagnostics, formulas, live, outcomes, registry, replays, research, sessions, streams, studies  # noqa: F401
 
 
 def queries() -> dict:

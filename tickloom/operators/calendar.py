@@ -85,16 +85,52 @@ def expected_minutes(days: DataFrame) -> DataFrame:
 
 
 def phase(ts: Column, calendar: Calendar = Calendar()) -> Column:
-    """Phase of an instant within its session columns (``in_session``): continuous, three auction phases, or closed."""
+    """Phase of an instant within its session columns (``in_session``): continuous, three auction phases, or closed. Special sessions have no auction."""
     t = ts.cast("timestamp")
     day = local_date(t)
     clock = lambda hm: F.to_timestamp(F.concat_ws(" ", day.cast("string"), F.lit(hm))) - F.expr(f"interval {OFFSET_MINUTES} minutes")
-    out = F.lit("CLOSED")
     trading = F.weekday(day) < 5
-    if calendar.holidays:
-        trading &= ~day.cast("string").isin(*calendar.holidays)
-    for start, reference, entry, matching, end in calendar.auctions:
-        own = trading & (day >= F.lit(start).cast("date"))
+    for off in (calendar.holidays, tuple(d for d, _, _ in calendar.special)):
+        if off:
+            trading &= ~day.cast("string").isin(*off)
+    out = F.lit("CLOSED")
+    for start, reference, entry, matching, end in sorted(calendar.auctions):  # the latest rule in force alone
+        own = F.lit("CLOSED")
         for low, high, name in ((reference, entry, "CLOSING_AUCTION_REFERENCE"), (entry, matching, "CLOSING_AUCTION_ORDER_ENTRY"), (matching, end, "CLOSING_AUCTION_MATCHING")):
-            out = F.when(own & (t >= clock(low)) & (t < clock(high)), F.lit(name)).otherwise(out)
+            own = F.when((t >= clock(low)) & (t < clock(high)), F.lit(name)).otherwise(own)
+        out = F.when(day >= F.lit(start).cast("date"), own).otherwise(out)
+    out = F.when(trading, out).otherwise(F.lit("CLOSED"))
     return F.when(F.col("session_opens").isNotNull(), F.lit("CONTINUOUS")).otherwise(out)
+
+
+AUCTION_REASON = "CLOSING_AUCTION_OBSERVATION_NOT_CONTINUOUS_CANDLE"
+UNAUTHORISED = "UNAUTHORISED"
+
+
+def normalised(
+    bars: DataFrame, days: DataFrame, calendar: Calendar, excluded: dict[str, str] | None = None, windows: tuple[tuple[str, str, str, str], ...] = (), ts: str = "opens_at", closes: str = "closes_at"
+) -> DataFrame:
+    """Adds reason: null for a bar that is a whole minute of its session, else why it goes.
+
+    ``excluded`` names sessions that go as a whole (day: reason), ``windows`` (day, open, close, reason) local times within which a
+    bar goes. A bar of the closing auction goes too. Any other bar is ``UNAUTHORISED``. A bar without times is UNAUTHORISED.
+    """
+    rows = bucket(in_session(bars, days, ts), ts, 1)
+    t, end = F.col(ts).cast("timestamp"), F.col(closes).cast("timestamp")
+    day = local_date(t)
+    clock = lambda d, hm: F.to_timestamp(F.lit(f"{d} {hm}")) - F.expr(f"interval {OFFSET_MINUTES} minutes")
+    reason = F.lit(UNAUTHORISED)
+    for d, low, high, why in reversed(windows):  # the first window that holds the bar names the reason
+        reason = F.when((clock(d, low) <= t) & (end <= clock(d, high)), F.lit(why)).otherwise(reason)
+    reason = F.when(phase(F.col(ts), calendar).startswith("CLOSING_AUCTION"), F.lit(AUCTION_REASON)).otherwise(reason)
+    reason = F.when((F.col("bucket_opens") == t) & (F.col("bucket_closes") == end), F.lit(None)).otherwise(reason)
+    for d, why in (excluded or {}).items():
+        reason = F.when(day == F.lit(d).cast("date"), F.lit(why)).otherwise(reason)
+    return rows.withColumn("reason", reason).drop("session_date", "session_opens", "session_closes", "bucket_opens", "bucket_closes", "partial")
+
+
+def continuous(rows: DataFrame, ts: str = "opens_at") -> DataFrame:
+    """The bars of ``normalised`` that stay. An unauthorised bar fails the job with its time."""
+    message = F.concat(F.lit("an observation outside of the calendar: "), F.coalesce(F.col(ts).cast("string"), F.lit("null")))
+    keep = F.when(F.col("reason").eqNullSafe(F.lit(UNAUTHORISED)), F.raise_error(message).isNull()).otherwise(F.col("reason").isNull())
+    return rows.where(keep).drop("reason")

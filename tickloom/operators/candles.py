@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 KEYS = ["instrument_id", "opens_at"]
 
+#: Provider of a bar whose parts have several.
+MIXED = "canonical-mixed"
+
 
 def from_ticks(ticks: DataFrame, bucket: Column, keys: list[str], ts: str = "ts", price: str = "value", tie: str = "event_id") -> DataFrame:
     """One bar for each series and bucket that holds a tick; empty buckets stay missing."""
@@ -18,11 +21,18 @@ def from_ticks(ticks: DataFrame, bucket: Column, keys: list[str], ts: str = "ts"
 
 
 def coarser(bars: DataFrame, bucket: Column, expected: int, keys: list[str]) -> DataFrame:
-    """Bars of a coarser frame from those with all ``expected`` parts. Volume is null as soon as one part's is."""
-    volume = [F.when(F.count("volume") == F.count(F.lit(1)), F.sum("volume")).alias("volume")] if "volume" in bars.columns else []
+    """Bars of a coarser frame from those with all ``expected`` parts. Volume is null as soon as one part's is.
+
+    Where the parts have them: provider (``MIXED`` if there are several), the latest finalized_at, the highest source_revision, the last part's watermark.
+    """
+    one_provider = F.min("provider") == F.max("provider")
+    kept = {
+        "volume": F.when(F.count("volume") == F.count(F.lit(1)), F.sum("volume")), "provider": F.when(one_provider, F.min("provider")).otherwise(F.lit(MIXED)),
+        "finalized_at": F.max("finalized_at"), "source_revision": F.max("source_revision"), "watermark": F.max_by("watermark", "opens_at"),
+    }
     out = bars.groupBy(*keys, bucket.alias("bucket")).agg(
         F.min_by("open", "opens_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "opens_at").alias("close"),
-        F.count(F.lit(1)).alias("n_parts"), *volume,
+        F.count(F.lit(1)).alias("n_parts"), *[f.alias(c) for c, f in kept.items() if c in bars.columns],
     )
     return out.where(F.col("n_parts") == expected).withColumnRenamed("bucket", "opens_at").drop("n_parts")
 
@@ -44,6 +54,23 @@ def revisions(rows: DataFrame, keys: list[str], order: list[str], identity: str)
     return rows.withColumn("revision", F.row_number().over(w)).withColumn("supersedes", F.lag(identity).over(w))
 
 
+def ingested(rows: DataFrame, keys: list[str], order: list[str], provider_revision: str, identity: str) -> DataFrame:
+    """Numbers the versions of each bar as they arrive, and refuses those whose provider revision does not grow.
+
+    Adds refused, and for versions that stay revision (from 1) and supersedes (the version before). What was refused
+    is never above what stayed, so the highest revision before a row, refused or not, is that of the version in force.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("refused", F.coalesce(F.col(provider_revision) <= F.max(provider_revision).over(before), F.col(provider_revision).isNull()))
+    stays = F.when(~F.col("refused"), F.col(identity))
+    rows = rows.withColumn("_stays", stays)
+    return rows.withColumns({
+        "revision": F.when(~F.col("refused"), F.count("_stays").over(w.rowsBetween(W.unboundedPreceding, 0))),
+        "supersedes": F.when(~F.col("refused"), F.last("_stays", ignorenulls=True).over(before)),
+    }).drop("_stays")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The newest version of each key."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

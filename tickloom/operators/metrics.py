@@ -111,12 +111,13 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 def session_bootstrap(sessions: DataFrame, by: list[str], session: str, total: str, count: str, draws: int = 1000, seed: int = 1701, levels: tuple[float, ...] = (0.025, 0.5, 0.975)) -> DataFrame:
     """Quantiles of the mean over resampled sessions, from a sum and a count for each session.
 
-    Each draw weights a session by a Poisson(1) number from a hash of seed, draw and session, so draws need
+    Each draw weights a session by a Poisson(1) number from the MD5 of seed, draw, keys and session, so draws need
     no sample list and every task makes its own. Below two sessions: null.
     """
     draw = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
     rows = sessions.select("*", draw)
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", *by, session), F.lit(1 << 52)) / float(1 << 52)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "draw", *[F.col(c).cast("string") for c in (*by, session)]))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     weight, below, k = F.lit(0), math.exp(-1), 0
     edges, term = [], math.exp(-1)
     while below < 1 - 1e-12 and k < 18:
