@@ -300,18 +300,55 @@ def run_length(spark, d):
     return features.structure(R.atr(hourly(spark, d), 14, BY, AT, "atr_14"), BY).select(*BY, AT, "consecutive_direction")
 
 
-@query()
+def _ema_step(n: int, p: str) -> str:
+    a = 2 / (n + 1)
+    return f"CASE WHEN x.n = {n} THEN (p.total + x.close) / {n} WHEN x.n > {n} THEN {a!r} * x.close + (1 - {a!r}) * p.{p} END"
+
+
+_BASE_MEANS = f"WITH RECURSIVE {ORDERED}, t AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS down FROM s), " + f"""
+    rec AS (SELECT x.event_type, x.n, x.close AS total, x.tr AS ttr, 0::DOUBLE AS su, 0::DOUBLE AS sd, NULL::DOUBLE AS e20, NULL::DOUBLE AS e50, NULL::DOUBLE AS atr, NULL::DOUBLE AS g, NULL::DOUBLE AS l FROM t x WHERE x.n = 1
+      UNION ALL SELECT x.event_type, x.n, p.total + x.close, p.ttr + x.tr, p.su + x.up, p.sd + x.down, {_ema_step(20, "e20")}, {_ema_step(50, "e50")}, CASE WHEN x.n = 14 THEN (p.ttr + x.tr) / 14 WHEN x.n > 14 THEN (p.atr * 13 + x.tr) / 14 END,
+        CASE WHEN x.n = 15 THEN (p.su + x.up) / 14 WHEN x.n > 15 THEN (p.g * 13 + x.up) / 14 END, CASE WHEN x.n = 15 THEN (p.sd + x.down) / 14 WHEN x.n > 15 THEN (p.l * 13 + x.down) / 14 END
+      FROM rec p JOIN t x ON x.event_type = p.event_type AND x.n = p.n + 1)"""
+_BASE_ROWS = _BASE_MEANS + """, j AS (SELECT t.*, rec.e20 AS ema_20, rec.e50 AS ema_50, rec.atr AS atr_14, CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + g / l) END AS rsi_14 FROM t JOIN rec USING (event_type, n)),
+    k AS (SELECT *, CASE WHEN pc <> 0 THEN close / pc - 1 END AS return_1, CASE WHEN lag(close, 5) OVER w <> 0 THEN close / lag(close, 5) OVER w - 1 END AS return_5, CASE WHEN lag(close, 12) OVER w <> 0 THEN close / lag(close, 12) OVER w - 1 END AS roc_12, CASE WHEN close > 0 AND pc > 0 THEN ln(close / pc) END AS log_return_1,
+      CASE WHEN n >= 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END AS sma_20, CASE WHEN n >= 50 THEN avg(close) OVER (w ROWS 49 PRECEDING) END AS sma_50, stddev_pop(close) OVER (w ROWS 19 PRECEDING) AS sd,
+      CASE WHEN n > 20 THEN close > max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS breakout_up_20, CASE WHEN n > 20 THEN close < min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS breakout_down_20,
+      lag(session_date) OVER w = session_date AND lag(opens_at) OVER w + INTERVAL 1 hour <> opens_at AS gap FROM j WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
+    f AS (SELECT event_type, opens_at, n, gap, return_1, return_5, return_5 AS roc_5, roc_12, log_return_1, CASE WHEN close <> 0 THEN (high - low) / close END AS range_pct, CASE WHEN open <> 0 THEN (close - open) / open END AS body_pct, CASE WHEN open <> 0 THEN (high - greatest(open, close)) / open END AS upper_wick_pct,
+      CASE WHEN open <> 0 THEN (least(open, close) - low) / open END AS lower_wick_pct, sma_20, sma_50, ema_20, ema_50, atr_14, CASE WHEN close <> 0 THEN atr_14 / close END AS atr_pct, rsi_14, CASE WHEN n >= 21 THEN stddev_pop(return_1) OVER (w ROWS 19 PRECEDING) END AS rolling_vol_20,
+      CASE WHEN n >= 20 AND sd > 1e-12 THEN (close - sma_20) / sd END AS bollinger_z_20, CASE WHEN atr_14 <> 0 THEN (close - ema_20) / atr_14 END AS distance_ema20_atr, CASE WHEN atr_14 <> 0 THEN (high - low) / atr_14 END AS range_atr, ema_20 > ema_50 AS trend_ema20_above_ema50, breakout_up_20, breakout_down_20,
+      epoch(opens_at - session_date::TIMESTAMP) / 60 AS minute_of_session, (86400 - 3600 - epoch(opens_at - session_date::TIMESTAMP)) / 60 AS minutes_to_session_close, (isodow(session_date) - 1)::INT AS day_of_week FROM k WINDOW w AS (PARTITION BY event_type ORDER BY opens_at))"""
+_FLAGS = ("trend_ema20_above_ema50", "breakout_up_20", "breakout_down_20", "day_of_week")
+_SHOWN = ", ".join(n if n in _FLAGS else f"round({n}, 5) + 0 AS {n}" for n in features.BASE)
+
+
+@query(_BASE_ROWS + f""" SELECT event_type, opens_at, {_SHOWN}, gap, concat_ws('|', CASE WHEN n < 50 THEN 'INSUFFICIENT_HISTORY:' || n || '/50' END, CASE WHEN max(coalesce(gap, false)::INT) OVER (PARTITION BY event_type ORDER BY opens_at ROWS 49 PRECEDING) = 1 THEN 'INTRADAY_GAP_IN_FEATURE_WINDOW' END,
+    CASE WHEN {" OR ".join(f"{n} IS NULL" for n in features.BASE)} THEN 'FEATURE_WARMUP_INCOMPLETE' END) AS blockers FROM f""")
 def base_features(spark, d):
     """All base features with readiness blockers."""
     rows = hourly(spark, d).withColumn("closes_at", F.col("opens_at") + F.expr("interval 1 hour"))
     day = F.col("session_date").cast("timestamp")
     rows = rows.withColumn("session_opens", day).withColumn("session_closes", day + F.expr("interval 24 hours"))
-    return features.readiness(features.base(rows, BY), BY).select(*BY, AT, *features.BASE, "gap", "blockers")
+    out = features.readiness(features.base(rows, BY), BY).withColumn("blockers", F.concat_ws("|", "blockers"))
+    return rounded(out.select(*BY, AT, *features.BASE, "gap", "blockers"), [n for n in features.BASE if n not in _FLAGS], 5)
+
+
+_CONTEXT = ("return_1", "return_3", "return_12", "range_pct", "close_location", "atr_pct", "vol_12", "vol_48", "ema_8_21_atr", "ema_20_50_atr", "trend", "rsi", "return_z48")
+_SHARES = ("close_location", "rsi")  # shares of whole cents, which fewer digits would leave on the edge
+_SAFE = "CASE WHEN abs({b}) > 1e-12 THEN ({a}) / {b} ELSE 0 END"
+_CONTEXT_SQL = f"WITH RECURSIVE {ORDERED}, rec AS (SELECT x.event_type, x.n, " + ", ".join(f"x.close AS e{k}" for k in (8, 20, 21, 50)) + " FROM s x WHERE x.n = 1 UNION ALL SELECT x.event_type, x.n, " + ", ".join(f"{2 / (k + 1)!r} * x.close + {1 - 2 / (k + 1)!r} * p.e{k}" for k in (8, 20, 21, 50)) + """ FROM rec p JOIN s x ON x.event_type = p.event_type AND x.n = p.n + 1),
+    t AS (SELECT s.*, e8, e20, e21, e50, coalesce(close - pc, 0) AS dc, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, coalesce(CASE WHEN pc <> 0 THEN close / pc - 1 END, 0) AS return_1 FROM s JOIN rec USING (event_type, n)),
+    a AS (SELECT *, avg(tr) OVER (w ROWS 13 PRECEDING) AS atr, sum(greatest(dc, 0)) OVER (w ROWS 13 PRECEDING) AS gain, sum(greatest(-dc, 0)) OVER (w ROWS 13 PRECEDING) AS loss, lag(close, 3) OVER w AS c3, lag(close, 12) OVER w AS c12, stddev_pop(return_1) OVER (w ROWS 11 PRECEDING) AS vol_12,
+      stddev_pop(return_1) OVER (w ROWS 47 PRECEDING) AS vol_48, avg(return_1) OVER (w ROWS 47 PRECEDING) AS m48, greatest(high - low, 1e-12) AS span FROM t WINDOW w AS (PARTITION BY event_type ORDER BY opens_at)),
+    f AS (SELECT *, coalesce(CASE WHEN c3 <> 0 THEN close / c3 - 1 END, 0) AS return_3, coalesce(CASE WHEN c12 <> 0 THEN close / c12 - 1 END, 0) AS return_12, span / greatest(close, 1e-12) AS range_pct, (close - low) / span AS close_location, """ + _SAFE.format(a="atr", b="close") + " AS atr_pct, " + _SAFE.format(a="e8 - e21", b="atr") + " AS ema_8_21_atr, " + _SAFE.format(a="e20 - e50", b="atr") + """ AS ema_20_50_atr,
+      CASE WHEN e8 - e21 > 1e-12 THEN 1 WHEN e8 - e21 < -1e-12 THEN -1 ELSE 0 END::DOUBLE AS trend, coalesce(CASE WHEN gain + loss <> 0 THEN gain / (gain + loss) END, 0.5) AS rsi, """ + _SAFE.format(a="return_1 - m48", b="vol_48") + " AS return_z48 FROM a)"
 
 
-@query()
+@query(_CONTEXT_SQL + " SELECT event_type, opens_at, open, high, low, close, n_ticks, session_date, " + ", ".join(f"round({n}, {9 if n in _SHARES else 5}) + 0 AS context_{n}" for n in _CONTEXT) + " FROM f")
 def context_features(spark, d):
-    return features.context(hourly(spark, d), BY)
+    out = rounded(features.context(hourly(spark, d), BY), [f"context_{n}" for n in _CONTEXT if n not in _SHARES], 5)
+    return rounded(out, [f"context_{n}" for n in _SHARES], 9)
 
 
 @query("""WITH e AS (SELECT *, lag(value) OVER w AS pv, lag(event_type) OVER w AS pt, lag(ts) OVER w AS pts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

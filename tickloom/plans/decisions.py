@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -120,9 +122,10 @@ def payload_hash(spark, d):
     return rows.select("event_id", canonical_hash(F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))).alias("payload_hash"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT event_id, sha1(unhex('{ingest.NAMESPACE.replace("-", "")}') || encode(event_type || '|' || user_id || '|' || event_id)) AS d FROM events)
+    SELECT event_id, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || CASE d[17] WHEN '0' THEN '8' WHEN '4' THEN '8' WHEN '8' THEN '8' WHEN 'c' THEN '8' WHEN '1' THEN '9' WHEN '5' THEN '9' WHEN '9' THEN '9' WHEN 'd' THEN '9' WHEN '2' THEN 'a' WHEN '6' THEN 'a' WHEN 'a' THEN 'a' WHEN 'e' THEN 'a' ELSE 'b' END || d[18:20] || '-' || d[21:32] AS uuid FROM h""")
 def event_uuid(spark, d):
-    """Version 5 UUIDs of event identities (compared with Python's uuid5 in tests)."""
+    """Version 5 UUIDs of event identities."""
     rows = table(spark, d, "events")
     return rows.select("event_id", uuid5(ingest.NAMESPACE, F.concat_ws("|", "event_type", "user_id", "event_id")).alias("uuid"))
 
@@ -346,11 +349,17 @@ def wilson(spark, d):
     return rounded(a.select("event_type", low.alias("wilson_low"), high.alias("wilson_high")), ["wilson_low", "wilson_high"])
 
 
-@query()
+#: The cumulative Poisson(1) probabilities that a uniform number is held against.
+_EDGES = [math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1)) for n in range(18)]
+
+
+@query(f"""WITH s AS (SELECT event_type, ts::DATE AS day, sum(value) AS total, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT s.*, draw, ('0x' || md5(concat_ws('|', '1701', draw, event_type, day))[1:13])::BIGINT / pow(2, 52) AS u FROM s, range(1, 1001) r(draw)),
+    w AS (SELECT *, {" + ".join(f"(u >= {e!r})::INT" for e in _EDGES if e < 1 - 1e-12)} AS w FROM u), m AS (SELECT event_type, draw, CASE WHEN sum(w * n) <> 0 THEN sum(w * total) / sum(w * n) END AS mean, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT event_type, max(n) AS n_sessions, """ + ", ".join(f"round(CASE WHEN max(n) >= 2 THEN quantile_cont(mean, {q}) END, 6) AS q_{q[2:]}" for q in ("0.025", "0.5", "0.975")) + " FROM m GROUP BY 1")
 def session_bootstrap(spark, d):
     """Intervals of mean values by days drawn anew."""
     s = table(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-    return metrics.session_bootstrap(s, BY, "day", "total", "n")
+    return rounded(metrics.session_bootstrap(s, BY, "day", "total", "n"), ["q_025", "q_5", "q_975"])
 
 
 @query("""SELECT event_type, user_id, count(*) AS n_events, count(*) FILTER (value > 100) AS n_large, CASE WHEN count(*) >= 30 THEN round(avg(value), 6) END AS mean_value FROM events GROUP BY 1, 2""")
@@ -396,13 +405,26 @@ def event_setups(spark, d):
     return labels.events(rows, BY, "session_date", AT, setups).select(*BY, AT, "setup", "direction", "wait_reason")
 
 
-@query()
+#: One bar of a plan: (a) is the state before it, (x) the bar, both as one row; targets at 1.25, 2 and 3 risks take a third each.
+_SCALE_OUT = _ATR + """, plans AS (SELECT event_type, n, opens_at, 1 AS side, close + 0.05 * atr AS trigger, 0.5 * atr AS zone, 0.65 * atr AS risk, lead(close, 12) OVER (PARTITION BY event_type ORDER BY n) AS last FROM a QUALIFY atr > 0 AND last IS NOT NULL),
+    st AS (SELECT event_type, n, 0 AS bar, 'WAITING' AS state, NULL::DOUBLE AS entry, NULL::DOUBLE AS stop, 0 AS done, 0::DOUBLE AS r, NULL::INT AS exit_bar FROM plans
+      UNION ALL SELECT event_type, n, bar + 1, CASE WHEN kept THEN state WHEN hit OR reach = 3 THEN 'CLOSED' ELSE 'OPEN' END, CASE WHEN kept THEN entry0 ELSE en END, CASE WHEN kept THEN stop0 WHEN NOT hit AND reach > 0 THEN en ELSE sp END, CASE WHEN kept OR hit THEN done ELSE reach END,
+        CASE WHEN kept THEN r WHEN hit THEN r + (1 - done / 3) * (sp - en - 0.5) / risk ELSE r + (list_sum(list_concat([0::DOUBLE], [1.25, 2.0, 3.0][done + 1:reach])) / 3) END, CASE WHEN kept THEN CASE WHEN state = 'MISSED' AND exit_bar IS NULL THEN bar + 1 ELSE exit_bar END WHEN hit OR reach = 3 THEN bar + 1 ELSE exit_bar END
+      FROM (SELECT z.*, greatest(done, CASE WHEN h >= en + risk * 3 THEN 3 WHEN h >= en + risk * 2 THEN 2 WHEN h >= en + risk * 1.25 THEN 1 ELSE 0 END) AS reach, l <= sp AS hit
+        FROM (SELECT y.*, coalesce(stop0, en - risk) AS sp FROM (SELECT q.event_type, q.n, q.bar, q.done, q.r, q.exit_bar, q.entry AS entry0, q.stop AS stop0, p.risk, x.high AS h, x.low AS l, coalesce(q.entry, greatest(x.open, p.trigger) + 0.5) AS en,
+            CASE WHEN q.state = 'WAITING' AND x.open - p.trigger > p.zone THEN 'MISSED' ELSE q.state END AS state, q.state IN ('MISSED', 'CLOSED') OR q.state = 'WAITING' AND (x.open - p.trigger > p.zone OR x.high < p.trigger) AS kept
+          FROM st q JOIN plans p USING (event_type, n) JOIN a x ON x.event_type = q.event_type AND x.n = q.n + q.bar + 1 WHERE q.bar < 12) y) z))"""
+
+
+@query(_SCALE_OUT + """ SELECT event_type, opens_at, side, trigger, zone, risk, round(r + CASE WHEN state = 'OPEN' THEN (1 - done / 3) * (last - entry - 0.5) / risk ELSE 0 END, 5) + 0 AS r_multiple,
+    CASE state WHEN 'OPEN' THEN 'HORIZON' WHEN 'WAITING' THEN 'NOT_TRIGGERED' ELSE state END AS state, coalesce(exit_bar, 12) AS exit_bar FROM st JOIN plans USING (event_type, n) WHERE bar = 12""")
 def scale_out_replay(spark, d):
     """A plan at every bar, left in thirds."""
     rows = asof.next_rows(_with_atr(spark, d), BY, AT, ["open", "high", "low", "close"], 12, "path").where("atr > 0 and size(path) = 12")
     path = F.transform("path", lambda x: F.struct(x["open"].alias("o"), x["high"].alias("h"), x["low"].alias("l"), x["close"].alias("c")))
     plans = rows.select(*BY, AT, F.lit(1).alias("side"), (F.col("close") + 0.05 * F.col("atr")).alias("trigger"), (0.5 * F.col("atr")).alias("zone"), (0.65 * F.col("atr")).alias("risk"), path.alias("path"))
-    return labels.replay_plan(plans, "thirds", 0.5).drop("path")
+    out = labels.replay_plan(plans, "thirds", 0.5).drop("path")
+    return rounded(out, ["r_multiple"], 5)
 
 
 @query("""SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS n, (SELECT count(*) FROM lineitem) AS n_lines, (SELECT max(o_orderdate) FROM orders) AS last_at""")
