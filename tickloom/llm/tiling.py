@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import row_key, sliced, spread_join, staged
@@ -123,6 +124,25 @@ def _filter(seeds: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def _rarest(items: DataFrame) -> DataFrame:
+    """Rows (item, seed) of each item's seeds but for its ``least`` - 1 commonest: who shares ``least`` seeds shares one of these."""
+    seeds = items.select("item", "least", F.size("seeds").alias("n_seeds"), F.explode("seeds").alias("seed"))
+    counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n_items"))
+    place = F.row_number().over(W.partitionBy("item").orderBy("n_items", "seed"))  # as many rows as the item has words
+    return seeds.join(counts, "seed").withColumn("place", place).where(F.col("place") <= F.col("n_seeds") - F.col("least") + 1).select("item", "seed")
+
+
+def _sharing(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (text, item, n) of those that share at least the item's ``least`` seeds. ``texts`` (text, seeds) is read twice.
+
+    Pairs are sought by the items' rarest seeds, so a passage that most items and documents hold brings none together as
+    long as it is shorter than what an item needs; a seed that many texts hold is dealt to several tasks.
+    """
+    found = spread_join(texts.select("text", F.explode("seeds").alias("seed")), _rarest(items), ["seed"], ["text"]).select("text", "item").distinct()
+    both = found.join(texts.withColumnRenamed("seeds", "own"), "text").join(items.select("item", "least", "seeds"), "item")
+    return both.withColumn("n", F.size(F.array_intersect("own", "seeds"))).where("n >= least").select("text", "item", "n")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, seed_words: int = 5, coverage: float = 0.6, filter_bits: int = 1 << 22) -> DataFrame:
     """Rows (doc_id, item_id, coverage, n_tiles, matched_words, item_words) of documents that hold test items.
 
@@ -139,12 +159,12 @@ def overlaps(docs: DataFrame, items: DataFrame, seed_words: int = 5, coverage: f
     hits = staged(_text_rows(docs.where("text is not null"), sizes, _filter(seeds, filter_bits)), "hits")
     # rows of one id with other texts are texts of their own
     hits, marked = hits.withColumn("text", F.xxhash64("words")), marked.withColumn("item", F.xxhash64("words"))
-    seeds = marked.select("item", F.explode("seeds").alias("seed")).distinct()
-    shared = hits.select("text", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
-    pairs = shared.groupBy("text", "item").agg(F.count(F.lit(1)).alias("n"))
+    item_seeds = marked.select("item", "n_words", "size", "seeds").dropDuplicates(["item"])
     # a seed may stand at several places of the item, which its length bounds
-    needs = marked.select("item", "n_words", "size", (F.col("n_words") - F.col("size") + 1 - F.size("seeds")).alias("repeats")).distinct()
-    pairs = pairs.join(needs, "item").where((F.col("n") + F.col("repeats")) * F.col("size") >= coverage * F.col("n_words")).select("text", "item")
+    least = F.ceil(coverage * F.col("n_words") / F.col("size") - (F.col("n_words") - F.col("size") + 1 - F.size("seeds")) - 1e-9)
+    item_seeds = item_seeds.withColumn("least", F.greatest(least.cast("int"), F.lit(1)))
+    texts = staged(hits.select("text", "seeds").dropDuplicates(["text"]), "texts")
+    pairs = _sharing(texts, item_seeds).select("text", "item")
     holders = hits.select("text", F.col("key").alias("doc_id"), F.col("words").alias("doc_words"))
     both = spread_join(holders, pairs, ["text"], ["doc_id"]).join(marked.select("item", F.col("key").alias("item_id"), "words"), "item")
 
