@@ -79,12 +79,15 @@ def gate(rows: DataFrame, conditions: dict[str, Column], out: str = "blockers")
     return rows.withColumn(out, blockers).withColumn("released", F.size(out) == 0)
 
 
-def circuit_breaker(calls: DataFrame, by: list[str], order: str, ok: str, limit: int = 3, seconds: int = 60) -> DataFrame:
-    """Adds open: ``limit`` failures in a row lie right behind, the last less than ``seconds`` ago."""
-    w = W.partitionBy(*by).orderBy(order)
-    last = F.col(ok).cast("int")
-    failed = F.sum(1 - last).over(w.rowsBetween(-limit, -1)) == limit
-    recent = F.unix_timestamp(F.col(order).cast("timestamp")) - F.unix_timestamp(F.lag(order).over(w).cast("timestamp")) < seconds
+def circuit_breaker(calls: DataFrame, by: list[str], order: str, ok: str, limit: int = 3, seconds: int = 60, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Adds open: ``limit`` failures in a row lie right behind, the last less than ``seconds`` ago.
+
+    Times count in whole seconds, to the nearest (halves to the even one); ``tie`` orders calls of one time.
+    """
+    w = W.partitionBy(*by).orderBy(order, *tie)
+    failed = F.sum(1 - F.col(ok).cast("int")).over(w.rowsBetween(-limit, -1)) == limit
+    at = F.rint(F.unix_micros(F.col(order).cast("timestamp")) / 1e6)
+    recent = at - F.lag(at).over(w) < seconds
     return calls.withColumn("open", F.coalesce(failed & recent, F.lit(False)))
 
 

@@ -157,7 +157,7 @@ def monitoring(spark, d):
 @query("""SELECT event_id, coalesce(sum((value <= 100)::INT) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3 AND epoch(ts)::BIGINT - epoch(lag(ts) OVER w)::BIGINT < 86400, false) AS open FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
 def circuit_breaker(spark, d):
     rows = table(spark, d, "events").withColumn("ok", F.col("value") > 100)
-    return tracking.circuit_breaker(rows, ["user_id"], "ts", "ok", 3, 86400).select("event_id", "open")
+    return tracking.circuit_breaker(rows, ["user_id"], "ts", "ok", 3, 86400, ("event_id",)).select("event_id", "open")
 
 
 @query(f"""WITH {BARS}, b AS (SELECT event_type, opens_at, 1 AS src, close, n_ticks::BIGINT AS revision FROM bars UNION ALL SELECT event_type, opens_at, 2, high, 2 FROM bars) SELECT event_type, opens_at, close FROM (SELECT *, row_number() OVER (PARTITION BY event_type, opens_at ORDER BY revision DESC, src DESC) AS n FROM b) WHERE n = 1""")
