@@ -19,6 +19,8 @@ from ..sources.scratch import staged
 
 #: Rows of a time bin, on average over all series, and places of a block.
 BIN_ROWS, BLOCK = 10_000, 4096
+#: Rows of a task that sorts a range, on average.
+PART_ROWS = 100_000
 
 
 def number(rows: DataFrame, column: str) -> Column:
@@ -64,6 +66,29 @@ def placed(rows: DataFrame, by: list[str], order: list[str], out: str, width: fl
     return rows.withColumn(out, F.col("_first") + F.col("_r") - 1).drop("_b", "_r", "_first")
 
 
+def matched(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``other`` by equal keys; null is equal to null, as in windows and groups."""
+    named = other.select(*[F.col(k).alias(f"_its_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_its_{k}")) for k in keys], how).drop(*[f"_its_{k}" for k in keys])
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str | Column], out: str, part_rows: int = PART_ROWS, size: int | None = None) -> DataFrame:
+    """Adds the place of each row in its series, from 0, in an ``order`` of any types; a staged table.
+
+    Rows are dealt to tasks by ranges of series and order, whatever their number in a series, and counts of the tasks before give each one's first place.
+    """
+    size = rows.count() if size is None else size
+    parts = max(1, -(-size // part_rows))
+    dealt = rows.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    dealt = staged(dealt.withColumn("_m", F.monotonically_increasing_id()), "ranges")
+    dealt = dealt.withColumn("_part", F.shiftright("_m", 33))
+    counts = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_a"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a task
+    starts = counts.select(*by, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_a")).alias("_first"))
+    found = matched(dealt, starts, [*by, "_part"])
+    return found.select(*rows.columns, (F.col("_m") + F.col("_first")).alias(out))
+
+
 def counted_before(rows: DataFrame, by: list[str], at: str, asked: str, out: str, width: float, also: str | None = None) -> DataFrame:
     """Adds how many rows of the series have ``at`` below this row's ``asked`` (with ``also``, a boolean column: of those where it holds).
 

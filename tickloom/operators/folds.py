@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import codes
+from .chains import matched, ranked
 
 
 def walk_forward(rows: DataFrame, by: list[str], order: str, label_end: str, folds: int, test_rows: int, gap_seconds: float) -> DataFrame:
@@ -37,23 +43,55 @@ def best_candidate(metrics: DataFrame, by: list[str], name: str, order: list[str
     return metrics.groupBy(*by).agg(F.min_by(name, F.struct(*order, name)).alias(name))
 
 
-def causal_percentile(rows: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
-    """Share of earlier rows of the series whose value is this row's or less; null on the first.
+#: Least places of a block of ``causal_percentile``.
+BLOCK = 1 << 15
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """How many elements before each one are less than it: halves of blocks of 2, 4, 8, ... are compared in order of value."""
+    n = len(x)
+    order = np.lexsort((-np.arange(n), x))  # of equal ones the later first, which so counts none of them
+    out = np.zeros(n, "i8")
+    for level in range(max(n - 1, 0).bit_length()):
+        at = order[np.argsort(order >> (level + 1), kind="stable")]
+        right = (at >> level & 1).astype(bool)
+        before = np.cumsum(~right) - ((at >> (level + 1)) << level)  # of the left half of its own block
+        out[at[right]] += before[right]
+    return out
+
+
+def causal_percentile(rows: DataFrame, by: list[str], order: str | list[str], value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Share of earlier rows of the series whose value is this row's or less; null on the first. A null value counts for none and has none.
 
-    A value's rank is a path of bits. At every level a row leaves a mark on its prefix, and where its bit
-    is 1 it asks how many earlier marks the sibling prefix has: running counts of n log n rows.
+    Rows have two places in their series, in time and by (value, time), so what counts is earlier and lower in both. Blocks of places
+    divide the rows both ways: a task counts within a block of time, another within a block of values, and the rest are whole
+    cells of blocks, summed along both. No task holds a series; cells are as many as rows at most.
     """
-    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(order))).withColumn("_v", F.dense_rank().over(W.partitionBy(*by).orderBy(value)))
-    top = rows.agg(F.max("_v")).first()[0] or 1
-    level = F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length()))).alias("_l")
-    paths = rows.select(*by, "_i", "_v", level).withColumn("_p", F.expr("shiftright(_v, _l)"))
-    marks = paths.select(*by, "_i", "_l", "_p", F.lit(1).alias("_one"))
-    sibling = paths.where(F.col("_p") % 2 == 1).select(*by, "_i", "_l", (F.col("_p") - 1).alias("_p"), F.lit(0).alias("_one"))
-    equal = paths.where("_l = 0").select(*by, "_i", "_l", "_p", F.lit(0).alias("_one"))
-    earlier = W.partitionBy(*by, "_l", "_p").orderBy("_i").rangeBetween(W.unboundedPreceding, -1)
-    asked = marks.unionByName(sibling).unionByName(equal).withColumn("_k", F.coalesce(F.sum("_one").over(earlier), F.lit(0))).where("_one = 0")
-    counts = asked.groupBy(*by, "_i").agg(F.sum("_k").alias("_n"))
-    return rows.join(counts, [*by, "_i"]).withColumn(out, F.try_divide(F.col("_n"), F.col("_i") - 1)).drop("_i", "_v", "_n")
+    columns, size = rows.columns, rows.count()
+    block = max(block, math.isqrt(size))
+    placed = ranked(rows, by, [order] if isinstance(order, str) else list(order), "_i", size=size)
+    placed = ranked(placed, by, [F.col(value).asc_nulls_last(), F.col("_i")], "_r", size=size)
+    placed = placed.withColumn("_t", F.floor(F.col("_i") / block)).withColumn("_u", F.floor(F.col("_r") / block))
+
+    def counted(along: str, of: str, name: str):
+        def count(t: pa.Table) -> pa.Table:
+            t = t.sort_by(along)
+            return t.append_column(name, pa.array(_below(t.column(of).to_numpy())))
+
+        return count
+
+    with_ = lambda df, name: T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    found = placed.groupBy(*by, "_t").applyInArrow(counted("_i", "_r", "_n"), with_(placed, "_n"))
+    found = found.groupBy(*by, "_u").applyInArrow(counted("_r", "_t", "_k"), with_(found, "_k"))
+    cells = placed.groupBy(*by, "_t", "_u").agg(F.count(F.lit(1)).alias("_c"))
+    most = placed.groupBy(*by).agg(F.max("_t").alias("_m"))
+    every = most.select(*by, "_m", F.explode(F.sequence(F.lit(0).cast("long"), "_m")).alias("_t")).select(*by, "_t", F.explode(F.sequence(F.lit(0).cast("long"), "_m")).alias("_u"), F.lit(0).cast("long").alias("_c"))
+    cells = cells.unionByName(every).groupBy(*by, "_t", "_u").agg(F.sum("_c").alias("_c"))
+    for along, across in (("_t", "_u"), ("_u", "_t")):  # as many rows as blocks in a window
+        cells = cells.withColumn("_c", F.coalesce(F.sum("_c").over(W.partitionBy(*by, across).orderBy(along).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    found = matched(found, cells, [*by, "_t", "_u"])
+    count = F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.col("_n") + F.col("_k") + F.col("_c"))
+    return found.select(*columns, F.try_divide(count, F.col("_i")).alias(out))
 
 
 def reference_percentile(rows: DataFrame, reference: DataFrame, value: str, out: str, ranges: int = 64) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import canonical_hash, clip, uuid5
 from ..operators import asof, audit, calibration, candles, features, folds, ingest, labels, metrics
 from ..operators import recurrence as R
+from ..sources.scratch import staged
 from .registry import BARS, ORDERED, floored, hourly, query, rounded, table
 
 BY, AT = ["event_type"], "opens_at"
@@ -306,7 +307,7 @@ def percentile_reference(spark, d):
     SELECT a.event_id, round(CASE WHEN a.n > 1 THEN count(b.n) / (a.n - 1)::DOUBLE END, 6) AS percentile FROM a LEFT JOIN a b ON b.n < a.n AND b.value <= a.value GROUP BY a.event_id, a.n""")
 def causal_percentile(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'").select("event_type", "event_id", "ts", "value")
-    return rounded(folds.causal_percentile(e, BY, "event_id", "value", "percentile"), ["percentile"]).select("event_id", "percentile")
+    return rounded(folds.causal_percentile(e, BY, ["ts", "event_id"], "value", "percentile"), ["percentile"]).select("event_id", "percentile")
 
 
 @query("""WITH n AS (SELECT event_type, event_id, ts, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS k FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), f AS (SELECT *, floor((i - (k - 200)) / 50.0)::INT AS fold FROM n),
@@ -388,6 +389,7 @@ def audit_chain(spark, d):
 def audit_verify(spark, d):
     """Finds the rows of a chain whose content has been changed."""
     rows = audit_chain(spark, d).join(table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 97 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id")), "event_id")
+    rows = staged(rows, "chain")
     bad = audit.broken(rows, BY, "event_id", ["event_id", "user_id"])
     return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(bad.agg(F.count(F.lit(1)).alias("n_broken")))  # one row each
 
