@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import matched, ranked
+
 GENESIS = "0" * 64
 
 
@@ -22,7 +23,8 @@ def chained(rows: DataFrame, by: list[str], order: str, fields: list[str]) -> Da
     chains (``by``) are independent and run side by side. A task streams its chains' sorted rows and keeps the last hash only."""
     text = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_f{k}") for k, f in enumerate(fields)]
     key = F.to_json(F.struct(*by)).alias("_key")
-    ordered = rows.select("*", *text, key).repartition("_key").sortWithinPartitions("_key", order)
+    # texts and key are made behind the shuffle, which moves the rows alone
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, order).select("*", *text, key)
     schema = rows.withColumn("previous_hash", F.lit("")).withColumn("event_hash", F.lit("")).schema
     n = len(rows.columns)
 
@@ -43,10 +45,14 @@ def chained(rows: DataFrame, by: list[str], order: str, fields: list[str]) -> Da
 
 
 def broken(rows: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
-    """Rows whose hash is not that of their content, or whose previous hash is not the row's before: a window query, as previous hashes are stored."""
-    before = F.coalesce(F.lag("event_hash").over(W.partitionBy(*by).orderBy(order)), F.lit(GENESIS))
-    checked = rows.withColumn("_before", before)
-    return checked.where((F.col("event_hash") != event_hash(F.col("previous_hash"), *fields)) | (F.col("previous_hash") != F.col("_before"))).drop("_before")
+    """Rows whose hash is not that of their content, or whose previous hash is not the row's before.
+
+    Previous hashes are stored, so a chain is not followed: rows get places, and each meets the one a place before. No task holds a chain.
+    """
+    placed = ranked(rows, by, [order], "_i")
+    before = placed.select(*by, (F.col("_i") + 1).alias("_i"), F.col("event_hash").alias("_before"))
+    checked = matched(placed, before, [*by, "_i"], "left").withColumn("_before", F.coalesce("_before", F.lit(GENESIS)))
+    return checked.where((F.col("event_hash") != event_hash(F.col("previous_hash"), *fields)) | (F.col("previous_hash") != F.col("_before"))).select(*rows.columns)
 
 
 def pending(predictions: DataFrame, assessments: DataFrame, key: str, due: str, now: Column) -> DataFrame:
