@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, logit, sigmoid
+from ..sources.scratch import staged
 from . import metrics
 
 
@@ -22,16 +23,26 @@ def tempered(columns: list[str], temperature: float | Column, edge: float = 1e-1
 
 
 def fit_temperature(rows: DataFrame, columns: list[str], actual: str, names: tuple[str, ...], low: float = 0.05, high: float = 20.0, rounds: int = 4, grid: int = 33) -> float:
-    """The temperature of least log loss: a grid of logarithms in one aggregation, refined around its best ``rounds`` times."""
+    """The temperature of least log loss: a grid of logarithms in one aggregation, refined around its best ``rounds`` times.
+
+    Rows of the same probabilities and outcome count once, with their number; all rounds read these counts with their logarithms, staged.
+    """
     a, b = math.log(low), math.log(high)
     best = 1.0
+    logs = [F.ln(clip(F.col(c), 1e-12, 1.0)) for c in columns]
+    own = F.lit(None).cast("double")
+    for x, name in zip(logs, names):
+        own = F.when(F.col(actual) == name, x).otherwise(own)
+    counts = rows.groupBy(*columns, actual).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("n", own.alias("own"), F.greatest(*logs).alias("top"), *[x.alias(f"l{k}") for k, x in enumerate(logs)])
+    counts = staged(counts, "counts")
     for _ in range(rounds):
         ts = np.exp(np.linspace(a, b, grid)).tolist()
-        tried = rows.select(*columns, actual, F.posexplode(F.array(*map(F.lit, ts))).alias("k", "t"))
-        own = F.lit(None).cast("double")
-        for x, n in zip(tempered(columns, F.col("t")), names):
-            own = F.when(F.col(actual) == n, x).otherwise(own)
-        losses = tried.select("k", (-F.ln(F.greatest(own, F.lit(1e-12)))).alias("loss")).groupBy("k").agg(F.avg("loss").alias("loss"))
+        tried = counts.select("*", F.posexplode(F.array(*map(F.lit, ts))).alias("k", "t"))
+        total = sum((F.exp((F.col(f"l{k}") - F.col("top")) / F.col("t")) for k in range(len(columns))), F.lit(0.0))
+        # an outcome without a name has no loss, as one of no probability has the greatest
+        loss = -F.ln(F.greatest(F.exp((F.col("own") - F.col("top")) / F.col("t")) / total, F.lit(1e-12)))
+        losses = tried.select("k", "n", loss.alias("loss")).groupBy("k").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
         found = losses.agg(F.min_by("k", F.struct("loss", "k"))).first()[0]
         if found is None:
             return 1.0
