@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom import catalog
-from tickloom.operators import tracking
+from tickloom.operators import audit, calibration, chains, folds, tracking
 from tickloom.streaming import live
 
 DAY = dt.datetime(2024, 1, 1)
@@ -88,3 +90,60 @@ def test_finalised_minutes_of_several_spans(spark, tmp_path):
     path = events(spark, tmp_path, rows)
     got = sorted(tuple(r) for r in catalog.queries()["stream_finalised_minutes"](spark, path).collect())
     assert got == sorted(oracle(path, "stream_finalised_minutes").fetchall()) and len(got) == 800
+
+
+def test_below_counts_earlier_and_less():
+    x = np.random.default_rng(1).integers(0, 50, 777)
+    assert folds._below(x).tolist() == [int((x[:i] < v).sum()) for i, v in enumerate(x)] and folds._below(x[:0]).tolist() == [] and folds._below(x[:1]).tolist() == [0]
+
+
+def test_causal_percentiles_of_one_series_in_many_blocks(spark):
+    values = [None if i % 41 == 0 else float(i * 7919 % 23) for i in range(500)]
+    made = [(k, i, v) for k in ("a", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(made, "k string, i int, v double").repartition(3)
+    out = folds.causal_percentile(df, ["k"], "i", "v", "p", block=16).collect()
+    for r in out:
+        i, known = r["i"], [x for x in values[: r["i"]] if x is not None and values[r["i"]] is not None]
+        assert r["p"] == (None if i == 0 else pytest.approx(sum(x <= values[i] for x in known) / i))
+    assert len(out) == len(made)
+
+
+def test_causal_percentile_follows_time_before_ids(spark, tmp_path):
+    rows = [(i, DAY + dt.timedelta(hours=-i), 1, "error", float(i * 37 % 11)) for i in range(60)]
+    path = events(spark, tmp_path, rows)
+    got = sorted(tuple(r) for r in catalog.queries()["causal_percentile"](spark, path).collect())
+    assert [(e, None if p is None else round(p, 6)) for e, p in got] == sorted(oracle(path, "causal_percentile").fetchall())
+
+
+def test_places_by_ranges(spark):
+    rows = spark.createDataFrame([(k, i * 7 % 100) for k in ("a", "b", None) for i in range(100)], "k string, v int").repartition(5)
+    out = chains.ranked(rows, ["k"], ["v"], "i", part_rows=17).collect()
+    assert len(out) == 300 and all(r["i"] == r["v"] for r in out)
+    assert sorted(r["i"] for r in chains.ranked(rows, [], ["k", "v"], "i", part_rows=17).collect()) == list(range(300))
+
+
+def test_temperatures_count_equal_rows_once(spark, monkeypatch):
+    staged, sizes = calibration.staged, []
+    monkeypatch.setattr(calibration, "staged", lambda df, name: sizes.append(df.count()) or staged(df, name))
+    rows = spark.range(3000).select(F.lit(0.5).alias("a"), F.lit(0.3).alias("b"), F.lit(0.2).alias("c"), F.when(F.col("id") % 10 < 6, "A").when(F.col("id") % 10 < 8, "B").otherwise("C").alias("y"))
+    t = calibration.fit_temperature(rows, ["a", "b", "c"], "y", ("A", "B", "C"))
+    loss = lambda t: -sum(w * np.log(p ** (1 / t) / sum(q ** (1 / t) for q in (0.5, 0.3, 0.2))) for w, p in ((0.6, 0.5), (0.2, 0.3), (0.2, 0.2)))
+    assert sizes == [3] and loss(t) <= min(loss(t * 1.001), loss(t / 1.001))
+
+
+def test_release_finds_its_cut_without_the_driver(spark, monkeypatch):
+    asked, ranked = [], chains.ranked
+    monkeypatch.setattr(chains, "ranked", lambda *a, **k: asked.append(a[3]) or ranked(*a, **k, part_rows=100))
+    p = F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("t"), *[p[k].alias(c) for k, c in enumerate(("p_down", "p_neither", "p_up"))], F.when(F.col("id") % 3 == 0, "DOWN").when(F.col("id") % 3 == 1, "NEITHER").otherwise("UP").alias("actual"), (F.col("id") % 2).cast("int").alias("fold_index"))
+    out = calibration.released(rows, ["t"], ["p_down", "p_neither", "p_up"], temperature=1.0).first()
+    assert (out["n_fit"], out["n_evaluation"], asked) == (600, 400, ["_i"])
+
+
+def test_broken_links_without_a_window_over_the_chain(spark):
+    rows = spark.createDataFrame([(k, i, f"e{i}") for k in ("x", "y") for i in range(50)], "c string, n int, e string")
+    good = audit.chained(rows, ["c"], "n", ["n", "e"])
+    found = audit.broken(good, ["c"], "n", ["n", "e"])
+    assert found.count() == 0 and "Window" not in found._jdf.queryExecution().executedPlan().toString().replace("WindowGroupLimit", "").split("_first")[0]
+    lost = good.where("not (c = 'y' and n = 20)")
+    assert [(r["c"], r["n"]) for r in audit.broken(lost, ["c"], "n", ["n", "e"]).collect()] == [("y", 21)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import clip, logit, sigmoid
 from ..sources.scratch import staged
-from . import metrics
+from . import chains, metrics
 
 
 def tempered(columns: list[str], temperature: float | Column, edge: float = 1e-12) -> list[Column]:
@@ -64,8 +64,9 @@ def released(rows: DataFrame, order: list[str], columns: list[str], actual: str
     fold of the evaluation is a slice with limits of its own; one with too few rows fails.
     """
     names, n = metrics.CLASSES, rows.count()
-    cut = rows.select(*order).orderBy(*order).offset(int(n * gate["fit_share"])).limit(1).first()
-    if cut is None or not int(n * gate["fit_share"]):
+    at = int(n * gate["fit_share"])
+    cut = chains.ranked(rows.select(*order), [], order, "_i", size=n).where(F.col("_i") == at).select(*order).first()
+    if cut is None or not at:
         raise ValueError("a calibration needs rows to fit and rows to judge")
     kinds = dict(rows.dtypes)
     later = F.struct(*order) >= F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut)])
