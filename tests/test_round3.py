@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import catalog
+from tickloom.llm import ominhash
 from tickloom.operators import audit, calibration, chains, folds, tracking
 from tickloom.streaming import live
 
@@ -147,3 +148,22 @@ def test_broken_links_without_a_window_over_the_chain(spark):
     assert found.count() == 0 and "Window" not in found._jdf.queryExecution().executedPlan().toString().replace("WindowGroupLimit", "").split("_first")[0]
     lost = good.where("not (c = 'y' and n = 20)")
     assert [(r["c"], r["n"]) for r in audit.broken(lost, ["c"], "n", ["n", "e"]).collect()] == [("y", 21)]
+
+
+@pytest.mark.parametrize("part", [7, 256])
+def test_no_similar_pair_of_a_bucket_is_left_out(spark, monkeypatch, part):
+    monkeypatch.setattr(ominhash, "PART", part)
+    draw = np.random.default_rng(3)
+    texts, shared = [], draw.integers(0, 1 << 32, 30)
+    for _ in range(30):  # pairs of near texts around a passage that all share; a few are shorter than a gram
+        own = np.concatenate([shared, draw.integers(0, 1 << 32, int(draw.integers(0, 60)))])
+        near = own.copy()
+        near[draw.integers(0, len(own), int(len(own) * 0.25 * draw.random()) + 1)] = draw.integers(0, 1 << 32)
+        texts += [own.astype("<u4"), near.astype("<u4")]
+    texts += [shared[a:b].astype("<u4") for a, b in ((0, 2), (0, 1), (0, 0), (1, 30))]
+    words = spark.createDataFrame([(i, len(t), bytearray(t.astype("<u4").tobytes())) for i, t in enumerate(texts)], "id long, n_words long, words binary")
+    waiting = words.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("bucket"), "id")
+    labels = spark.createDataFrame([(5, 2), (2, 2)], "id long, root long")
+    got = {tuple(r) for r in ominhash.remaining(waiting, labels, words, 3, 0.8).collect()}
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (a, b) != (2, 5) and ominhash.similar(texts[a], texts[b], 0.8)}
+    assert want <= got and len(want) >= 20 and (2, 5) not in got and len(got) < len(texts) ** 2 / 3

@@ -269,6 +269,60 @@ def closer(ids: DataFrame, texts: DataFrame, words: DataFrame, k: int, least: fl
     return pairs.where((F.col("n") > 2) | (F.least("a_words", "b_words") <= SHORT * k)).select("a", "b")
 
 
+#: Rows of a part of a bucket, and bins of a text's counts of words and of its counts of grams, in ``remaining``.
+PART, BINS = 256, 128
+
+
+def bins(h: np.ndarray, k: int) -> np.ndarray:
+    """Counts (255 at most) of the text's words by ``BINS`` bins, then of its ``k``-word grams."""
+    parts = [mixed(h), mixed(grams(h, k)) if len(h) >= k else np.zeros(0, "u8")]
+    return np.concatenate([np.minimum(np.bincount((x % np.uint64(BINS)).astype("i8"), minlength=BINS), 255).astype("u1") for x in parts])
+
+
+def remaining(waiting: DataFrame, labels: DataFrame, words: DataFrame, k: int, least: float) -> DataFrame:
+    """Rows (a, b): all pairs of different classes that share a bucket, but those whose lengths or counts exclude the similarity.
+
+    An edit changes one word and ``k`` grams on either side at most, so larger surpluses of counts are proof; bins only lessen them. Buckets are cut into parts
+    of about ``PART`` rows, and each two parts meet in a group of their own: the pairs of a large bucket are spread, and a task holds two parts.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            made = [bins(np.frombuffer(w, "<u4").astype("u8"), k).tobytes() for w in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["id", "n_words", "counts"])
+
+    def met(t: pa.Table) -> pa.Table:
+        part, ids, root, n = (t.column(c).to_numpy() for c in ("part", "id", "root", "n_words"))
+        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "u1").reshape(len(ids), 2 * BINS).astype("i2")
+        own, a, b = part == part.min(), [], []
+        cross = not own.all()
+        for r in np.flatnonzero(own):
+            fits = (~own if cross else ids > ids[r]) & (root != root[r]) & (np.minimum(n, n[r]) >= np.maximum(n, n[r]) * least - 1e-9)
+            at = np.flatnonzero(fits)
+            most = ((1 - least) * np.maximum(n[at], n[r]) + 1e-9).astype("i8")
+            differ = counts[at] - counts[r]
+            for of, each in ((slice(BINS), 1), (slice(BINS, None), k)):
+                x = differ[:, of]
+                fits = (np.maximum(x, 0).sum(1) <= each * most) & (np.maximum(-x, 0).sum(1) <= each * most)
+                at, most, differ = at[fits], most[fits], differ[fits]
+            a.append(np.minimum(ids[r], ids[at]))
+            b.append(np.maximum(ids[r], ids[at]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, "i8") for x in (a, b))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    rows = waiting.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    rows = staged(rows, "rooted")
+    sets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    sets = sets.select("bucket", F.ceil(F.col("n") / PART).alias("parts"))
+    rows = staged(spread_join(rows, sets, ["bucket"], ["id"], merge=True), "apart")
+    found = words.join(rows.select("id").distinct(), "id", "left_semi").select("id", "n_words", "words").mapInArrow(counted, "id long, n_words long, counts binary")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    rows = rows.select("bucket", "id", "root", "part", other).join(found, "id")
+    rows = rows.select(F.col("bucket"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "n_words", "counts")
+    return staged(rows.groupBy("bucket", "i", "j").applyInArrow(met, "a long, b long").distinct(), "remaining")
+
+
 def _merged(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
     """``labels`` (id, root) after links between ids: only links between different roots are joined into components."""
     if labels is None:
@@ -295,8 +349,8 @@ def classes(docs: DataFrame, similarity: float = 0.8, gram: int = 3, least: int
     class. Texts whose edit similarity in words is ``similarity`` or more and that share an ordered sample (``least``
     ``gram``-word grams, one of ``samples``; in short texts of words, ``all_samples``) are candidates. Classes are the
     components of verified links. In every bucket each text is aligned with one head. Texts in buckets that then hold
-    several classes are searched again by their rarest shared grams (``closer``). No bucket is left out, and what a
-    task does for a bucket grows with its rows, not with its pairs; recall on planted pairs is in the README. Rows
+    several classes are searched again by their rarest shared grams (``closer``), and all pairs of different classes that a
+    bucket still holds are compared (``remaining``), so no candidate is lost; only buckets of unlike texts cost by pairs. Rows
     without a doc_id take part by their text; a text that only they hold has null for its ids. Rows of one doc_id with different texts are texts of their own.
     ``row_key`` hashes id and text, and ``leads`` tells of one id and text of each class, and of rows without an id.
     """
@@ -323,6 +377,10 @@ def classes(docs: DataFrame, similarity: float = 0.8, gram: int = 3, least: int
     pairs = staged(closer(again.select("id"), again, words, gram, similarity).join(known.select("a", "b"), ["a", "b"], "left_anti"), "closer")
     free_shuffles(pairs)
     labels = _merged(labels, verified(pairs, words, similarity).where("linked").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tried = known.select("a", "b").unionByName(pairs.select("a", "b"))
+    pairs = staged(remaining(waiting, labels, words, gram, similarity).join(tried, ["a", "b"], "left_anti"), "untried")
+    free_shuffles(pairs)
+    labels = _merged(labels, verified(pairs, words, similarity).where("linked").select(F.col("b").alias("a"), F.col("a").alias("b")))
     named = labels.join(equal.select(F.col("text").alias("id"), "text_id"), "id")
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull(), "text_id", "id")).alias("_h"))
     heads = heads.select("root", F.col("_h.text_id").alias("class_id"), F.col("_h.id").alias("head"))
