@@ -269,21 +269,22 @@ def closer(ids: DataFrame, texts: DataFrame, words: DataFrame, k: int, least: fl
     return pairs.where((F.col("n") > 2) | (F.least("a_words", "b_words") <= SHORT * k)).select("a", "b")
 
 
-#: Rows of a part of a bucket, and bins of a text's counts of words and of its counts of grams, in ``remaining``.
-PART, BINS = 256, 128
+#: Rows of a part of a group, and bins of a text's counts of words and of its counts of grams, in ``remaining``.
+PART, BINS = 512, (2048, 128)
 
 
 def bins(h: np.ndarray, k: int) -> np.ndarray:
     """Counts (255 at most) of the text's words by ``BINS`` bins, then of its ``k``-word grams."""
     parts = [mixed(h), mixed(grams(h, k)) if len(h) >= k else np.zeros(0, "u8")]
-    return np.concatenate([np.minimum(np.bincount((x % np.uint64(BINS)).astype("i8"), minlength=BINS), 255).astype("u1") for x in parts])
+    return np.concatenate([np.minimum(np.bincount((x % np.uint64(m)).astype("i8"), minlength=m), 255).astype("u1") for x, m in zip(parts, BINS)])
 
 
 def remaining(waiting: DataFrame, labels: DataFrame, words: DataFrame, k: int, least: float) -> DataFrame:
     """Rows (a, b): all pairs of different classes that share a bucket, but those whose lengths or counts exclude the similarity.
 
-    An edit changes one word and ``k`` grams on either side at most, so larger surpluses of counts are proof; bins only lessen them. Buckets are cut into parts
-    of about ``PART`` rows, and each two parts meet in a group of their own: the pairs of a large bucket are spread, and a task holds two parts.
+    An edit changes one word and ``k`` grams on either side at most, so larger surpluses of counts are proof; bins only lessen them. Texts around
+    one passage share dozens of buckets, most of which have one head: they meet once by their head, not once a bucket. Groups are cut into parts
+    of about ``PART`` rows, and each two parts meet in a group of their own: the pairs of a large one are spread, and a task holds two parts.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,34 +294,32 @@ def remaining(waiting: DataFrame, labels: DataFrame, words: DataFrame, k: int, l
 
     def met(t: pa.Table) -> pa.Table:
         part, ids, root, n = (t.column(c).to_numpy() for c in ("part", "id", "root", "n_words"))
-        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "u1").reshape(len(ids), 2 * BINS).astype("i2")
+        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "u1").reshape(len(ids), sum(BINS))
         own, a, b = part == part.min(), [], []
         cross = not own.all()
         for r in np.flatnonzero(own):
             fits = (~own if cross else ids > ids[r]) & (root != root[r]) & (np.minimum(n, n[r]) >= np.maximum(n, n[r]) * least - 1e-9)
             at = np.flatnonzero(fits)
-            most = ((1 - least) * np.maximum(n[at], n[r]) + 1e-9).astype("i8")
-            differ = counts[at] - counts[r]
-            for of, each in ((slice(BINS), 1), (slice(BINS, None), k)):
-                x = differ[:, of]
-                fits = (np.maximum(x, 0).sum(1) <= each * most) & (np.maximum(-x, 0).sum(1) <= each * most)
-                at, most, differ = at[fits], most[fits], differ[fits]
+            for of, each in ((slice(BINS[0], None), k), (slice(BINS[0]), 1)):
+                x, y = counts[at, of], counts[r, of]
+                most = each * ((1 - least) * np.maximum(n[at], n[r]) + 1e-9).astype("i8")
+                both = np.minimum(x, y).sum(1, dtype="i8")
+                at = at[np.maximum(x.sum(1, dtype="i8"), y.sum(dtype="i8")) - both <= most]
             a.append(np.minimum(ids[r], ids[at]))
             b.append(np.maximum(ids[r], ids[at]))
         a, b = (np.concatenate(x) if x else np.zeros(0, "i8") for x in (a, b))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    rows = waiting.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    rows = waiting.select("bucket", "a", "id").join(labels, "id", "left").select("bucket", "a", "id", F.coalesce("root", "id").alias("root"))
     rows = staged(rows, "rooted")
-    sets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    sets = sets.select("bucket", F.ceil(F.col("n") / PART).alias("parts"))
-    rows = staged(spread_join(rows, sets, ["bucket"], ["id"], merge=True), "apart")
+    sets = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    rows = staged(spread_join(rows, sets, ["bucket"], ["id"], merge=True).select("a", "id", "root").distinct(), "apart")
+    sets = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / PART).alias("parts"))
     found = words.join(rows.select("id").distinct(), "id", "left_semi").select("id", "n_words", "words").mapInArrow(counted, "id long, n_words long, counts binary")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    rows = rows.select("bucket", "id", "root", "part", other).join(found, "id")
-    rows = rows.select(F.col("bucket"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "n_words", "counts")
-    return staged(rows.groupBy("bucket", "i", "j").applyInArrow(met, "a long, b long").distinct(), "remaining")
+    rows = spread_join(rows, sets, ["a"], ["id"], merge=True).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(found, "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "n_words", "counts")
+    return staged(rows.groupBy("a", "i", "j").applyInArrow(met, "a long, b long").distinct(), "remaining")
 
 
 def _merged(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
