@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candles, features, folds, labels, models, price_action, tracking
 from ..operators import recurrence as R
+from ..sources.scratch import staged
 from .bars import AT, BY
 from .registry import BARS, hourly, query, rounded, table
 
@@ -118,9 +119,10 @@ def walk_forward_study(spark, d):
     names = ["trend_strength", "slope_10_atr", "support_20_atr", "resistance_20_atr", "close_location", "range_compression"]
     rows = rows.dropna(subset=names).withColumn("label_end", F.col(AT) + F.expr("interval 13 hours"))
     rows = rows.select(*BY, AT, "label_end", "label", "r_multiple", *names, F.unix_micros(F.col(AT).cast("timestamp")).alias("start_us"))
-    rows = rows.withColumn("end_us", F.col("start_us") + 12 * 3600000000)
+    # folds read the rows several times, and every fit plans anew: neither is to hold the plan of the features
+    rows = staged(rows.withColumn("end_us", F.col("start_us") + 12 * 3600000000), "samples")
     study = models.Study((models.Candidate("prior", "prior"), models.Candidate("logistic", "logistic")), (0, 1), 2, 3, (4,), (0.3, 0.4, 0.5))
-    out = folds.walk_forward(rows, BY, AT, "label_end", 5, 60, 3600.0).cache()  # read by every fit
+    out = staged(folds.walk_forward(rows, BY, AT, "label_end", 5, 60, 3600.0), "folds")  # read by every fit
     return models.run_study(out, study, names, "start_us", "end_us")
 
 
