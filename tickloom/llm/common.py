@@ -70,6 +70,15 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads again, as all that was made of them is staged itself."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for file in table.inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file))
+            path.getFileSystem(conf).delete(path, False)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what is made of long texts stays small; Spark bounds a batch's bytes."""
     for b in batches:

@@ -1,9 +1,11 @@
 """Katz backoff scores: Good-Turing discounted n-gram counts, exactly normalised, evaluated recursively for each token.
 
-Texts are cut into blocks of a few megabytes. Each block asks for the corpus counts of its distinct n-grams of every
-order: requests meet by hash bucket, where counts are summed, and the answers go back to the block. N-grams
+Texts are cut into blocks of a few megabytes. Each block asks for the corpus counts of its distinct n-grams:
+requests meet by hash bucket, where counts are summed, and the answers go back to the block. Words go first; their
+answers also number them, and these numbers, a few bits each, stand for words in all that follows. Then each order
+has a round of its own, so that only one order's requests are on disk at a time. N-grams
 that a bucket assigns to one block alone ("owned") give each history's discounted mass and what the lower order gives to the
-words seen after it; these meet by bucket again and come back as sums. So all tables are split by bucket; blocks and
+words seen after it; these meet by bucket again and come back as sums, to blocks whose scores depend on them. So all tables are split by bucket; blocks and
 buckets have a bounded size, and where very many blocks ask a bucket, they are summed in two steps (``summed``).
 """
 
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, sliced, staged
+from .common import drop_staged, free_shuffles, sliced, staged
 from .words import SPACED_BYTES, hashed, mixed
 
 #: Counts above this are not discounted.
@@ -27,11 +29,15 @@ RELIABLE = 5
 END, START = np.uint64(0x1D8AF066A5C2E3B7), np.uint64(0xC3A5C85C97CB3127)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: texts; counts of n-grams have their order as kind, masses of histories their order above this.
-TEXTS, MASSES = 0, 100
+TEXTS, WORDS, MASSES = 0, 1, 100
 ROW = "block long, kind int, bucket long, data binary"
 #: What is summed for a key: of an n-gram its count; of a history how many n-grams after it have each count up to RELIABLE, how many
 #: of the same words have each count in the order below, and the larger ones of those counts in all. Whole numbers, so sums are exact.
 COUNT, MASS = ("<u8",), (f"{2 * RELIABLE}<u4", "<u8")
+#: What answers to words hold besides the count: the word's place in its bucket. What requests for masses hold besides them: whether an answer is wanted.
+PLACE, WANTED = ("<u8",), ("<u1",)
+#: A history with less of its mass left than this counts as having nothing discounted.
+BARE = 1e-12
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -57,6 +63,14 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _behind(data: bytes, arrays: int) -> bytes:
+    """What follows the first arrays."""
+    at = 0
+    for _ in range(arrays):
+        at += 24 + int(np.frombuffer(data, "<i8", 3, at)[2])
+    return data[at:]
+
+
 def _deltas(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=keys.dtype.type(0))
 
@@ -70,7 +84,8 @@ def lowered(text: str | None) -> bytes:
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of kind TEXTS: document ids, which of them are null, token counts, sorted word hashes, their ranks by frequency, and the tokens' ranks."""
+    """Rows of kind TEXTS: sorted word hashes and how often training texts have each; then document ids, which of them are null, token counts,
+    the place of the end among the words, the words' ranks by frequency, and the tokens' ranks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -85,8 +100,11 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             rank = np.empty(len(by), "<i4")
             rank[by] = np.arange(len(by))
             none = np.array([d is None for d in ids])
-            data = _packed(np.array([d or 0 for d in ids], "<i8"), none.astype("u1"), (counts + 1).astype("<i4"), _deltas(kinds), rank, rank[places])
-            return _row(part << 32 | seq, TEXTS, 0, data)
+            teach = np.repeat([d is None or not is_held_out(d) for d in ids], counts + 1)
+            own = _packed(_deltas(kinds), np.bincount(places[teach], minlength=len(kinds)).astype("<u8"))
+            end = np.searchsorted(kinds, [END]).astype("<i4")
+            rest = _packed(np.array([d or 0 for d in ids], "<i8"), none.astype("u1"), (counts + 1).astype("<i4"), end, rank, rank[places])
+            return _row(part << 32 | seq, TEXTS, 0, own + rest)
 
         for b in sliced(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -106,50 +124,49 @@ def _row(block: int, kind: int, bucket: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], ["block", "kind", "bucket", "data"])
 
 
-class Block:
-    """A block's tokens and its distinct n-grams of orders 1 to ``order``, in the order of their hashes.
+def numbered(t: pa.Table, bits: int) -> pa.Table:
+    """A block with its words' numbers (the bucket, then the place in it, so they sort as the hashes do) and answers instead of hashes and own counts."""
+    kinds = t.column("kind").to_pylist()
+    ids, answers = [np.zeros(0, "u8")], [np.zeros(0, "<u8")]
+    own = sorted((b, d) for k, b, d in zip(kinds, t.column("bucket").to_pylist(), t.column("data").to_pylist()) if k == WORDS)
+    for bucket, data in own:
+        a, places = _unpacked(data, *COUNT, *PLACE)
+        ids.append(np.cumsum(places, dtype="u8") + (np.uint64(bucket << 64 - bits) if bits else np.uint64(0)))
+        answers.append(a)
+    texts = _behind(t.column("data")[kinds.index(TEXTS)].as_py(), 2)
+    return _table([(t.column("block")[0].as_py(), TEXTS, 0, _packed(_deltas(np.concatenate(ids)), np.concatenate(answers)) + texts)])
 
-    By order: ``keys``; ``valid``, the tokens that end such an n-gram (the first one of a text has a word pair with the
-    start, but no longer n-gram); ``which``, each of these tokens' n-gram; ``history``, for each n-gram the place of its history among
-    the n-grams of the order below, or for pairs the word, with the start behind all words.
-    """
 
-    def __init__(self, data: bytes, order: int):
-        ids, none, counts, deltas, rank, tokens = _unpacked(data, "<i8", "<u1", "<i4", "<u8", "<i4", "<i4")
+class Block:
+    """A block's tokens, as places among its words, once these are numbered."""
+
+    def __init__(self, data: bytes):
+        deltas, self.words_answers, ids, none, counts, end, rank, tokens = _unpacked(data, "<u8", *COUNT, "<i8", "<u1", "<i4", "<i4", "<i4", "<i4")
         by = np.empty(len(rank), "i8")
         by[rank] = np.arange(len(rank))
-        tokens = by[tokens]
+        self.tokens, self.words, self.end = by[tokens], np.cumsum(deltas, dtype="u8"), int(end[0])
         self.ids = [None if n else d for d, n in zip(ids.tolist(), none.tolist())]
-        words = np.cumsum(deltas, dtype="u8")
         self.starts, self.counts = np.cumsum(counts) - counts, counts
         self.held = np.array([d is not None and is_held_out(d) for d in self.ids], bool)
-        self.teach = np.repeat(~self.held, counts)
-        place = np.arange(len(tokens)) - np.repeat(self.starts, counts)
-        self.keys, self.valid, self.which, self.history = {1: words}, {1: np.arange(len(tokens))}, {1: tokens}, {}
-        full = words[tokens]  # hash of the n-gram that ends at each token
-        below = self.which[1]
-        for n in range(2, order + 1):
-            at = np.flatnonzero(place >= n - 2)
-            first = place[at] == 0
-            before = np.where(first, len(words), below[at - 1])
-            key = mixed(np.where(first, START, full[at - 1]) * _STEP + words[tokens[at]])
-            self.keys[n], which = np.unique(key, return_inverse=True)
-            history = np.empty(len(self.keys[n]), "i8")
-            history[which] = before
-            self.valid[n], self.which[n], self.history[n] = at, which, history
-            full, below = np.zeros(len(tokens), "u8"), np.zeros(len(tokens), "i8")
-            full[at], below[at] = key, which
+        self.place = np.arange(len(tokens)) - np.repeat(self.starts, counts)
 
-    def history_keys(self, n: int) -> np.ndarray:
-        return np.r_[self.keys[1], START] if n == 2 else self.keys[n - 1]
-
-    def taught(self, n: int) -> np.ndarray:
-        """How often this block's training texts have each n-gram."""
-        return np.bincount(self.which[n][self.teach[self.valid[n]]], minlength=len(self.keys[n]))
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By order from two on: the tokens that end such an n-gram (the first one of a text has a word pair with the start, but no longer n-gram), and its hash."""
+        word = mixed(self.words)[self.tokens]
+        full = word
+        for n in range(2, order + 1):
+            at = np.flatnonzero(self.place >= n - 2)
+            key = mixed(np.where(self.place[at] == 0, START, full[at - 1]) * _STEP + word[at])
+            yield n, at, key
+            full = np.zeros(len(word), "u8")
+            full[at] = key
 
-    def requests(self, bits: int) -> Iterator[tuple[int, int, bytes]]:
-        for n, keys in self.keys.items():
-            yield from _dealt(n, keys, bits, self.taught(n).astype("<u8"))
+    def requests(self, n: int, bits: int) -> Iterator[tuple[int, int, bytes]]:
+        """How often this block's training texts have each of its n-grams."""
+        *_, (_, at, key) = self.grams(n)
+        keys, which = np.unique(key, return_inverse=True)
+        teach = np.repeat(~self.held, self.counts)[at]
+        yield from _dealt(n, keys, bits, np.bincount(which[teach], minlength=len(keys)).astype("<u8"))
 
 
 def _dealt(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -166,28 +183,33 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 class Requests:
-    """The requests of one kind and bucket: keys of all blocks together, their values' sums, and who asked what."""
+    """The requests of one kind and bucket: keys of all blocks together, their values' sums, and who asked what. Words are answered with places, too, and masses only where they are wanted."""
 
     def __init__(self, t: pa.Table):
         t = t.sort_by("block")
         self.kind, self.bucket, self.blocks = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py(), t.column("block").to_pylist()
-        self.counts = self.kind < MASSES
+        self.counts, self.places = self.kind < MASSES, self.kind == WORDS
         self.types = COUNT if self.counts else MASS
-        asked = [_unpacked(d, "<u8", *self.types) for d in t.column("data").to_pylist()]
-        self.sizes = [len(a[0]) for a in asked]
+        asked = [_unpacked(d, "<u8", *self.types, *(() if self.counts else WANTED)) for d in t.column("data").to_pylist()]
         self.values = [np.concatenate(v) for v in list(zip(*asked))[1:]]
+        self.wanted = np.ones(len(self.values[0]), bool) if self.counts else self.values.pop() > 0
+        self.sizes = [len(a[0]) if self.counts else int(a[-1].sum()) for a in asked]
         self.keys, self.which = np.unique(np.concatenate([np.cumsum(a[0], dtype="u8") for a in asked]), return_inverse=True)
         add = lambda v: np.bincount(self.which, v, len(self.keys)).astype(v.dtype)
         self.sums = [np.column_stack([add(c) for c in v.T]) if v.ndim > 1 else add(v) for v in self.values]
 
+    def wanted_keys(self) -> np.ndarray:
+        return np.bincount(self.which[self.wanted], minlength=len(self.keys)) > 0
+
     def one(self, block: int) -> pa.Table:
         """All as one request of a block."""
-        return _table([(block, self.kind, self.bucket, _packed(_deltas(self.keys), *self.sums))])
+        wanted = [] if self.counts else [self.wanted_keys().astype("<u1")]
+        return _table([(block, self.kind, self.bucket, _packed(_deltas(self.keys), *self.sums, *wanted))])
 
     def answers(self, totals: list[np.ndarray], owned: np.ndarray, alone: np.ndarray) -> list[tuple[int, int, int, bytes]]:
         """Each block's totals. Counts come four times, plus two where no other block has asked for a key that is ``alone``
         here, plus one where the block is the first that has taught a key that is ``owned`` here."""
-        out = [x[self.which] for x in totals]
+        out = [x[self.which[self.wanted]] for x in totals]
         if self.counts:
             taught = np.flatnonzero(self.values[0] > 0)
             _, first = np.unique(self.which[taught], return_index=True)
@@ -196,13 +218,17 @@ class Requests:
             only = (np.bincount(self.which, minlength=len(self.keys)) == 1) & alone
             out[0] = (out[0] << np.uint64(2)) + (only[self.which] * 2 + (own & owned[self.which])).astype("<u8")
         ends = np.cumsum(self.sizes)
-        return [(b, self.kind, self.bucket, _packed(*(x[e - n : e] for x in out))) for b, n, e in zip(self.blocks, self.sizes, ends)]
+        parts = [[x[e - n : e] for x in out] for n, e in zip(self.sizes, ends)]
+        if self.places:  # they rise with the keys
+            parts = [[*p[:-1], _deltas(p[-1])] for p in parts]
+        return [(b, self.kind, self.bucket, _packed(*p)) for b, p in zip(self.blocks, parts) if len(p[0])]
 
 
 def _total(t: pa.Table) -> pa.Table:
     """Answers to all blocks, and for counts the bucket's counts of counts (block -1)."""
     asked = Requests(t)
-    rows = asked.answers(asked.sums, *np.ones((2, len(asked.keys)), bool))
+    totals = [*asked.sums, np.arange(len(asked.keys), dtype="<u8")] if asked.places else asked.sums
+    rows = asked.answers(totals, *np.ones((2, len(asked.keys)), bool))
     if asked.counts:
         c = asked.sums[0].astype("i8")
         seen = np.r_[(c > 0).sum(), c.sum(), np.bincount(c[c <= RELIABLE + 1], minlength=RELIABLE + 2)[1:]]
@@ -213,10 +239,20 @@ def _total(t: pa.Table) -> pa.Table:
 def _passed_on(t: pa.Table) -> pa.Table:
     """Answers to the blocks of one part, from the answer to the part."""
     asked = Requests(t.filter(pc.invert(t.column("answer"))))
-    totals, owned = _unpacked(t.filter(t.column("answer")).column("data")[0].as_py(), *asked.types), np.ones(len(asked.keys), bool)
+    if not asked.wanted.any():
+        return _table([])
+    types = (*asked.types, *PLACE) if asked.places else asked.types
+    totals, owned = _unpacked(t.filter(t.column("answer")).column("data")[0].as_py(), *types), np.ones(len(asked.keys), bool)
     alone = owned
+    if asked.places:
+        totals[-1] = np.cumsum(totals[-1], dtype="u8")
     if asked.counts:
         owned, alone, totals[0] = totals[0] & np.uint64(1) > 0, totals[0] & np.uint64(2) > 0, totals[0] >> np.uint64(2)
+    else:
+        wanted = asked.wanted_keys()
+        for k, some in enumerate(totals):
+            totals[k] = np.zeros((len(wanted), *some.shape[1:]), some.dtype)
+            totals[k][wanted] = some
     return _table(asked.answers(totals, owned, alone))
 
 
@@ -282,17 +318,34 @@ def _answers(t: pa.Table, kind: int, *types: str) -> list[np.ndarray]:
 
 
 class Met(Block):
-    """A block with its answers: by order the n-grams' corpus counts, whether the block owns them and has them alone, and the counts of histories."""
+    """A block with its answers and its distinct n-grams of orders 1 to ``order``, in the order of their keys.
+
+    By order: ``keys``; ``valid``, the tokens that end such an n-gram; ``which``, each of these tokens' n-gram; ``history``, for
+    each n-gram the place of its history among the n-grams of the order below, or for pairs the word, with the start behind all
+    words; the n-grams' corpus counts, whether the block owns them and has them alone; and the counts of histories.
+    """
 
     def __init__(self, t: pa.Table, order: int):
         kinds = t.column("kind").to_pylist()
-        super().__init__(t.column("data")[kinds.index(TEXTS)].as_py(), order)
+        super().__init__(t.column("data")[kinds.index(TEXTS)].as_py())
         self.block, self.count, self.owned, self.alone, self.before = t.column("block")[0].as_py(), {}, {}, {}, {}
+        self.keys, self.valid, self.which, self.history = {1: self.words}, {1: np.arange(len(self.tokens))}, {1: self.tokens}, {}
+        below = self.tokens
+        for n, at, key in self.grams(order):
+            self.keys[n], which = np.unique(key, return_inverse=True)
+            history = np.empty(len(self.keys[n]), "i8")
+            history[which] = np.where(self.place[at] == 0, len(self.words), below[at - 1])
+            self.valid[n], self.which[n], self.history[n] = at, which, history
+            below = np.zeros(len(self.tokens), "i8")
+            below[at] = which
         for n in self.keys:
-            (a,) = _answers(t, n, "<u8")
+            a = self.words_answers if n == 1 else _answers(t, n, *COUNT)[0]
             self.count[n], self.owned[n], self.alone[n] = (a >> np.uint64(2)).astype("i8"), a & np.uint64(1) > 0, a & np.uint64(2) > 0
         for n in self.history:  # a text's start is as frequent as its end
-            self.before[n] = np.r_[self.count[1], self.count[1][np.searchsorted(self.keys[1], END)]] if n == 2 else self.count[n - 1]
+            self.before[n] = np.r_[self.count[1], self.count[1][self.end]] if n == 2 else self.count[n - 1]
+
+    def history_keys(self, n: int) -> np.ndarray:
+        return np.r_[self.keys[1], START] if n == 2 else self.keys[n - 1]
 
     def masses(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """What the n-grams that this block owns add to their histories (``MASS``)."""
@@ -303,11 +356,22 @@ class Met(Block):
         small = [np.bincount(h[x == r], minlength=size) for x in (c, lower) for r in range(1, RELIABLE + 1)]
         return np.column_stack(small).astype("<u4"), np.bincount(h, np.where(lower > RELIABLE, lower, 0), size).astype("<u8")
 
-    def asking(self, n: int) -> np.ndarray:
-        """The histories of order ``n`` that training and other blocks have, in the order of their keys; of all others the block knows all that follows."""
+    def shared(self, n: int, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each history of order ``n``: whether training and other blocks have it (of all others the block knows all that
+        follows), and whether its sums change the scores here.
+
+        They do where a token must back off from it, or where nothing that follows here is known to be discounted;
+        ``lost`` is what n-grams of each count up to RELIABLE lose.
+        """
         alone = np.r_[self.alone[1], False] if n == 2 else self.alone[n - 1]
-        own = np.unique(self.history[n])
-        own = own[(self.before[n][own] > 0) & ~alone[own]]
+        c, h, size = self.count[n], self.history[n], len(self.before[n])
+        both = (np.bincount(h, minlength=size) > 0) & (self.before[n] > 0) & ~alone
+        free = np.bincount(h, np.r_[0.0, lost, 0.0][np.minimum(c, RELIABLE + 1)], size) / np.maximum(self.before[n], 1)
+        return both, both & ((np.bincount(h[c == 0], minlength=size) > 0) | (free < 2 * BARE))
+
+    def sorted_by_key(self, n: int, histories: np.ndarray) -> np.ndarray:
+        """Places of the marked histories of order ``n``, in the order of their keys."""
+        own = np.flatnonzero(histories)
         return own[np.argsort(self.history_keys(n)[own])]
 
 
@@ -324,14 +388,21 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
     n_blocks = texts.count()
     bits = max(0, n_blocks - 1).bit_length()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
-                for kind, bucket, request in Block(data, order).requests(bits):
+                deltas, taught = _unpacked(data, "<u8", *COUNT)
+                for kind, bucket, request in _dealt(WORDS, np.cumsum(deltas, dtype="u8"), bits, taught):
                     yield _row(block, kind, bucket, request)
 
-    counted = staged(summed(texts.mapInArrow(ask, ROW), n_blocks, fan), "counts")
-    free_shuffles(counted)
+    def asking(n: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
+                    for kind, bucket, request in Block(data).requests(n, bits):
+                        yield _row(block, kind, bucket, request)
+
+        return ask
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,37 +411,55 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, "i4")), pa.array(np.arange(len(v), dtype="i4")), pa.array(v)], ["kind", "i", "n"])
 
     stats = {n: [0] * (RELIABLE + 3) for n in range(1, order + 1)}
-    sums = counted.where("block = -1").select("kind", "data").mapInArrow(numbers, "kind int, i int, n long").groupBy("kind", "i").agg(F.sum("n").alias("n"))
-    for r in sums.collect():  # some numbers an order
-        stats[r["kind"]][r["i"]] = r["n"]
+
+    def counted(requests: DataFrame) -> DataFrame:
+        """The answers, staged; some numbers of each order go to the driver."""
+        out = staged(summed(requests, n_blocks, fan), "counts")
+        sums = out.where("block = -1").select("kind", "data").mapInArrow(numbers, "kind int, i int, n long").groupBy("kind", "i").agg(F.sum("n").alias("n"))
+        for r in sums.collect():
+            stats[r["kind"]][r["i"]] = r["n"]
+        free_shuffles(out)
+        return out
+
+    hashes, known = texts, counted(texts.mapInArrow(words, ROW))
+    texts = staged(hashes.unionByName(known.where("block >= 0")).groupBy("block").applyInArrow(lambda t: numbered(t, bits), ROW), "numbered")
+    free_shuffles(texts)
+    drop_staged(hashes, known)
+    answers = texts
+    for n in range(2, order + 1):
+        answers = answers.unionByName(counted(texts.mapInArrow(asking(n), ROW)).where("block >= 0"))
     unigram = Unigrams(stats[1][0], stats[1][1], stats[1][2:])
     factors = {n: discounts(stats[n][2:]) for n in range(2, order + 1)}
 
+    r = np.arange(1, RELIABLE + 1)
+    lost = {n: r * (1 - f[1:]) for n, f in factors.items()}
+
     def kept(n: int, c: np.ndarray) -> np.ndarray:
         return c * np.where(c > RELIABLE, 1.0, factors[n][np.minimum(c, RELIABLE)])
 
     def masses(t: pa.Table) -> pa.Table:
         block, rows = Met(t, order), []
         for n in range(2, order + 1):
-            own, (small, large) = block.asking(n), block.masses(n)
-            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, small[own], large[own])]
+            (shared, wanted), (small, large) = block.shared(n, lost[n]), block.masses(n)
+            own = block.sorted_by_key(n, wanted | shared & (small.any(axis=1) | (large > 0)))
+            rows += [(block.block, *r) for r in _dealt(MASSES + n, block.history_keys(n)[own], bits, small[own], large[own], wanted[own].astype("<u1"))]
         return _table(rows)
 
     def scored(t: pa.Table) -> pa.Table:
         block = Met(t, order)
         tokens, words = block.which[1], block.count[1]
         p, divisor = unigram(words)[tokens], np.full(len(tokens), max(unigram.divisor, 1), "f8")
-        r = np.arange(1, RELIABLE + 1)
         for n in range(2, order + 1):
-            own, (small, large) = block.asking(n), block.masses(n)
+            (shared, wanted), (small, large) = block.shared(n, lost[n]), block.masses(n)
+            own = block.sorted_by_key(n, wanted)
             small[own], large[own] = _answers(t, MASSES + n, *MASS)
             # the order below gives a word its kept count over the divisor of the shorter history
             below = unigram.factors if n == 2 else factors[n - 1]
-            free = small[:, :RELIABLE] @ (r * (1 - factors[n][1:])) / np.maximum(block.before[n], 1)
+            free = small[:, :RELIABLE] @ lost[n] / np.maximum(block.before[n], 1)
             seen = small[:, RELIABLE:] @ (r * below[1:]) + large
             at, h = block.valid[n], block.history[n][block.which[n]]
             c, before = block.count[n][block.which[n]], block.before[n][h]
-            bare = free[h] < 1e-12
+            bare = ((free < BARE) & ~(shared & ~wanted))[h]
             whole = before + bare.astype("f8")
             weight = np.where(bare, 1 / np.maximum(whole, 1), free[h]) / np.maximum(1 - seen[h] / divisor[at], 1e-12)
             p[at] = np.where(before == 0, p[at], np.where(c > 0, np.where(bare, c, kept(n, c)) / np.maximum(whole, 1), weight * p[at]))
@@ -383,9 +472,8 @@ def score_texts(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, fan
             "train_tokens": pa.array(np.full(len(block.ids), unigram.total, "i8")), "base_score": pa.array(add(base[tokens])), "score": pa.array(add(np.log10(p))),
         })
 
-    answers = counted.where("block >= 0")
-    met = texts.unionByName(answers).groupBy("block").applyInArrow(masses, ROW)
+    met = answers.groupBy("block").applyInArrow(masses, ROW)
     weights = staged(summed(met, n_blocks, fan), "weights")
     free_shuffles(weights)
-    out = texts.unionByName(answers).unionByName(weights).groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = answers.unionByName(weights).groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
