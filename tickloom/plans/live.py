@@ -161,11 +161,10 @@ def _read_again(rows):
     c AS (SELECT g.*, n.fingerprint AS now FROM g JOIN v n ON n.event_type = g.event_type AND n.opens_at = g.opens_at AND n.k = g.newest)
     SELECT event_id, k, CASE WHEN fresh THEN CASE WHEN revision = 1 THEN 'NEW' ELSE 'CORRECTION' END WHEN fingerprint = now THEN 'UNCHANGED' ELSE 'REJECTED' END AS action, revision::BIGINT AS revision FROM c""")
 def stream_finalised_minutes(spark, d):
-    """Minutes that polls read again, as a keyed stream."""
-    stream = L.finalised(_read_again(_ticks(spark, d)), "event_type")
+    """Minutes that polls read again, as a keyed stream; events without a type or a time are of no minute."""
+    stream = L.finalised(_read_again(_ticks(spark, d).where("event_type is not null and ts is not null")), "event_type")
     with L.keyed_state(spark):
-        out = S.completed(stream, scratch(spark, "minutes"))
-    return out.select("event_id", "k", "action", "revision")
+        return S.completed(stream.select("event_id", "k", "action", "revision"), scratch(spark, "minutes"))
 
 
 @query("""WITH m AS (SELECT event_type, ts::DATE AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n_ticks FROM events WHERE hour(ts) <> 15 GROUP BY 1, 2),
