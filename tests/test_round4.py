@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 
 from tickloom import catalog
+from tickloom.operators import models
+from tickloom.plans import studies
 from tickloom.streaming import live
 
 
@@ -62,3 +68,24 @@ def test_many_versions_of_a_minute_are_counted_in_the_task():
     out = pd.concat(minutes.handleInputRows(("x", 0), iter([polls.iloc[::-1]]), Handle()))
     assert len(out) == 20 + 20 * 2 and set(out["revision"]) == {20}  # and not 40 * 20
     assert out.groupby("action")["_times"].sum().to_dict() == {"CORRECTION": 400, "UNCHANGED": 20, "REJECTED": 380}
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_boosted_models_take_part_and_the_prior_is_their_measure(spark, held):
+    # a trade pays where the signs of two features agree, which no line tells; or where one is positive, and later where it is not
+    draw = np.random.default_rng(5)
+    rows = []
+    for fold in range(5):
+        for role, n in (("train", 400), ("test", 120)):
+            for i, (a, b) in enumerate(draw.normal(size=(n, 2))):
+                pays = (a * b > 0 if held else (a > 0) == (role == "train")) if draw.random() < 0.9 else draw.random() < 0.5
+                start = (fold * 1000 + i) * 3_600_000_000
+                rows.append((fold, role, "x", float(a), float(b), float(pays), 1.0 if pays else -1.0, start, start + 1))
+    folded = spark.createDataFrame(rows, "fold_index int, role string, event_type string, a double, b double, label double, r_multiple double, start_us long, end_us long").coalesce(2).cache()
+    short = lambda c: dataclasses.replace(c, options=tuple((k, 8 if k == "rounds" else 0.1 if k == "rate" else v) for k, v in c.options))
+    study = dataclasses.replace(studies.STUDY, candidates=tuple(map(short, studies.STUDY.candidates)))
+    assert [c.kind for c in study.candidates] == ["prior", "logistic", "elastic_net", "boosted", "boosted"]
+    out = models.run_study(folded, study, ["a", "b"], "start_us", "end_us").first()
+    assert out["candidate"] != "prior" and out["prior_brier"] == pytest.approx(0.25, abs=0.01)
+    assert (out["candidate"].startswith("boosted"), out["brier"] < 0.2, "NO_SKILL_OVER_PRIOR" in out["blockers"]) == ((True, True, False) if held else (False, False, True))
+    folded.unpersist()

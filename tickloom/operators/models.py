@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -20,7 +23,10 @@ SEED = 1701
 
 @dataclasses.dataclass(frozen=True)
 class Candidate:
-    """A model: ``kind`` one of prior, logistic, elastic_net, boosted, ridge, boosted_regression, trees."""
+    """A model: ``kind`` one of prior, logistic, elastic_net, boosted, ridge, boosted_regression, trees.
+
+    Options: l2 and mix of linear models; rounds, depth, rate, leaf (least rows) and bins of boosted ones; trees and depth.
+    """
 
     name: str
     kind: str
@@ -31,10 +37,11 @@ def _stages(candidate: Candidate, features: list[str], label: str, weight: str |
     o = dict(candidate.options)
     common = {"featuresCol": "_x", "labelCol": label, "predictionCol": "_prediction"} | ({"weightCol": weight} if weight else {})
     classes = common | {"rawPredictionCol": "_raw", "probabilityCol": "_probability"}
+    boosting = {"maxIter": int(o.get("rounds", 20)), "maxDepth": int(o.get("depth", 3)), "stepSize": o.get("rate", 0.1), "minInstancesPerNode": int(o.get("leaf", 1)), "maxBins": int(o.get("bins", 255)), "seed": SEED}
     model = {
         "logistic": lambda: LogisticRegression(**classes, regParam=o.get("l2", 1e-3)), "elastic_net": lambda: LogisticRegression(**classes, regParam=o.get("l2", 1e-3), elasticNetParam=o.get("mix", 0.5)),
-        "boosted": lambda: GBTClassifier(**classes, maxIter=int(o.get("rounds", 20)), maxDepth=int(o.get("depth", 3)), seed=SEED), "ridge": lambda: LinearRegression(**common, regParam=o.get("l2", 1e-3), solver="normal"),
-        "boosted_regression": lambda: GBTRegressor(**common, maxIter=int(o.get("rounds", 20)), maxDepth=int(o.get("depth", 3)), seed=SEED), "trees": lambda: RandomForestRegressor(**common, numTrees=int(o.get("trees", 30)), maxDepth=int(o.get("depth", 5)), seed=SEED),
+        "boosted": lambda: GBTClassifier(**common, **boosting).setRawPredictionCol("_raw").setProbabilityCol("_probability"), "ridge": lambda: LinearRegression(**common, regParam=o.get("l2", 1e-3), solver="normal"),
+        "boosted_regression": lambda: GBTRegressor(**common, **boosting), "trees": lambda: RandomForestRegressor(**common, numTrees=int(o.get("trees", 30)), maxDepth=int(o.get("depth", 5)), seed=SEED),
     }[candidate.kind]()
     return [VectorAssembler(inputCols=features, outputCol="_raw_x", handleInvalid="error"), StandardScaler(inputCol="_raw_x", outputCol="_x", withMean=True), model]
 
@@ -50,14 +57,18 @@ def predicted(train: DataFrame, test: DataFrame, candidate: Candidate, features:
     return out.select(*test.columns, score.alias("score"))
 
 
-def walk(folded: DataFrame, fold_indexes: list[int], candidate: Candidate, features: list[str], label: str = "label", weight: str | None = None) -> DataFrame:
-    """Predictions of the test rows of some folds (rows of ``folds.walk_forward``), each fitted on its own training rows."""
-    out = None
-    for k in fold_indexes:  # a model a fold; each fit is a Spark job over that fold's rows
-        rows = folded.where(F.col("fold_index") == k)
-        p = predicted(rows.where("role = 'train'"), rows.where("role = 'test'"), candidate, features, label, weight)
-        out = p if out is None else out.unionByName(p)
-    return out
+def walk(folded: DataFrame, fits: list[tuple[Candidate, int]], features: list[str], label: str = "label", weight: str | None = None, parallel: int = 4) -> list[DataFrame]:
+    """For each candidate and fold the predictions of the fold's test rows (rows of ``folds.walk_forward``), fitted on its own training rows.
+
+    Fits are Spark jobs over a fold's rows; ``parallel`` of them run side by side.
+    """
+
+    def one(fit: tuple[Candidate, int]) -> DataFrame:
+        rows = folded.where(F.col("fold_index") == fit[1])
+        return predicted(rows.where("role = 'train'"), rows.where("role = 'test'"), fit[0], features, label, weight)
+
+    with ThreadPool(max(1, min(parallel, len(fits)))) as pool:
+        return pool.map(inheritable_thread_target(folded.sparkSession)(one), fits)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -76,32 +87,40 @@ class Study:
 def run_study(folded: DataFrame, study: Study, features: list[str], start: str, end: str, r: str = "r_multiple", label: str = "label", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Select on some folds, calibrate on the next, choose a policy on another, diagnose on the last: one report row.
 
-    The best candidate has the least (Brier, log loss) on the selection folds; the policy is the
-    threshold of the largest mean ``r`` of trades that do not overlap, among those with enough trades. The
-    report never releases anything: released is false.
+    The best candidate has the least (Brier, log loss) on the selection folds. A prior is what models are measured by: it is chosen only where
+    there is no other candidate, and a model that is no better than it is blocked. The policy is the threshold of the largest mean ``r`` of trades
+    that do not overlap, among those with enough trades. The report never releases anything: released is false.
     """
-    spark, scored = folded.sparkSession, None
-    for c in study.candidates:
-        p = walk(folded, list(study.select), c, features, label).select(F.lit(c.name).alias("name"), "score", label)
+    spark = folded.sparkSession
+    fits = [(c, k) for c in study.candidates for k in study.select]
+    scored = None
+    for (c, _), p in zip(fits, walk(folded, fits, features, label)):
+        p = p.select(F.lit(c.name).alias("name"), "score", label)
         scored = p if scored is None else scored.unionByName(p)
-    table = metrics.binary_metrics(scored, ["name"], "score", label)
-    best = table.orderBy("brier", "log_loss", "name").limit(1).collect()[0]
-    chosen = next(c for c in study.candidates if c.name == best["name"])
-    fit = walk(folded, [study.calibrate], chosen, features, label)
+    table = {r["name"]: r for r in metrics.binary_metrics(scored, ["name"], "score", label).collect()}  # a row a candidate
+    prior = next((table[c.name]["brier"] for c in study.candidates if c.kind == "prior" and c.name in table), None)
+    chosen = min((c for c in study.candidates if c.name in table), key=lambda c: (c.kind == "prior", table[c.name]["brier"], table[c.name]["log_loss"], c.name))
+    best = table[chosen.name]
+    unskilled = chosen.kind == "prior" or (prior is not None and best["brier"] >= prior)
+    later = [study.calibrate, study.policy, *study.diagnose]
+    predictions = dict(zip(later, walk(folded, [(chosen, k) for k in later], features, label)))
+    fit = predictions[study.calibrate]
     pools = calibration.fit_isotonic(fit.withColumn("score", F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0))), "score", label)
 
     def trades(indexes: list[int], thresholds: tuple[float, ...]) -> DataFrame:
-        rows = walk(folded, indexes, chosen, features, label).withColumn("p", calibration.isotonic(F.col("score"), pools))
+        rows = functools.reduce(DataFrame.unionByName, [predictions[k] for k in indexes]).withColumn("p", calibration.isotonic(F.col("score"), pools))
         rows = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where("p >= threshold")
         return labels.non_overlapping(rows, ["threshold", *by], start, end).where("taken")
 
     means = trades([study.policy], study.thresholds).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean_r")).where(F.col("n") >= study.least_trades)
     policy = means.orderBy(F.desc("mean_r"), "threshold").limit(1).collect()
     if not policy:
-        return spark.createDataFrame([(chosen.name, best["brier"], None, 0, None, ["NO_VIABLE_POLICY"], False)], "candidate string, brier double, threshold double, n_trades long, mean_r double, blockers array<string>, released boolean")
+        blockers = ["NO_VIABLE_POLICY", *(["NO_SKILL_OVER_PRIOR"] if unskilled else [])]
+        schema = "candidate string, brier double, prior_brier double, threshold double, n_trades long, mean_r double, blockers array<string>, released boolean"
+        return spark.createDataFrame([(chosen.name, best["brier"], prior, None, 0, None, blockers, False)], schema)
     final = trades(list(study.diagnose), (policy[0]["threshold"],)).agg(F.count(F.lit(1)).alias("n_trades"), F.avg(r).alias("mean_r"))
-    out = final.select(F.lit(chosen.name).alias("candidate"), F.lit(best["brier"]).alias("brier"), F.lit(policy[0]["threshold"]).alias("threshold"), "n_trades", "mean_r")
-    blockers = codes((F.col("n_trades") < study.least_trades, "TOO_FEW_TRADES"), (F.coalesce("mean_r", F.lit(0.0)) <= 0, "NO_POSITIVE_EXPECTATION"))
+    out = final.select(F.lit(chosen.name).alias("candidate"), F.lit(best["brier"]).alias("brier"), F.lit(prior).cast("double").alias("prior_brier"), F.lit(policy[0]["threshold"]).alias("threshold"), "n_trades", "mean_r")
+    blockers = codes((F.col("n_trades") < study.least_trades, "TOO_FEW_TRADES"), (F.coalesce("mean_r", F.lit(0.0)) <= 0, "NO_POSITIVE_EXPECTATION"), (F.lit(unskilled), "NO_SKILL_OVER_PRIOR"))
     return out.withColumn("blockers", blockers).withColumn("released", F.lit(False))
 
 
