@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import codes
+from ..sources.scratch import staged
 from . import calibration, labels, metrics
 
 SEED = 1701
@@ -60,12 +61,13 @@ def predicted(train: DataFrame, test: DataFrame, candidate: Candidate, features:
 def walk(folded: DataFrame, fits: list[tuple[Candidate, int]], features: list[str], label: str = "label", weight: str | None = None, parallel: int = 4) -> list[DataFrame]:
     """For each candidate and fold the predictions of the fold's test rows (rows of ``folds.walk_forward``), fitted on its own training rows.
 
-    Fits are Spark jobs over a fold's rows; ``parallel`` of them run side by side.
+    Fits are Spark jobs over a fold's rows; ``parallel`` of them run side by side. Predictions are staged, so the driver keeps no model and
+    later plans hold none.
     """
 
     def one(fit: tuple[Candidate, int]) -> DataFrame:
         rows = folded.where(F.col("fold_index") == fit[1])
-        return predicted(rows.where("role = 'train'"), rows.where("role = 'test'"), fit[0], features, label, weight)
+        return staged(predicted(rows.where("role = 'train'"), rows.where("role = 'test'"), fit[0], features, label, weight), "predictions")
 
     with ThreadPool(max(1, min(parallel, len(fits)))) as pool:
         return pool.map(inheritable_thread_target(folded.sparkSession)(one), fits)
